@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -42,6 +43,14 @@ def entity_table() -> dict[str, str]:
     return table
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated a single time.
+
+    Spark inlines a repeated expression; a lambda variable holds its result.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def _numbered_character(name: Column) -> Column:
     """The character of ``#65`` or ``#x41``; an impossible number gives U+FFFD."""
     is_hex = F.lower(F.substring(name, 2, 1)) == "x"
@@ -51,7 +60,7 @@ def _numbered_character(name: Column) -> Column:
     code = digits.try_cast("bigint")
     valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
     utf32 = F.unhex(F.lpad(F.hex(code), 8, "0"))
-    return F.when(valid, F.decode(utf32, "UTF-32")).otherwise("�")
+    return F.when(valid, F.decode(utf32, "UTF-32")).otherwise("\ufffd")
 
 
 def decode_entities(col: Column) -> Column:
@@ -63,17 +72,25 @@ def decode_entities(col: Column) -> Column:
     named = F.create_map(*literals)
 
     def resolve(piece: Column) -> Column:
-        name = F.regexp_extract(piece, _REFERENCE, 1)
-        rest = F.substring(piece, F.length(F.regexp_extract(piece, _REFERENCE, 0)) + 1, F.length(piece))
-        character = F.when(name.startswith("#"), _numbered_character(name)).otherwise(
-            F.coalesce(named[name], F.concat(F.lit("&"), name))
+        """The text after one ampersand, its reference replaced."""
+        return once(
+            F.regexp_extract(piece, _REFERENCE, 1),
+            lambda name: F.concat(
+                F.when(name.startswith("#"), _numbered_character(name)).otherwise(
+                    F.coalesce(named[name], F.concat(F.lit("&"), name))
+                ),
+                F.when(name == "", piece).otherwise(F.regexp_replace(piece, _REFERENCE, "")),
+            ),
         )
-        return F.concat(character, rest)
 
-    pieces = F.split(col, "&")
-    tail = F.transform(F.slice(pieces, 2, F.size(pieces)), resolve)
-    decoded = F.concat(pieces[0], F.array_join(tail, ""))
-    return F.when(F.contains(col, F.lit("&")), decoded).otherwise(col)
+    def decode(pieces: Column) -> Column:
+        resolved = F.transform(F.slice(pieces, 2, F.size(pieces)), resolve)
+        return F.concat(pieces[0], F.array_join(resolved, ""))
+
+    return once(
+        col,
+        lambda text: F.when(F.contains(text, F.lit("&")), once(F.split(text, "&"), decode)).otherwise(text),
+    )
 
 
 def html_to_text(col: Column, collapse: bool = False) -> Column:
@@ -101,8 +118,16 @@ def clean_token(col: Column) -> Column:
         F.replace(col, F.lit("##"), F.lit("")), rf"\A[{WHITESPACE}]+|[{WHITESPACE}]+\z", ""
     )
     kept = F.regexp_replace(F.lower(stripped), rf"[^a-z0-9{WHITESPACE}+#.]", "")
-    useless = (F.length(kept) < 2) | kept.rlike(r"\A[0-9]+\z")
-    return F.when(~useless, F.nullif(collapse_spaces(kept), F.lit("")))
+    useful = F.regexp_replace(kept, r"(?s)\A(?:.|[0-9]+)\z", "")
+    return F.nullif(collapse_spaces(useful), F.lit(""))
+
+
+def clean_tokens(col: Column) -> Column:
+    """``clean_token`` as a generator that yields no row for a useless token.
+
+    A filter on the cleaned column would be pushed down and clean twice.
+    """
+    return F.explode(F.array_compact(F.array(clean_token(col))))
 
 
 def split_words(col: Column) -> Column:
@@ -112,12 +137,15 @@ def split_words(col: Column) -> Column:
 
 def word_chunks(col: Column, words_per_chunk: int = WORDS_PER_CHUNK) -> Column:
     """Consecutive windows of ``words_per_chunk`` words, joined by a space."""
-    words = split_words(col)
-    starts = F.sequence(F.lit(1), F.size(words), F.lit(words_per_chunk))
-    chunks = F.transform(
-        starts, lambda start: F.array_join(F.slice(words, start, F.lit(words_per_chunk)), " ")
-    )
-    return F.when(F.size(words) > 0, chunks).otherwise(F.array().cast("array<string>"))
+
+    def cut(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(words), F.lit(words_per_chunk))
+        windows = F.transform(
+            starts, lambda start: F.array_join(F.slice(words, start, F.lit(words_per_chunk)), " ")
+        )
+        return F.when(F.size(words) > 0, windows).otherwise(F.array().cast("array<string>"))
+
+    return once(split_words(col), cut)
 
 
 def normal_word(col: Column) -> Column:
@@ -129,17 +157,14 @@ def normal_word(col: Column) -> Column:
 
 def word_ngrams(words: Column, max_words: int) -> Column:
     """Distinct runs of 1 to ``max_words`` neighbouring words."""
-    runs = [words]
-    for length in range(2, max_words + 1):
+
+    def runs(length: int) -> Column:
         # As many windows as fit; none where the list is shorter than the run.
-        starts = F.slice(
-            F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))),
-            F.lit(1),
-            F.greatest(F.size(words) - (length - 1), F.lit(0)),
+        fitting = F.greatest(F.size(words) - (length - 1), F.lit(0))
+        starts = F.slice(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), F.lit(1), fitting)
+        return F.transform(
+            starts, lambda start: F.array_join(F.slice(words, start, F.lit(length)), " ")
         )
-        runs.append(
-            F.transform(
-                starts, lambda start, n=length: F.array_join(F.slice(words, start, F.lit(n)), " ")
-            )
-        )
-    return F.array_distinct(F.concat(*runs))
+
+    longer = [runs(length) for length in range(2, max_words + 1)]
+    return F.array_distinct(F.concat(words, *longer))

@@ -17,9 +17,10 @@ from skilltrend.columns import (
     PostingColumns,
 )
 from skilltrend.functions.text import (
-    clean_token,
+    clean_tokens,
     html_to_text,
     normal_word,
+    once,
     split_words,
     word_chunks,
     word_ngrams,
@@ -79,11 +80,10 @@ class DictionaryExtractor:
     cols: PostingColumns = DEFAULT_COLUMNS
 
     def __call__(self, chunks: DataFrame) -> DataFrame:
-        words = F.filter(
-            F.transform(split_words(F.col("chunk")), normal_word), lambda word: word != ""
-        )
-        runs = chunks.select(self.cols.text_id, words.alias("words")).select(
-            self.cols.text_id, F.explode(word_ngrams(F.col("words"), self.max_words)).alias("word")
+        words = F.array_remove(F.transform(split_words(F.col("chunk")), normal_word), "")
+        runs = chunks.select(
+            self.cols.text_id,
+            F.explode(once(words, lambda w: word_ngrams(w, self.max_words))).alias("word"),
         )
         table = self.phrases.select(F.col("phrase").alias("word"), "entity_group").distinct()
         return runs.join(broadcast_if_small(table, self.broadcast_rows), "word").select(
@@ -138,8 +138,7 @@ def extract_skills(
     found = extractor(text_chunks(texts, words_per_chunk, cols))
     return (
         found.where(F.col("entity_group").isin(list(entity_groups)))
-        .select(cols.text_id, clean_token(F.col("word")).alias("_skill"))
-        .dropna(subset=["_skill"])
+        .select(cols.text_id, clean_tokens(F.col("word")).alias("_skill"))
         .groupBy(cols.text_id)
         .agg(F.sort_array(F.collect_set("_skill")).alias(cols.raw_skills))
     )
