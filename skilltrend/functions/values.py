@@ -59,5 +59,21 @@ def percentage(part: Column, whole: Column) -> Column:
 
 
 def percent_label(col: Column) -> Column:
-    """``12.3%``; null stays null."""
-    return F.when(col.isNotNull(), F.format_string("%.1f%%", col))
+    """``12.3%``; null stays null.
+
+    Rounds the exact binary value, ties to the even digit, where Spark's own
+    formatting rounds its decimal print-out half up. Scaling by a power of two
+    makes the value a whole number without losing a bit.
+    """
+    size = F.abs(col)
+    bits = F.when(size >= 1, F.lit(52)).otherwise(F.lit(62))
+    scale = F.pow(F.lit(2.0), bits)
+    whole, unit = (size * scale).cast("bigint").cast("decimal(19,0)"), scale.cast("bigint")
+    tenths = F.floor(whole * 10 / unit.cast("decimal(19,0)")).cast("bigint")
+    rest = (whole * 10 - tenths.cast("decimal(19,0)") * unit.cast("decimal(19,0)")) * 2
+    up = (rest > unit) | ((rest == unit) & (tenths % 2 == 1))
+    tenths = tenths + up.cast("bigint")
+    sign = F.when(col < 0, "-").otherwise("")
+    label = F.concat(sign, F.floor(tenths / 10), F.lit("."), tenths % 10, F.lit("%"))
+    # Beyond 2^11 the scaled value leaves the integer range; it has no such ties to lose.
+    return F.when(size < 2048, label).when(col.isNotNull(), F.format_string("%.1f%%", col))

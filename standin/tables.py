@@ -23,7 +23,7 @@ LEVEL_CODES = {
     "3-MEDIUM": "Mid-level",
     "4-NOT SPECIFIED": "Senior",
 }
-DATES = ("1993-01-01", "1998-06-30")
+DATES = ("1996-01-01", "2000-12-31")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
