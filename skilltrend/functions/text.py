@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from skilltrend.columns import WORDS_PER_CHUNK
+from skilltrend.functions.values import once
 
 # Whitespace as Unicode text tools see it; Java's own \s knows ASCII only.
 WHITESPACE = (
@@ -43,14 +43,6 @@ def entity_table() -> dict[str, str]:
     return table
 
 
-def once(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated a single time.
-
-    Spark inlines a repeated expression; a lambda variable holds its result.
-    """
-    return F.transform(F.array(value), body)[0]
-
-
 def _numbered_character(name: Column) -> Column:
     """The character of ``#65`` or ``#x41``; an impossible number gives U+FFFD."""
     is_hex = F.lower(F.substring(name, 2, 1)) == "x"

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated a single time.
+
+    Spark inlines a repeated expression; a lambda variable holds its result.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def map_values(col: Column, mapping: Mapping[str, str]) -> Column:
     """Replace mapped values; any other value, null too, passes through."""
     if not mapping:
@@ -62,18 +70,31 @@ def percent_label(col: Column) -> Column:
     """``12.3%``; null stays null.
 
     Rounds the exact binary value, ties to the even digit, where Spark's own
-    formatting rounds its decimal print-out half up. Scaling by a power of two
-    makes the value a whole number without losing a bit.
+    formatting rounds its decimal print-out half up. Scaled by a power of two
+    a number below 2^11 becomes whole without losing a bit; larger ones, which
+    no share reaches, are left to Spark's formatting.
     """
-    size = F.abs(col)
-    bits = F.when(size >= 1, F.lit(52)).otherwise(F.lit(62))
-    scale = F.pow(F.lit(2.0), bits)
-    whole, unit = (size * scale).cast("bigint").cast("decimal(19,0)"), scale.cast("bigint")
-    tenths = F.floor(whole * 10 / unit.cast("decimal(19,0)")).cast("bigint")
-    rest = (whole * 10 - tenths.cast("decimal(19,0)") * unit.cast("decimal(19,0)")) * 2
-    up = (rest > unit) | ((rest == unit) & (tenths % 2 == 1))
-    tenths = tenths + up.cast("bigint")
-    sign = F.when(col < 0, "-").otherwise("")
-    label = F.concat(sign, F.floor(tenths / 10), F.lit("."), tenths % 10, F.lit("%"))
-    # Beyond 2^11 the scaled value leaves the integer range; it has no such ties to lose.
-    return F.when(size < 2048, label).when(col.isNotNull(), F.format_string("%.1f%%", col))
+
+    def exact(value: Column) -> Column:
+        size = F.abs(value)
+        scale = F.when(size >= 1, F.lit(2.0**52)).otherwise(F.lit(2.0**62))
+        whole = (size * scale).cast("bigint").cast("decimal(19,0)") * 10
+        unit = scale.cast("bigint").cast("decimal(19,0)")
+
+        def write(tenths: Column) -> Column:
+            sign = F.when(value < 0, "-").otherwise("")
+            return F.concat(sign, F.floor(tenths / 10), F.lit("."), tenths % 10, F.lit("%"))
+
+        def rounded(down: Column) -> Column:
+            rest = (whole - down * unit) * 2
+            up = (rest > unit) | ((rest == unit) & (down % 2 == 1))
+            return once(down.cast("bigint") + up.cast("bigint"), write)
+
+        return once(F.floor(whole / unit).cast("decimal(19,0)"), rounded)
+
+    return once(
+        col,
+        lambda value: F.when(F.abs(value) < 2048, exact(value)).when(
+            value.isNotNull(), F.format_string("%.1f%%", value)
+        ),
+    )

@@ -20,11 +20,11 @@ from skilltrend.functions.text import (
     clean_tokens,
     html_to_text,
     normal_word,
-    once,
     split_words,
     word_chunks,
     word_ngrams,
 )
+from skilltrend.functions.values import once
 from skilltrend.plans.checkpoints import BROADCAST_ROW_LIMIT, broadcast_if_small
 
 # An extractor turns (text_id, chunk_no, chunk) rows into

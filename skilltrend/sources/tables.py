@@ -11,14 +11,18 @@ from skilltrend.columns import DEFAULT_COLUMNS, PostingColumns, posting_schema
 
 FORMATS = ("parquet", "csv", "json", "orc")
 
-# Quotes are doubled, edge blanks and microseconds survive, and a quoted field
-# may hold line breaks: what is written is what is read back.
+# Quotes are doubled, edge blanks survive and a quoted field may hold line
+# breaks: what is written is what is read back.
 _CSV_OPTIONS = {
     "header": "true",
     "quote": '"',
     "escape": '"',
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
+}
+
+# By default text files lose the microseconds.
+_TIME_OPTIONS = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
 }
@@ -58,6 +62,9 @@ def read_table(
         reader = reader.schema(schema)
     if fmt == "csv":
         reader = reader.options(**_CSV_OPTIONS).option("multiLine", multiline)
+        # An empty field is null and a quoted empty one is '': so null needs a
+        # mark of its own, one that no text holds.
+        reader = reader.option("nullValue", "\ufdd1")
         # A bad field must stop the run, as a bad cell does elsewhere.
         reader = reader.option("mode", "FAILFAST")
     return require_columns(reader.load(path if isinstance(path, str) else list(path)), required)
@@ -91,6 +98,8 @@ def write_table(
     writer = df.write.format(fmt).mode(mode)
     if fmt == "csv":
         writer = writer.options(**_CSV_OPTIONS)
+    if fmt in ("csv", "json"):
+        writer = writer.options(**_TIME_OPTIONS)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)

@@ -15,12 +15,11 @@ from skilltrend.functions.text import (
     clean_tokens,
     html_to_text,
     normal_word,
-    once,
     split_words,
     word_chunks,
     word_ngrams,
 )
-from skilltrend.functions.values import in_date_range, parse_month_first
+from skilltrend.functions.values import in_date_range, once, parse_month_first
 from skilltrend.operators import insights, matrix, postings
 from skilltrend.operators.canonical import apply_spelling_map, similar_keys, spelling_map
 from skilltrend.operators.extract import (

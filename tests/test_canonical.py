@@ -115,10 +115,12 @@ def test_pairs_equal_brute_force(spark, threshold, pair_limit, length):
     assert got == want and want
 
 
-@pytest.mark.parametrize("processor", ["alnum", "none"])
-def test_map_equals_brute_force(spark, processor):
+@pytest.mark.parametrize(
+    "processor, tail_rows", [("alnum", 0), ("none", 10**6), ("alnum", 60)]
+)
+def test_map_equals_brute_force(spark, processor, tail_rows):
     words = near_words(5, 150, (4, 14)) + near_words(50, 80, (18, 30))
-    got = computed_map(spark, words, processor=processor)
+    got = computed_map(spark, words, processor=processor, tail_rows=tail_rows)
     assert got == plain_map(words, processor) and got
     assert not set(got) & set(got.values()), "depth one"
     assert len(set(got.values())) == len(got), "each absorbs at most one"
@@ -129,8 +131,10 @@ def test_crowded_group_of_one_key(spark):
     # Every word has the key "ab cd"; linked words come before and after it.
     marks = ["+", "#", ".", "++", "+#", "#+", "..", "##", ".+", "+.", "#.", ".#"]
     words = [f"abcdefg{a}hijkl{b}" for a in marks[:3] for b in marks] + ["abcdefg hijkl", "abcdefg hijk", "abcdefgh ijkl", "abcdefg hijklm"]
-    got = computed_map(spark, words)
-    assert got == plain_map(words, "alnum") and len(got) > 15
+    want = plain_map(words, "alnum")
+    assert len(want) > 15
+    assert computed_map(spark, words, tail_rows=0) == want
+    assert computed_map(spark, words) == want
 
 
 def test_stated_cases(spark):
