@@ -37,12 +37,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable storage now and go on from the stored rows."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Hint a broadcast only after counting that ``df`` has few enough rows.
 
@@ -57,7 +51,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> Da
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder now and read it back.
 
-    Like a checkpoint this cuts the lineage and survives lost executors. A
+    As a checkpoint would, this cuts the lineage and survives lost executors. A
     columnar file also lets later steps read only the columns they need and
     gives the planner real sizes.
     """

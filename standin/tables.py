@@ -13,6 +13,7 @@ from skilltrend.columns import DEFAULT_COLUMNS as C
 from skilltrend.operators.extract import distinct_texts
 from skilltrend.operators.matrix import evolution_matrix, share_by_level, skill_posting_counts
 from skilltrend.operators.postings import clean_postings, level_totals
+from skilltrend.plans.checkpoints import staged
 from skilltrend.sources.tables import read_table
 
 STATUSES = ("F", "O")
@@ -69,8 +70,9 @@ def skill_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings(spark, sf_dir).join(skill_links(spark, sf_dir), C.serial)
+def tagged(spark: SparkSession, sf_dir: str, cleaned: DataFrame | None = None) -> DataFrame:
+    cleaned = cleaned or postings(spark, sf_dir)
+    return cleaned.join(skill_links(spark, sf_dir), C.serial)
 
 
 def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +80,10 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return share_by_level(skill_posting_counts(tagged(spark, sf_dir)), totals(spark, sf_dir))
+    """Numerators and denominators from one cleaning run, which is staged."""
+    cleaned = staged(postings(spark, sf_dir), "postings")
+    counts = skill_posting_counts(tagged(spark, sf_dir, cleaned))
+    return share_by_level(counts, level_totals(cleaned))
 
 
 def matrix(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
