@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 from skilltrend.columns import WORDS_PER_CHUNK
 from skilltrend.functions.values import once
 
-# Whitespace as Unicode text tools see it; Java's own \s knows ASCII only.
-WHITESPACE = (
-    r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
+# Whitespace as Unicode text tools see it, four separators included. Java's own
+# \s knows ASCII only; under (?U) it is a fast property test.
+_SPACE = r"\s\x{1c}-\x{1f}"
+_SPACES = rf"(?U)[{_SPACE}]+"
 
 # A code point that valid text never holds, marking where markup stood.
-_BREAK = "﷐"
+_BREAK = "\ufdd0"
 
 # Elements whose content is not text.
 _SILENT_ELEMENTS = ("script", "style", "template", "rt", "rp")
@@ -98,7 +97,7 @@ def html_to_text(col: Column, collapse: bool = False) -> Column:
 
 
 def collapse_spaces(col: Column) -> Column:
-    return F.trim(F.regexp_replace(col, f"[{WHITESPACE}]+", " "))
+    return F.trim(F.regexp_replace(col, _SPACES, " "))
 
 
 def clean_token(col: Column) -> Column:
@@ -107,9 +106,9 @@ def clean_token(col: Column) -> Column:
     Length and digits are tested before inner spaces collapse.
     """
     stripped = F.regexp_replace(
-        F.replace(col, F.lit("##"), F.lit("")), rf"\A[{WHITESPACE}]+|[{WHITESPACE}]+\z", ""
+        F.replace(col, F.lit("##"), F.lit("")), rf"(?U)\A[{_SPACE}]+|[{_SPACE}]+\z", ""
     )
-    kept = F.regexp_replace(F.lower(stripped), rf"[^a-z0-9{WHITESPACE}+#.]", "")
+    kept = F.regexp_replace(F.lower(stripped), rf"(?U)[^a-z0-9{_SPACE}+#.]", "")
     useful = F.regexp_replace(kept, r"(?s)\A(?:.|[0-9]+)\z", "")
     return F.nullif(collapse_spaces(useful), F.lit(""))
 
@@ -124,7 +123,7 @@ def clean_tokens(col: Column) -> Column:
 
 def split_words(col: Column) -> Column:
     """Whitespace-separated words, none of them empty."""
-    return F.filter(F.split(col, f"[{WHITESPACE}]+"), lambda word: word != "")
+    return F.filter(F.split(col, _SPACES), lambda word: word != "")
 
 
 def word_chunks(col: Column, words_per_chunk: int = WORDS_PER_CHUNK) -> Column:

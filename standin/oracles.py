@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from skilltrend.columns import DEFAULT_COLUMNS as C
 from skilltrend.columns import STOP_WORDS
-from skilltrend.functions.text import WHITESPACE as WS
 from standin.queries import EVIDENCE, SEARCH, STANDIN_SYNONYMS
 from standin.tables import CONTRACT_TYPES, DATES, LEVEL_CODES, STATUSES
 
+# White space as Unicode sees it, spelled out for a regex engine without (?U).
+WS = (
+    r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+
 
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"

@@ -84,7 +84,7 @@ def texts(spark, values):
 
 def load_model():
     def model(chunk):
-        return [{"entity_group": "HSKILL" if w[0].isupper() else "LOC", "word": w} for w in chunk.split(" ")]
+        return [{"entity_group": "HSKILL" if w.lstrip("#")[0].isupper() else "LOC", "word": w} for w in chunk.split(" ")]
 
     return model
 
