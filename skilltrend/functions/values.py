@@ -26,9 +26,14 @@ def map_values(col: Column, mapping: Mapping[str, str]) -> Column:
 
 
 def replace_patterns(col: Column, rules: Sequence[tuple[str, str]]) -> Column:
-    """Apply (pattern, replacement) rules in order, unanchored."""
+    """Apply (pattern, replacement) rules in order, unanchored.
+
+    Each rule replaces its first match only, as the lazy prefix is anchored.
+    """
     for pattern, replacement in rules:
-        col = F.regexp_replace(col, pattern, replacement)
+        col = F.regexp_replace(
+            col, rf"(?s)\A(?<before>.*?)(?-s:{pattern})", "${before}" + replacement
+        )
     return col
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -91,9 +92,20 @@ class DictionaryExtractor:
         )
 
 
+_loaded: dict[str, Model] = {}
+
+
+def loaded_model(key: str, load: Callable[[], Model]) -> Model:
+    """The model of this Python worker, which later tasks find again."""
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = load()
+    return _loaded[key]
+
+
 @dataclass(frozen=True)
 class ModelExtractor:
-    """Runs a user's model on every chunk, loading it once per task.
+    """Runs a user's model on every chunk, loading it once per Python worker.
 
     Chunks, not texts, are spread over the tasks, since texts differ a lot in
     length. ``partitions`` fixes how many tasks share the work.
@@ -102,14 +114,14 @@ class ModelExtractor:
     load: Callable[[], Model]
     partitions: int | None = None
     cols: PostingColumns = DEFAULT_COLUMNS
+    key: str = field(default_factory=lambda: uuid4().hex)
 
     def __call__(self, chunks: DataFrame) -> DataFrame:
-        load, text_id = self.load, self.cols.text_id
+        load, key_of_model, text_id = self.load, self.key, self.cols.text_id
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            model = None
             for batch in batches:
-                model = model or load()
+                model = loaded_model(key_of_model, load)
                 found = [
                     (key, record["entity_group"], record["word"])
                     for key, chunk in zip(batch[text_id], batch["chunk"])

@@ -118,6 +118,13 @@ def add_step_changes(pivot: DataFrame) -> DataFrame:
     )
 
 
+def in_level_order(df: DataFrame, cols: PostingColumns = DEFAULT_COLUMNS) -> DataFrame:
+    """The columns of a matrix with all changes, from Junior to Senior."""
+    return df.select(
+        cols.profession, cols.skill, *LEVELS, MID_DIFF, SENIOR_DIFF, DIFF, CHANGE, RANK
+    )
+
+
 def rank_within(df: DataFrame, by: str, k: int | None, cols: PostingColumns = DEFAULT_COLUMNS) -> DataFrame:
     """Rank rows of each profession by ``by``, highest first, and keep ``k``.
 

@@ -209,7 +209,7 @@ def mention_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def step_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matrix.add_step_changes(t.matrix(spark, sf_dir, top_k=50))
+    return matrix.in_level_order(matrix.add_step_changes(t.matrix(spark, sf_dir, top_k=50)))
 
 
 # --- Insights --------------------------------------------------------------

@@ -40,9 +40,11 @@ def cleaned(spark, rows, **options):
 
 def test_profession_rule(spark):
     values = ["SOFTWARE_ENGINEER_WEB", "SOFTWARE_ENGINEER", "X_SOFTWARE_ENGINEER_WEB", "AI_ENGINEER", None]
+    values += ["SOFTWARE_ENGINEER_A\nSOFTWARE_ENGINEER_B"]
     df = spark.createDataFrame([(v,) for v in values], "p string")
     got = [r[0] for r in df.select(replace_patterns(F.col("p"), PROFESSION_RULES)).collect()]
-    assert got == ["SOFTWARE_ENGINEER", "SOFTWARE_ENGINEER", "X_SOFTWARE_ENGINEER", "AI_ENGINEER", None]
+    assert got == ["SOFTWARE_ENGINEER", "SOFTWARE_ENGINEER", "X_SOFTWARE_ENGINEER", "AI_ENGINEER", None,
+                   "SOFTWARE_ENGINEER\nSOFTWARE_ENGINEER_B"]
 
 
 def test_filters_levels_and_copies(spark):

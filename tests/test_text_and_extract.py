@@ -108,6 +108,22 @@ def test_model_extraction_joins_back(spark):
     assert explode_skills(tagged).groupBy(C.serial).count().count() == 3
 
 
+def load_counting_model():
+    import os
+    import uuid
+
+    name = f"HSKILL {os.getpid()} {uuid.uuid4().hex}"
+    return lambda chunk: [{"entity_group": name, "word": chunk}]
+
+
+def test_model_is_loaded_once_per_worker(spark):
+    chunks = text_chunks(distinct_texts(texts(spark, [f"text {i}" for i in range(40)])))
+    extractor, seen = ModelExtractor(load_counting_model, 6), set()
+    for _ in range(2):
+        seen |= {r["entity_group"] for r in extractor(chunks).collect()}
+    assert len(seen) == len({name.split()[1] for name in seen})
+
+
 @pytest.mark.parametrize("broadcast_rows", [0, 1000])
 def test_dictionary_extraction(spark, broadcast_rows):
     phrases = spark.createDataFrame(
