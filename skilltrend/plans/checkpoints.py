@@ -25,7 +25,8 @@ def shared_folder(spark: SparkSession) -> str:
         return current
     folder = spark.conf.get(CHECKPOINT_CONF, None)
     if not folder:
-        if not context.master.startswith("local"):
+        # "local-cluster" has several executors and so counts as a cluster.
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="skilltrend-checkpoint-")
     context.setCheckpointDir(folder)
@@ -55,9 +56,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     columnar file also lets later steps read only the columns they need and
     gives the planner real sizes.
     """
+    return staged_at(df, name)[0]
+
+
+def staged_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``staged``, with the folder, so that it can be discarded later."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``staged_at`` wrote and nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
