@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skilltrend.llm.common import table
 from skilltrend.llm.exact_dedup import exact_duplicates
+from skilltrend.llm.minhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,11 +17,34 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def queries() -> dict[str, Query]:
-    return {query.__name__: query for query in (op3_exact_dedup,)}
+    return {query.__name__: query for query in (op3_exact_dedup, op5_minhash)}
 
 
 ORACLES = {
+    "op5_minhash": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[]
+                WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+            FROM w
+        ), u AS (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM s),
+        e AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.s = b.s AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+        ), r AS (
+            SELECT doc_id, doc_id AS root FROM s UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id
+        ), c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
+    """,
     "op3_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,
