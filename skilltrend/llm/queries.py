@@ -5,14 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skilltrend.llm.common import table
+from skilltrend.llm.common import held_out, table
 from skilltrend.llm.exact_dedup import exact_duplicates
 from skilltrend.llm.minhash import near_duplicates
+from skilltrend.llm.toxicity import fit_toxicity, score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels.where(~held_out("doc_id", 5, 0)))
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -22,7 +31,7 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {query.__name__: query for query in (op3_exact_dedup, op5_minhash)}
+    return {query.__name__: query for query in (op1_toxicity, op3_exact_dedup, op5_minhash)}
 
 
 ORACLES = {
