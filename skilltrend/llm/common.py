@@ -20,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizers are; any other path to a tokenizer file does as well."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Two columns ``doc_id`` and ``text`` (UTF-8 bytes, null as empty); other columns stay behind."""
     return docs.select(

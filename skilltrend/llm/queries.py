@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skilltrend.llm.common import held_out, table
+from skilltrend.llm.common import held_out, table, tokenizer_path
 from skilltrend.llm.exact_dedup import exact_duplicates
 from skilltrend.llm.minhash import near_duplicates
+from skilltrend.llm.packing import packed_sequences
+from skilltrend.llm.token_store import read_tokens, with_checksums, write_tokens
 from skilltrend.llm.toxicity import fit_toxicity, score_toxicity
+from skilltrend.plans.checkpoints import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,8 +33,18 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return with_checksums(read_tokens(spark, path))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_sequences(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
 def queries() -> dict[str, Query]:
-    return {query.__name__: query for query in (op1_toxicity, op3_exact_dedup, op5_minhash)}
+    return {query.__name__: query for query in (op1_toxicity, op3_exact_dedup, op5_minhash, op7_token_store, op9_packing)}
 
 
 ORACLES = {
