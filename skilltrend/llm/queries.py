@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skilltrend.llm.common import held_out, table, tokenizer_path
+from skilltrend.llm.decontaminate import contamination
 from skilltrend.llm.exact_dedup import exact_duplicates
 from skilltrend.llm.minhash import near_duplicates
 from skilltrend.llm.packing import packed_sequences
@@ -43,8 +44,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_sequences(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {query.__name__: query for query in (op1_toxicity, op3_exact_dedup, op5_minhash, op7_token_store, op9_packing)}
+    return {query.__name__: query for query in (op1_toxicity, op3_exact_dedup, op5_minhash, op7_token_store, op9_packing, op10_decontamination)}
 
 
 ORACLES = {
