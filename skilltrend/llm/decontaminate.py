@@ -14,8 +14,10 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,27 +155,13 @@ def benchmark_copies(
     repeated items are each reported. ``start_char`` and ``end_char`` are places
     in the text in lower case. No item or no document gives no row.
     """
-    spark = docs.sparkSession
     rows = texts(docs, id_column, text_column)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
-    items = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // block_chars))
     out = pa.schema(
         [("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_char", pa.int64()), ("end_char", pa.int64())]
     )
     schema = "doc_id long, item_id long, score double, start_char long, end_char long"
-    found = spark.createDataFrame([], schema)
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id").collect()
-        words = Words()
-        held = [(r["item_id"], words.of(bytes(r["text"]))) for r in part]
-        held = [h for h in held if len(h[1]) >= GRAM]
-        if not held:
-            continue
-        runs = np.unique(np.concatenate([grams(h[1]) for h in held]))
-        counts = document_counts(rows, runs)
-        seeds = spark.sparkContext.broadcast(Seeds([h[0] for h in held], [h[1] for h in held], counts))
+    found = docs.sparkSession.createDataFrame([], schema)
+    for seeds in seed_blocks(rows, benchmark, block_chars):
 
         def match(rows: Iterator[tuple], seeds=seeds) -> Iterator[tuple]:
             words = Words()
@@ -185,6 +173,43 @@ def benchmark_copies(
     return found
 
 
+def seed_blocks(rows: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[Broadcast]:
+    """The seeds of each block of the benchmark, sent to all tasks; ``rows`` are those whose runs are counted."""
+    spark = rows.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
+    items = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-chars // block_chars))
+    for block in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id").collect()
+        words = Words()
+        held = [(r["item_id"], words.of(bytes(r["text"]))) for r in part]
+        held = [h for h in held if len(h[1]) >= GRAM]
+        if held:
+            runs = np.unique(np.concatenate([grams(h[1]) for h in held]))
+            counts = document_counts(rows, runs)
+            yield spark.sparkContext.broadcast(Seeds([h[0] for h in held], [h[1] for h in held], counts))
+
+
+def _copies_nothing(seeds: Broadcast, least: float):
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        words = Words()
+        for batch in batches:
+            yield pd.Series([not any(seeds.value.copies(words.of(text), least)) for text in batch], dtype=bool)
+
+    return clean
+
+
+def without_copies(docs: DataFrame, benchmark: DataFrame, least: float = COPIED, block_chars: int = BLOCK_CHARS, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose texts copy no item, all columns as they are; null texts copy nothing."""
+    plain = docs.select(F.lit(0).alias("doc_id"), F.coalesce(F.col(text_column).cast("binary"), F.lit(b"")).alias("text"))
+    for seeds in seed_blocks(plain, benchmark, block_chars):
+        clean = _copies_nothing(seeds, least)
+        docs = docs.where(clean(F.coalesce(F.col(text_column).cast("binary"), F.lit(b""))))
+    return docs
+
+
 def document_counts(rows: DataFrame, runs: np.ndarray) -> dict[int, int]:
     """In how many texts each of ``runs`` (sorted hashes of one block of items) occurs; others are absent."""
     held = rows.sparkSession.sparkContext.broadcast(runs)

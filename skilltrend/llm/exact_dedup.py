@@ -185,3 +185,11 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def without_exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, all columns as they are; rows that repeat id and text stay together."""
+    kept = exact_duplicates(docs, id_column, text_column).where("kept").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_sha"))
+    content = F.translate(F.coalesce(F.col(text_column), F.lit("")), WHITE_SPACE.decode(), "")
+    same = F.col(id_column).cast("long").eqNullSafe(F.col("_kept")) & (F.sha2(content.cast("binary"), 256) == F.col("_sha"))
+    return docs.join(kept, same, "left_semi")

@@ -227,6 +227,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     )
 
 
+def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of each component of ``docs``, all columns as they are; rows that repeat an id stay or go together."""
+    kept = near_duplicates(docs, words, percent, id_column, text_column).where("kept").select(F.col("doc_id").alias("_kept"))
+    return docs.join(kept, F.col(id_column).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+
+
 def _own(words: int):
     def own(rows: Iterator[tuple]) -> Iterator[tuple]:
         """Drops texts of a repeated id that are not the class's, and repeats of those that are."""

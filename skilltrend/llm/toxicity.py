@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -179,3 +180,17 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine, id_column: str
 
     out = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
     return map_rows(texts(docs, id_column, text_column), score, "doc_id long, score double, predicted int", out)
+
+
+def without_toxic(docs: DataFrame, model: FactorizationMachine, limit: float = 0.5, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below ``limit``, all columns as they are; null texts score as empty ones."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        machine = held.value
+        terms = Terms((machine.weights != 0) | machine.factors.any(axis=1))
+        for batch in batches:
+            yield pd.Series([machine.score(terms.of(text)) < limit for text in batch], dtype=bool)
+
+    return docs.where(clean(F.coalesce(F.col(text_column).cast("binary"), F.lit(b""))))
