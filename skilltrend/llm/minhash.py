@@ -6,9 +6,11 @@ chunk with at most one differing slot; a key for each chunk and each slot left
 out of it meets all such pairs. Links are confirmed on complete shingle sets.
 
 Texts with equal sets form one class first, and only classes are compared. In a
-bucket, first every class is compared with one leader. Then only those pairs
-are looked at whose classes are still apart, in blocks of bounded size, so that
-a bucket with a large group of near copies costs about one comparison each.
+bucket, first every class is compared with one leader, which joins most of what
+belongs together. Buckets that still hold several components make families of
+components; a family is cut into blocks of bounded size, and a task counts the
+common shingles of two blocks at a time and returns no more links than it has
+rows. No pair is ever a row before it is known to be a link.
 """
 
 from __future__ import annotations
@@ -28,11 +30,14 @@ from skilltrend.plans.checkpoints import staged
 SLOTS, CHUNK = 40, 5
 #: Signature distance up to which the keys meet every pair.
 GUARANTEED_DISTANCE = 2 * (SLOTS // CHUNK) - 1
-#: Pairs that share a key but differ in more slots are not confirmed; a pair at
-#: similarity 0.8 is beyond it with a probability of 5e-6, one at 0.85 of 2e-8.
+#: Pairs that share a key of a small bucket but differ in more slots make no
+#: family; a pair at similarity 0.8 is beyond it with a probability of 5e-6.
 FARTHEST = 20
-#: Members that one task compares with one leader, and rows of a block.
-LEADER_SHARE, BLOCK = 1000, 256
+#: Members that one task compares with one leader, rows of a bucket whose
+#: signatures one task compares, and rows of a block.
+LEADER_SHARE, BUCKET, BLOCK = 1000, 512, 1024
+#: Shingles that one product of two blocks counts at once.
+COLUMNS = 2048
 #: Shingles whose hashes are held at once.
 STRIDE = 1 << 13
 
@@ -51,17 +56,16 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def bucket_keys(slots: np.ndarray) -> np.ndarray:
-    """A key for each chunk and slot left out of it."""
-    keys = np.empty(SLOTS, np.uint64)
-    for chunk in range(SLOTS // CHUNK):
-        own = slots[chunk * CHUNK : (chunk + 1) * CHUNK].astype(np.uint64)
-        for out in range(CHUNK):
-            packed = np.uint64(0)
-            for k in range(CHUNK):
-                if k != out:
-                    packed = (packed << np.uint64(16)) | own[k]
-            keys[chunk * CHUNK + out] = packed
-    return mixed(keys ^ _PLACE)
+    """Of signatures (a row each), a key for each chunk and slot left out of it."""
+    chunks = slots.astype(np.uint64).reshape(len(slots), SLOTS // CHUNK, CHUNK)
+    keys = np.empty((len(slots), SLOTS // CHUNK, CHUNK), np.uint64)
+    for out in range(CHUNK):
+        packed = np.zeros(chunks.shape[:2], np.uint64)
+        for k in range(CHUNK):
+            if k != out:
+                packed = (packed << np.uint64(16)) | chunks[:, :, k]
+        keys[:, :, out] = packed
+    return mixed(keys.reshape(len(slots), SLOTS) ^ _PLACE)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -88,62 +92,157 @@ def _sign(words: int):
     return sign
 
 
-def _keys(rows: Iterator[tuple]) -> Iterator[tuple]:
-    for node, label, slots in rows:
-        for key in bucket_keys(np.frombuffer(slots, np.uint16)).view(np.int64).tolist():
-            yield key, node, label
-
-
 def keyed(classes: DataFrame) -> DataFrame:
     """``key``, ``node``, ``label`` of ``node``, ``label``, ``slots``."""
     out = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("label", pa.int64())])
-    return map_rows(classes.select("node", "label", "slots"), _keys, "key long, node long, label long", out)
 
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                slots = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(part.num_rows, SLOTS)
+                own = [np.repeat(part.column(k).to_numpy(), SLOTS) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket_keys(slots).ravel().view(np.int64)), *map(pa.array, own)], schema=out)
 
-def _apart(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Pairs of a block whose labels differ and whose signatures are near."""
+    return classes.select("node", "label", "slots").mapInArrow(keys, "key long, node long, label long")
 
-    def pairs(group: list[tuple]) -> Iterator[tuple]:
-        ids = np.array([g[3] for g in group])
-        labels = np.array([g[4] for g in group])
-        blocks = np.array([g[5] for g in group])
-        slots = np.frombuffer(b"".join(g[6] for g in group), np.uint16).reshape(len(group), SLOTS)
-        crossing = group[0][1] != group[0][2]
-        for k in range(len(group) - 1):
-            other = slice(k + 1, None)
-            fit = labels[other] != labels[k]
-            if crossing:
-                fit &= blocks[other] != blocks[k]
-            if fit.any():
-                at = np.flatnonzero(fit) + k + 1
-                for m in at[(slots[at] != slots[k]).sum(axis=1) <= FARTHEST]:
-                    yield (int(min(ids[k], ids[m])), int(max(ids[k], ids[m])))
 
+def forest(pairs: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Those of ``pairs`` that join what the ones before have not joined."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = above.get(up, up)
+            x = up
+        return x
+
+    for a, b in pairs:
+        x, y = top(a), top(b)
+        if x != y:
+            above[max(x, y)] = min(x, y)
+            yield a, b
+
+
+def _groups(rows: Iterator[tuple], width: int) -> Iterator[list[tuple]]:
+    """Runs of rows that agree in their first ``width`` columns."""
     held: list[tuple] = []
     for row in rows:
-        if held and held[0][:3] != row[:3]:
-            yield from pairs(held)
+        if held and held[0][:width] != row[:width]:
+            yield held
             held = []
         held.append(row)
     if held:
-        yield from pairs(held)
+        yield held
+
+
+def _near_labels(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Labels of a bucket that near signatures join."""
+
+    def near(group: list[tuple]) -> Iterator[tuple[int, int]]:
+        labels = np.array([g[1] for g in group])
+        slots = np.frombuffer(b"".join(g[2] for g in group), np.uint16).reshape(len(group), SLOTS)
+        for k in range(len(group) - 1):
+            at = np.flatnonzero(labels[k + 1 :] != labels[k]) + k + 1
+            for label in np.unique(labels[at[(slots[at] != slots[k]).sum(axis=1) <= FARTHEST]]).tolist():
+                yield int(labels[k]), label
+
+    for group in _groups(rows, 1):
+        yield from forest(near(group))
 
 
-def pairs_apart(classes: DataFrame) -> DataFrame:
-    """Distinct pairs ``a`` < ``b`` that share a key but no label.
+def families(classes: DataFrame) -> DataFrame:
+    """``label`` and ``family`` for each label that must be compared with others.
 
-    Buckets of one label are left out. The others are cut into blocks of about
-    ``BLOCK`` rows, and a task sees two blocks at a time.
+    Buckets of one label are done. In others, near signatures join labels to a
+    family; of a bucket too large for one task, all labels make one.
     """
     keys = keyed(classes)
-    open_keys = keys.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    rows = keys.join(open_keys.select("key", "n"), "key").join(classes.select("node", "slots"), "node")
-    rows = rows.withColumn("n", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), "n"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, n - 1)")))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "block", "slots")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    mixed_keys = keys.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("hi"), F.count("*").alias("n"))
+    mixed_keys = mixed_keys.where("least <> hi").select("key", "least", "n")
+    rows = staged(keys.join(mixed_keys, "key"), "mixed")
+    large = rows.where(F.col("n") > BUCKET).where("label <> least").select(F.col("least").alias("a"), F.col("label").alias("b")).distinct()
+    small = rows.where(F.col("n") <= BUCKET).join(classes.select("node", "slots"), "node").select("key", "label", "slots")
+    small = small.repartition("key").sortWithinPartitions("key")
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    joined = components(large.union(map_rows(small, _near_labels, "a long, b long", out)))
+    roots = joined.select(F.col("root").alias("label"), F.col("root").alias("family")).distinct()
+    return joined.select(F.col("node").alias("label"), F.col("root").alias("family")).union(roots)
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each of ``left`` has in common with each of ``right``."""
+    sizes = [len(x) for x in (*left, *right)]
+    column, place = np.unique(np.concatenate((*left, *right)), return_inverse=True)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    uses = np.bincount(place, minlength=len(column))
+    # A shingle of one row only is common to none.
+    rank = np.cumsum(uses > 1) - 1
+    held = uses[place] > 1
+    owner, at = owner[held], rank[place[held]]
+    total = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(rank[-1]) + 1 if len(rank) else 0, COLUMNS):
+        here = (at >= start) & (at < start + COLUMNS)
+        dense = np.zeros((len(sizes), COLUMNS), np.float32)
+        dense[owner[here], at[here] - start] = 1
+        total += dense[: len(left)] @ dense[len(left) :].T
+    return total.astype(np.int64)
+
+
+def _block_links(words: int, percent: int):
+    def links(rows: Iterator[tuple]) -> Iterator[tuple]:
+        hashes = WordHashes()
+        # family, block i, block j, side, node, label, text
+        for group in _groups(rows, 3):
+            sides = [[g for g in group if g[3] == side] for side in (0, 1)]
+            if group[0][1] == group[0][2]:
+                sides[1] = sides[0]
+            if not sides[0] or not sides[1]:
+                continue
+            sets = [[shingle_hashes(hashes.of(g[6].lower().split()), words) for g in side] for side in sides]
+            sizes = [np.array([len(x) for x in side], np.int64) for side in sets]
+            both = _common(*sets)
+            labels = [np.array([g[5] for g in side]) for side in sides]
+            linked = 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
+            linked &= labels[0][:, None] != labels[1][None, :]
+            found = ((sides[0][k][4], sides[1][m][4], int(labels[0][k]), int(labels[1][m])) for k, m in zip(*map(np.ndarray.tolist, np.nonzero(linked))))
+            names = {}
+            for a, b, x, y in found:
+                names.setdefault((min(x, y), max(x, y)), (a, b))
+            for pair in forest(iter(sorted(names))):
+                yield names[pair]
+
+    return links
+
+
+def links_within(members: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between different labels of a family; ``members`` has ``family``, ``label``, ``node``, ``text``.
+
+    A label of at least ``BLOCK`` rows has blocks of its own, which need not be
+    compared with each other; smaller labels share blocks.
+    """
+    sizes = members.groupBy("family", "label").agg(F.count("*").alias("n"))
+    few = sizes.where(F.col("n") < BLOCK).groupBy("family").agg(F.sum("n").alias("few"))
+    placed = sizes.join(few, "family", "left").select(
+        "family",
+        "label",
+        F.when(F.col("n") < BLOCK, F.lit(-1).cast("long")).otherwise(F.col("label")).alias("owner"),
+        F.ceil(F.when(F.col("n") < BLOCK, F.col("few")).otherwise(F.col("n")) / BLOCK).alias("parts"),
+    )
+    dealt = members.join(placed, ["family", "label"]).withColumn(
+        "part", F.pmod(F.when(F.col("owner") < 0, F.xxhash64("label")).otherwise(F.xxhash64("node")), "parts")
+    )
+    dealt = staged(dealt.select("family", F.concat_ws(":", "owner", "part").alias("block"), "owner", "node", "label", "text"), "blocks")
+    blocks = dealt.select("family", "block", "owner").distinct()
+    left, right = (blocks.select("family", F.col("block").alias(n), F.col("owner").alias(f"{n}_owner")) for n in ("i", "j"))
+    pairs = left.join(right, "family").where("i <= j and (i_owner <> j_owner or i_owner < 0)").select("family", "i", "j")
+    sides = [
+        pairs.where("i < j" if side else "true").join(dealt.withColumnRenamed("block", name), ["family", name]).select("family", "i", "j", F.lit(side).alias("side"), "node", "label", "text")
+        for side, name in enumerate(("i", "j"))
+    ]
+    rows = sides[0].union(sides[1]).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    return map_rows(rows, _apart, "a long, b long", out).distinct()
+    return map_rows(rows, _block_links(words, percent), "a long, b long", out)
 
 
 def leader_pairs(classes: DataFrame) -> DataFrame:
@@ -211,11 +310,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     links = staged(confirmed(first, bodies, words, percent), "links")
     labels = components(links)
     labelled = staged(met.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).select("node", "slots", "label"), "labelled")
-    rest = pairs_apart(labelled).join(first, ["a", "b"], "left_anti")
-    rest = staged(rest, "apart")
-    if not rest.isEmpty():
-        more = staged(confirmed(rest, bodies, words, percent), "links")
-        labels = components(links.union(more))
+    apart = labelled.join(families(labelled), "label").select("family", "label", "node")
+    apart = staged(apart.join(bodies, "node").select("family", "label", "node", "text"), "apart")
+    if not apart.isEmpty():
+        labels = components(links.union(staged(links_within(apart, words, percent), "links")))
 
     rooted = classes.join(labels, "node", "left").select("body", "least_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
