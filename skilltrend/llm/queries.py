@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skilltrend.llm.common import held_out, table, tokenizer_path
 from skilltrend.llm.decontaminate import contamination
 from skilltrend.llm.exact_dedup import exact_duplicates
+from skilltrend.llm.language import fit_language, predict_language
 from skilltrend.llm.minhash import near_duplicates
 from skilltrend.llm.packing import packed_sequences
 from skilltrend.llm.token_store import read_tokens, with_checksums, write_tokens
@@ -26,6 +27,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = predict_language(docs, fit_language(docs.where(~held_out("doc_id", 3, 1))))
+    return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,7 +56,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {query.__name__: query for query in (op1_toxicity, op3_exact_dedup, op5_minhash, op7_token_store, op9_packing, op10_decontamination)}
+    return {query.__name__: query for query in (op1_toxicity, op2_language, op3_exact_dedup, op5_minhash, op7_token_store, op9_packing, op10_decontamination)}
 
 
 ORACLES = {
