@@ -15,7 +15,7 @@ rows. No pair is ever a row before it is known to be a link.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,12 +46,12 @@ _SHIFT = mixed(np.arange(1001, SLOTS + 1001, dtype=np.uint64))
 _PLACE = mixed(np.arange(5001, SLOTS + 5001, dtype=np.uint64))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, slots: int = SLOTS) -> np.ndarray:
     """The 16-bit minimum of each slot."""
-    low = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
+    low = np.full(slots, np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(shingles), STRIDE):
         part = shingles[start : start + STRIDE]
-        low = np.minimum(low, (np.multiply.outer(_ODD, part) + _SHIFT[:, None]).min(axis=1))
+        low = np.minimum(low, (np.multiply.outer(_ODD[:slots], part) + _SHIFT[:slots, None]).min(axis=1))
     return (mixed(low) >> np.uint64(48)).astype(np.uint16)
 
 
@@ -92,17 +92,17 @@ def _sign(words: int):
     return sign
 
 
-def keyed(classes: DataFrame) -> DataFrame:
-    """``key``, ``node``, ``label`` of ``node``, ``label``, ``slots``."""
+def keyed(classes: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``key``, ``node``, ``label`` of ``node``, ``label``, ``slots``; ``keys_of`` turns rows of slots to rows of keys."""
     out = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("label", pa.int64())])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                slots = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(part.num_rows, SLOTS)
-                own = [np.repeat(part.column(k).to_numpy(), SLOTS) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket_keys(slots).ravel().view(np.int64)), *map(pa.array, own)], schema=out)
+                found = keys_of(np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(part.num_rows, -1))
+                own = [np.repeat(part.column(k).to_numpy(), found.shape[1]) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(found.ravel().view(np.int64)), *map(pa.array, own)], schema=out)
 
     return classes.select("node", "label", "slots").mapInArrow(keys, "key long, node long, label long")
 
@@ -136,28 +136,30 @@ def _groups(rows: Iterator[tuple], width: int) -> Iterator[list[tuple]]:
         yield held
 
 
-def _near_labels(rows: Iterator[tuple]) -> Iterator[tuple]:
+def _near_labels(farthest: int):
     """Labels of a bucket that near signatures join."""
 
     def near(group: list[tuple]) -> Iterator[tuple[int, int]]:
         labels = np.array([g[1] for g in group])
-        slots = np.frombuffer(b"".join(g[2] for g in group), np.uint16).reshape(len(group), SLOTS)
+        slots = np.frombuffer(b"".join(g[2] for g in group), np.uint16).reshape(len(group), -1)
         for k in range(len(group) - 1):
             at = np.flatnonzero(labels[k + 1 :] != labels[k]) + k + 1
-            for label in np.unique(labels[at[(slots[at] != slots[k]).sum(axis=1) <= FARTHEST]]).tolist():
+            for label in np.unique(labels[at[(slots[at] != slots[k]).sum(axis=1) <= farthest]]).tolist():
                 yield int(labels[k]), label
 
-    for group in _groups(rows, 1):
-        yield from forest(near(group))
+    def joined(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for group in _groups(rows, 1):
+            yield from forest(near(group))
 
+    return joined
 
-def families(classes: DataFrame) -> DataFrame:
+
+def families(classes: DataFrame, keys: DataFrame, farthest: int) -> DataFrame:
     """``label`` and ``family`` for each label that must be compared with others.
 
     Buckets of one label are done. In others, near signatures join labels to a
     family; of a bucket too large for one task, all labels make one.
     """
-    keys = keyed(classes)
     mixed_keys = keys.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("hi"), F.count("*").alias("n"))
     mixed_keys = mixed_keys.where("least <> hi").select("key", "least", "n")
     rows = staged(keys.join(mixed_keys, "key"), "mixed")
@@ -165,7 +167,7 @@ def families(classes: DataFrame) -> DataFrame:
     small = rows.where(F.col("n") <= BUCKET).join(classes.select("node", "slots"), "node").select("key", "label", "slots")
     small = small.repartition("key").sortWithinPartitions("key")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    joined = components(large.union(map_rows(small, _near_labels, "a long, b long", out)))
+    joined = components(large.union(map_rows(small, _near_labels(farthest), "a long, b long", out)))
     roots = joined.select(F.col("root").alias("label"), F.col("root").alias("family")).distinct()
     return joined.select(F.col("node").alias("label"), F.col("root").alias("family")).union(roots)
 
@@ -245,9 +247,8 @@ def links_within(members: DataFrame, words: int, percent: int) -> DataFrame:
     return map_rows(rows, _block_links(words, percent), "a long, b long", out)
 
 
-def leader_pairs(classes: DataFrame) -> DataFrame:
+def leader_pairs(keys: DataFrame) -> DataFrame:
     """Distinct pairs of each bucket's smallest node ``a`` and its other nodes ``b``."""
-    keys = keyed(classes)
     leaders = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("hi")).where("a <> hi").drop("hi")
     return keys.join(leaders, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
@@ -280,6 +281,35 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, words: int, percent: int) ->
     return map_rows(rows, _confirm(words, percent), "a long, b long", out)
 
 
+def linked(
+    classes: DataFrame,
+    fetch: Callable[[DataFrame], DataFrame],
+    words: int,
+    percent: int,
+    keys_of: Callable[[np.ndarray], np.ndarray],
+    farthest: int,
+) -> DataFrame:
+    """``node`` and ``root`` of every class in a component of linked classes that is not its root.
+
+    ``classes`` has ``node``, ``slots`` and what ``fetch`` needs to find the
+    texts (``node``, ``text``) of some of them.
+    """
+    first = staged(leader_pairs(keyed(classes.withColumn("label", F.col("node")), keys_of)), "leaders")
+    met = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
+    met = staged(classes.join(met, "node"), "met")
+    bodies = staged(fetch(met), "bodies")
+    links = staged(confirmed(first, bodies, words, percent), "links")
+    labels = components(links)
+    labelled = met.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).select("node", "slots", "label")
+    labelled = staged(labelled, "labelled")
+    found = families(labelled, keyed(labelled, keys_of), farthest)
+    apart = labelled.join(found, "label").select("family", "label", "node")
+    apart = staged(apart.join(bodies, "node").select("family", "label", "node", "text"), "apart")
+    if apart.isEmpty():
+        return labels
+    return components(links.union(staged(links_within(apart, words, percent), "links")))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """For each row: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -296,25 +326,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
 
     classes = signed.where("n_shingles > 0").groupBy("body").agg(F.min("doc_id").alias("least_id"), F.first("slots").alias("slots"))
     classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    apart = classes.withColumn("label", F.col("node"))
-    first = staged(leader_pairs(apart), "leaders")
-
-    met = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
-    met = staged(classes.join(met, "node"), "met")
-    # Rows of the representative's id; should the id repeat, only its own text counts.
-    bodies = rows.join(met.select(F.col("least_id"), "node", "body"), F.col("doc_id").eqNullSafe(F.col("least_id")))
-    shape = pa.schema([("node", pa.int64()), ("text", pa.binary())])
-    bodies = map_rows(bodies.select("node", "text", "body"), _own(words), "node long, text binary", shape, 500)
-    bodies = staged(bodies, "bodies")
 
-    links = staged(confirmed(first, bodies, words, percent), "links")
-    labels = components(links)
-    labelled = staged(met.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).select("node", "slots", "label"), "labelled")
-    apart = labelled.join(families(labelled), "label").select("family", "label", "node")
-    apart = staged(apart.join(bodies, "node").select("family", "label", "node", "text"), "apart")
-    if not apart.isEmpty():
-        labels = components(links.union(staged(links_within(apart, words, percent), "links")))
+    def fetch(met: DataFrame) -> DataFrame:
+        # Rows of the representative's id; should the id repeat, only its own text counts.
+        found = rows.join(met.select(F.col("least_id"), "node", "body"), F.col("doc_id").eqNullSafe(F.col("least_id")))
+        shape = pa.schema([("node", pa.int64()), ("text", pa.binary())])
+        return map_rows(found.select("node", "text", "body"), _own(words), "node long, text binary", shape, 500)
 
+    labels = linked(classes, fetch, words, percent, bucket_keys, FARTHEST)
     rooted = classes.join(labels, "node", "left").select("body", "least_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     found = rooted.join(least, "root").select("body", "component_id")

@@ -14,6 +14,8 @@ from skilltrend.llm.exact_dedup import exact_duplicates
 from skilltrend.llm.language import fit_language, predict_language
 from skilltrend.llm.minhash import near_duplicates
 from skilltrend.llm.packing import packed_sequences
+from skilltrend.llm.paragraph_dedup import document_digest, paragraph_duplicates
+from skilltrend.llm.suffix_dedup import without_repeats
 from skilltrend.llm.token_store import read_tokens, with_checksums, write_tokens
 from skilltrend.llm.toxicity import fit_toxicity, score_toxicity
 from skilltrend.plans.checkpoints import scratch_path, staged
@@ -38,10 +40,19 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_repeats(table(spark, sf_dir, "documents"), length=200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_digest(paragraph_duplicates(table(spark, sf_dir, "documents")))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
@@ -65,7 +76,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {query.__name__: query for query in (op1_toxicity, op2_language, op3_exact_dedup, op5_minhash, op7_token_store, op8_chat, op9_packing, op10_decontamination)}
+    return {query.__name__: query for query in (op1_toxicity, op2_language, op3_exact_dedup, op4_suffix_array, op5_minhash, op6_paragraphs, op7_token_store, op8_chat, op9_packing, op10_decontamination)}
 
 
 ORACLES = {
