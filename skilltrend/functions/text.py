@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,19 +36,34 @@ _REFERENCE = r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);?"
 
 
 def entity_table() -> dict[str, str]:
-    """Named character references, from the standard HTML entity list."""
-    table = {name: chr(code) for name, code in name2codepoint.items()}
-    table["apos"] = "'"
-    return table
+    """Named character references: the standard HTML list, names without the semicolon."""
+    return {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+
+
+def _common_entities() -> dict[str, str]:
+    """The names in wide use, which are looked up first."""
+    return {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+
+
+def _windows_characters() -> dict[int, int]:
+    """The numbers 128 to 159, which pages take from Windows-1252; five stand for themselves."""
+    found = {}
+    for number in range(128, 160):
+        text = bytes([number]).decode("cp1252", "ignore")
+        if text:
+            found[number] = ord(text)
+    return found
 
 
 def _numbered_character(name: Column) -> Column:
     """The character of ``#65`` or ``#x41``; an impossible number gives U+FFFD."""
     is_hex = F.lower(F.substring(name, 2, 1)) == "x"
-    digits = F.when(is_hex, F.conv(F.substring(name, 3, 16), 16, 10)).otherwise(
-        F.substring(name, 2, 16)
-    )
-    code = digits.try_cast("bigint")
+    digits = F.regexp_replace(name, "^#[xX]?0*", "")
+    number = F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+    # Seven digits reach beyond the last character in either base.
+    number = F.when(F.length(digits) <= 7, number)
+    windows = F.create_map(*(F.lit(part) for pair in _windows_characters().items() for part in pair))
+    code = F.coalesce(windows[number.cast("int")].cast("bigint"), number)
     valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
     utf32 = F.unhex(F.lpad(F.hex(code), 8, "0"))
     return F.when(valid, F.decode(utf32, "UTF-32")).otherwise("\ufffd")
@@ -59,8 +74,9 @@ def decode_entities(col: Column) -> Column:
 
     A missing semicolon is accepted; an unknown name keeps its ampersand.
     """
-    literals = [F.lit(part) for item in entity_table().items() for part in item]
-    named = F.create_map(*literals)
+    common, all_names = (
+        F.create_map(*(F.lit(part) for item in table.items() for part in item)) for table in (_common_entities(), entity_table())
+    )
 
     def resolve(piece: Column) -> Column:
         """The text after one ampersand, its reference replaced."""
@@ -68,7 +84,12 @@ def decode_entities(col: Column) -> Column:
             F.regexp_extract(piece, _REFERENCE, 1),
             lambda name: F.concat(
                 F.when(name.startswith("#"), _numbered_character(name)).otherwise(
-                    F.coalesce(named[name], F.concat(F.lit("&"), name))
+                    F.coalesce(
+                        common[name],
+                        # The rarer names count only with their semicolon: "&in" is two words more often.
+                        F.when(F.startswith(piece, F.concat(name, F.lit(";"))), all_names[name]),
+                        F.concat(F.lit("&"), name),
+                    )
                 ),
                 F.when(name == "", piece).otherwise(F.regexp_replace(piece, _REFERENCE, "")),
             ),

@@ -28,20 +28,22 @@ def map_values(col: Column, mapping: Mapping[str, str]) -> Column:
 def replace_patterns(col: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """Apply (pattern, replacement) rules in order, unanchored.
 
-    Each rule replaces its first match only, as the lazy prefix is anchored.
+    Each rule replaces its first match only: what follows is matched with it and
+    put back. That group comes last, so a rule's own groups keep their numbers.
     """
     for pattern, replacement in rules:
-        col = F.regexp_replace(
-            col, rf"(?s)\A(?<before>.*?)(?-s:{pattern})", "${before}" + replacement
-        )
+        col = F.regexp_replace(col, rf"(?:{pattern})(?s:(?<rest>.*))\z", replacement + "${rest}")
     return col
 
 
 def parse_month_first(col: Column, strict: bool = True) -> Column:
     """``m/d/yyyy`` text to a date; junk fails the job, or is null if lenient."""
-    if strict:
-        return F.to_date(col, "M/d/yyyy")
-    return F.try_to_date(col, "M/d/yyyy")
+    parsed = F.try_to_date(col, "M/d/yyyy")
+    if not strict:
+        return parsed
+    # An error of its own: whether ``to_date`` fails depends on a session setting.
+    junk = F.raise_error(F.concat(F.lit("not a m/d/yyyy date: "), col)).cast("date")
+    return F.when(col.isNull() | parsed.isNotNull(), parsed).otherwise(junk)
 
 
 def submitted_timestamp(df: DataFrame, name: str, strict: bool = True) -> Column:
@@ -75,31 +77,34 @@ def percent_label(col: Column) -> Column:
     """``12.3%``; null stays null.
 
     Rounds the exact binary value, ties to the even digit, where Spark's own
-    formatting rounds its decimal print-out half up. Scaled by a power of two
-    a number below 2^11 becomes whole without losing a bit; larger ones, which
-    no share reaches, are left to Spark's formatting.
+    formatting rounds its decimal print-out half up. The whole part is split
+    off, and what is left, scaled by a power of two, becomes whole without
+    losing a bit that matters.
     """
+    unit = F.lit(2**62).cast("decimal(19,0)")
 
     def exact(value: Column) -> Column:
         size = F.abs(value)
-        scale = F.when(size >= 1, F.lit(2.0**52)).otherwise(F.lit(2.0**62))
-        whole = (size * scale).cast("bigint").cast("decimal(19,0)") * 10
-        unit = scale.cast("bigint").cast("decimal(19,0)")
-
-        def write(tenths: Column) -> Column:
-            sign = F.when(value < 0, "-").otherwise("")
-            return F.concat(sign, F.floor(tenths / 10), F.lit("."), tenths % 10, F.lit("%"))
+        # From 2^53 on a number is whole; below, the remainder is exact.
+        part = size % 1
+        whole = (size - part).cast("bigint")
+        tenfold = (part * F.lit(2.0**62)).cast("bigint").cast("decimal(19,0)") * 10
 
         def rounded(down: Column) -> Column:
-            rest = (whole - down * unit) * 2
+            rest = (tenfold - down * unit) * 2
             up = (rest > unit) | ((rest == unit) & (down % 2 == 1))
-            return once(down.cast("bigint") + up.cast("bigint"), write)
+            return once(down.cast("int") + up.cast("int"), write)
+
+        def write(tenths: Column) -> Column:
+            sign = F.when(value < 0, "-").otherwise("")
+            return F.concat(sign, (whole + (tenths == 10).cast("bigint")).cast("string"), F.lit("."), tenths % 10, F.lit("%"))
 
-        return once(F.floor(whole / unit).cast("decimal(19,0)"), rounded)
+        return once(F.floor(tenfold / unit).cast("decimal(19,0)"), rounded)
 
+    # Beyond 2^62 there are no decimals to round, only digits to print.
     return once(
         col,
-        lambda value: F.when(F.abs(value) < 2048, exact(value)).when(
-            value.isNotNull(), F.format_string("%.1f%%", value)
+        lambda value: F.when(F.isnan(value) | (F.abs(value) >= 2.0**62), F.format_string("%.1f%%", value)).when(
+            value.isNotNull(), exact(value)
         ),
     )

@@ -8,7 +8,7 @@ from typing import Any
 from uuid import uuid4
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skilltrend.columns import (
@@ -26,7 +26,7 @@ from skilltrend.functions.text import (
     word_ngrams,
 )
 from skilltrend.functions.values import once
-from skilltrend.plans.checkpoints import BROADCAST_ROW_LIMIT, broadcast_if_small
+from skilltrend.plans.checkpoints import spread
 
 # An extractor turns (text_id, chunk_no, chunk) rows into
 # (text_id, entity_group, word) rows.
@@ -34,6 +34,8 @@ Extractor = Callable[[DataFrame], DataFrame]
 
 # What a model returns for one chunk: records with "entity_group" and "word".
 Model = Callable[[str], Iterable[Mapping[str, Any]]]
+# A model that takes several chunks at once and returns such records for each.
+BatchModel = Callable[[list[str]], Iterable[Iterable[Mapping[str, Any]]]]
 
 
 def add_clean_text(df: DataFrame, cols: PostingColumns = DEFAULT_COLUMNS) -> DataFrame:
@@ -71,25 +73,32 @@ def text_chunks(
 class DictionaryExtractor:
     """Finds the phrases of a (phrase, entity_group) table in each chunk.
 
-    The table is broadcast only if its counted rows stay within
-    ``broadcast_rows``; a larger one is joined by shuffling.
+    Phrases and texts are normalised alike, word by word. Runs of words are as
+    long as the longest phrase, which is found in the table unless ``max_words``
+    says it; a phrase that is longer than that is an error. The join carries no
+    hint: adaptive execution broadcasts the table if its measured bytes allow.
     """
 
     phrases: DataFrame
-    max_words: int
-    broadcast_rows: int = BROADCAST_ROW_LIMIT
+    max_words: int | None = None
     cols: PostingColumns = DEFAULT_COLUMNS
 
     def __call__(self, chunks: DataFrame) -> DataFrame:
-        words = F.array_remove(F.transform(split_words(F.col("chunk")), normal_word), "")
+        table = self.phrases.select(_normal_words(F.col("phrase")).alias("_words"), "entity_group")
+        table = table.where(F.size("_words") > 0)
+        longest = table.agg(F.max(F.size("_words"))).first()[0] or 1
+        if self.max_words is not None and longest > self.max_words:
+            raise ValueError(f"a phrase has {longest} words, more than max_words={self.max_words}")
         runs = chunks.select(
             self.cols.text_id,
-            F.explode(once(words, lambda w: word_ngrams(w, self.max_words))).alias("word"),
-        )
-        table = self.phrases.select(F.col("phrase").alias("word"), "entity_group").distinct()
-        return runs.join(broadcast_if_small(table, self.broadcast_rows), "word").select(
-            self.cols.text_id, "entity_group", "word"
+            F.explode(once(_normal_words(F.col("chunk")), lambda w: word_ngrams(w, longest))).alias("word"),
         )
+        table = table.select(F.array_join("_words", " ").alias("word"), "entity_group").distinct()
+        return runs.join(table, "word").select(self.cols.text_id, "entity_group", "word")
+
+
+def _normal_words(text: Column) -> Column:
+    return F.array_remove(F.transform(split_words(text), normal_word), "")
 
 
 _loaded: dict[str, Model] = {}
@@ -108,34 +117,40 @@ class ModelExtractor:
     """Runs a user's model on every chunk, loading it once per Python worker.
 
     Chunks, not texts, are spread over the tasks, since texts differ a lot in
-    length. ``partitions`` fixes how many tasks share the work.
+    length. ``partitions`` fixes how many tasks share the work; else all shuffle
+    partitions do, as chunks are small in bytes but dear in model time. With a
+    ``batch_size`` the model gets lists of up to so many chunks.
     """
 
-    load: Callable[[], Model]
+    load: Callable[[], Model] | Callable[[], BatchModel]
     partitions: int | None = None
+    batch_size: int | None = None
     cols: PostingColumns = DEFAULT_COLUMNS
     key: str = field(default_factory=lambda: uuid4().hex)
 
     def __call__(self, chunks: DataFrame) -> DataFrame:
-        load, key_of_model, text_id = self.load, self.key, self.cols.text_id
+        load, key_of_model, text_id, size = self.load, self.key, self.cols.text_id, self.batch_size
+
+        def records(model: Model | BatchModel, chunks: list[str]) -> Iterator[Iterable[Mapping[str, Any]]]:
+            if size is None:
+                yield from map(model, chunks)
+                return
+            for start in range(0, len(chunks), size):
+                yield from model(chunks[start : start + size])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 model = loaded_model(key_of_model, load)
                 found = [
                     (key, record["entity_group"], record["word"])
-                    for key, chunk in zip(batch[text_id], batch["chunk"])
-                    for record in model(chunk)
+                    for key, of_chunk in zip(batch[text_id], records(model, list(batch["chunk"])))
+                    for record in of_chunk
                 ]
                 yield pd.DataFrame(found, columns=[text_id, "entity_group", "word"])
 
         keys = [text_id, "chunk_no"]
-        spread = (
-            chunks.repartition(self.partitions, *keys)
-            if self.partitions
-            else chunks.repartition(*keys)
-        )
-        return spread.mapInPandas(run, f"{text_id} string, entity_group string, word string")
+        dealt = chunks.repartition(self.partitions, *keys) if self.partitions else spread(chunks, *keys)
+        return dealt.mapInPandas(run, f"{text_id} string, entity_group string, word string")
 
 
 def extract_skills(

@@ -28,15 +28,21 @@ MAX_LEVELS = 1000
 
 def standardize_skills(
     df: DataFrame,
-    synonyms: Mapping[str, str] = SYNONYMS,
+    synonyms: Mapping[str, str] | DataFrame = SYNONYMS,
     stop_words: Sequence[str] | DataFrame = STOP_WORDS,
     cols: PostingColumns = DEFAULT_COLUMNS,
 ) -> DataFrame:
     """Fold synonyms in one pass, then drop stop-words.
 
-    Stop-words may also come as a table with one column.
+    Both may also come as tables: stop-words with one column, synonyms with two,
+    the spelling and what it stands for (the least, if it is named twice).
     """
-    df = df.withColumn(cols.skill, map_values(F.col(cols.skill), synonyms))
+    if isinstance(synonyms, DataFrame):
+        table = synonyms.toDF("_spelling", "_name").groupBy("_spelling").agg(F.min("_name").alias("_name"))
+        joined = df.join(table, F.col(cols.skill) == F.col("_spelling"), "left")
+        df = joined.withColumn(cols.skill, F.coalesce("_name", cols.skill)).select(df.columns)
+    else:
+        df = df.withColumn(cols.skill, map_values(F.col(cols.skill), synonyms))
     if isinstance(stop_words, DataFrame):
         words = stop_words.toDF(cols.skill).distinct()
         return df.dropna(subset=[cols.skill]).join(words, cols.skill, "left_anti").select(df.columns)
@@ -71,32 +77,54 @@ def share_by_level(
 
 def found_levels(
     share: DataFrame, max_levels: int = MAX_LEVELS, cols: PostingColumns = DEFAULT_COLUMNS
-) -> list[str]:
-    """All level values in the data; a null level counts as ``null``."""
-    level = F.coalesce(F.col(cols.level), F.lit("null")).alias("level")
-    rows = share.select(level).distinct().orderBy("level").limit(max_levels + 1).collect()
+) -> list[str | None]:
+    """All level values in the data, null last.
+
+    More than ``max_levels`` raise: so many columns are no table to look at. The
+    long form that goes into the pivot answers the same questions at any number.
+    """
+    level = F.col(cols.level).alias("level")
+    rows = share.select(level).distinct().orderBy(F.asc_nulls_last("level")).limit(max_levels + 1).collect()
     if len(rows) > max_levels:
-        raise ValueError(f"more than {max_levels} levels cannot become columns")
+        raise ValueError(f"more than {max_levels} levels: raise max_levels or use the long form")
     return [row["level"] for row in rows]
 
 
+def level_names(levels: Sequence[str | None], cols: PostingColumns = DEFAULT_COLUMNS) -> list[str]:
+    """Column names of levels: their own, with ``_level`` appended while another column has it.
+
+    Column names do not tell upper from lower case. A null level is called ``null``.
+    """
+    used = {name.lower() for name in (cols.profession, cols.skill, DIFF, CHANGE, MID_DIFF, SENIOR_DIFF, RANK)}
+    names = []
+    for level in levels:
+        name = "null" if level is None else level
+        while name.lower() in used:
+            name += "_level"
+        used.add(name.lower())
+        names.append(name)
+    return names
+
+
 def level_pivot(
     share: DataFrame,
-    levels: Sequence[str] | None = LEVELS,
+    levels: Sequence[str | None] | None = LEVELS,
     cols: PostingColumns = DEFAULT_COLUMNS,
+    max_levels: int = MAX_LEVELS,
 ) -> DataFrame:
     """One row per (profession, skill), one share column per level, 0.0 if none.
 
     A skill seen only at other levels keeps its row. ``levels=None`` gives every
-    level of the data its column next to the three usual ones. Written as conditional sums, which shuffle once where ``pivot`` shuffles twice.
+    level of the data its column next to the three usual ones, named as
+    ``level_names`` says. Written as conditional sums, which shuffle once where
+    ``pivot`` shuffles twice.
     """
     if levels is None:
-        extra = [level for level in found_levels(share, cols=cols) if level not in LEVELS]
+        extra = [level for level in found_levels(share, max_levels, cols) if level not in LEVELS]
         levels = [*LEVELS, *extra]
-    level = F.coalesce(F.col(cols.level), F.lit("null"))
     sums = [
-        F.coalesce(F.sum(F.when(level == name, F.col("share_pct"))), F.lit(0.0)).alias(name)
-        for name in levels
+        F.coalesce(F.sum(F.when(F.col(cols.level).eqNullSafe(F.lit(level)), F.col("share_pct"))), F.lit(0.0)).alias(name)
+        for level, name in zip(levels, level_names(levels, cols))
     ]
     return share.groupBy(cols.profession, cols.skill).agg(*sums)
 
@@ -139,12 +167,13 @@ def rank_within(df: DataFrame, by: str, k: int | None, cols: PostingColumns = DE
 def evolution_matrix(
     share: DataFrame,
     top_k: int | None = MATRIX_SIZE,
-    levels: Sequence[str] | None = LEVELS,
+    levels: Sequence[str | None] | None = LEVELS,
     cols: PostingColumns = DEFAULT_COLUMNS,
+    max_levels: int = MAX_LEVELS,
 ) -> DataFrame:
     """The matrix of all professions, ranked by Junior share in each."""
     named = share.where(F.col(cols.profession).isNotNull())
-    return rank_within(add_changes(level_pivot(named, levels, cols)), JUNIOR, top_k, cols)
+    return rank_within(add_changes(level_pivot(named, levels, cols, max_levels)), JUNIOR, top_k, cols)
 
 
 def mention_counts(df: DataFrame, cols: PostingColumns = DEFAULT_COLUMNS) -> DataFrame:
@@ -152,6 +181,12 @@ def mention_counts(df: DataFrame, cols: PostingColumns = DEFAULT_COLUMNS) -> Dat
     return df.groupBy(cols.profession, cols.level, cols.skill).agg(F.count("*").alias("len"))
 
 
+def most_mentioned(counts: DataFrame, k: int | None = None, cols: PostingColumns = DEFAULT_COLUMNS) -> DataFrame:
+    """Mention counts, highest first; ties by profession, level and skill. ``k`` keeps the first rows."""
+    ordered = counts.orderBy(F.desc("len"), cols.profession, cols.level, cols.skill)
+    return ordered if k is None else ordered.limit(k)
+
+
 def merge_mentions(counts: DataFrame, cols: PostingColumns = DEFAULT_COLUMNS) -> DataFrame:
     """Add up mention counts after skills were renamed."""
     return counts.groupBy(cols.profession, cols.level, cols.skill).agg(F.sum("len").alias("len"))

@@ -102,10 +102,11 @@ def analyze(
 ) -> Analysis:
     """Clean, extract, merge spellings, count, pivot and rank."""
     cleaned = clean_postings(raw, date_range, cols=cols, **cleaning)
-    postings = staged(add_clean_text(cleaned, cols), "postings")
+    # The HTML is done with; left in, it would be most of what is written.
+    postings = staged(add_clean_text(cleaned, cols).drop(cols.scope), "postings")
     totals = level_totals(postings, cols)
     tagged = tag_postings(
-        postings.drop(cols.scope),
+        postings,
         extractor,
         threshold=threshold,
         processor=processor,

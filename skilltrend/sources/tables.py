@@ -47,12 +47,13 @@ def read_table(
     fmt: str = "parquet",
     schema: T.StructType | str | None = None,
     required: Iterable[str] = (),
-    multiline: bool = True,
+    multiline: bool = False,
 ) -> DataFrame:
     """Read one folder or several files with an explicit schema.
 
-    ``multiline=False`` lets Spark split a CSV file between tasks; use it when
-    no field holds a line break.
+    CSV files are split between tasks. Where fields hold line breaks, as HTML
+    scopes do, ``multiline=True`` reads them right, but a file then goes to one
+    task whatever its size: such tables belong in Parquet.
     """
     _check_format(fmt)
     if schema is None and fmt in ("csv", "json"):
@@ -75,7 +76,7 @@ def read_postings(
     path: str | Sequence[str],
     fmt: str = "parquet",
     cols: PostingColumns = DEFAULT_COLUMNS,
-    multiline: bool = True,
+    multiline: bool = False,
 ) -> DataFrame:
     """Scan the raw postings table.
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skilltrend.functions.similarity import common_subsequence, comparison_key, similarity
-from skilltrend.operators.canonical import similar_keys, spelling_map
+from skilltrend.operators.canonical import merge_spellings, similar_keys, spelling_map
 
 
 def plain_lcs(a, b):
@@ -116,11 +116,11 @@ def test_pairs_equal_brute_force(spark, threshold, pair_limit, length):
 
 
 @pytest.mark.parametrize(
-    "processor, tail_rows", [("alnum", 0), ("none", 40)]
+    "processor, task_rows", [("alnum", 0), ("none", 40)]
 )
-def test_map_equals_brute_force(spark, processor, tail_rows):
+def test_map_equals_brute_force(spark, processor, task_rows):
     words = near_words(5, 120, (4, 14)) + near_words(50, 50, (18, 30))
-    got = computed_map(spark, words, processor=processor, tail_rows=tail_rows)
+    got = computed_map(spark, words, processor=processor, task_rows=task_rows)
     assert got == plain_map(words, processor) and got
     assert not set(got) & set(got.values()), "depth one"
     assert len(set(got.values())) == len(got), "each absorbs at most one"
@@ -133,10 +133,23 @@ def test_crowded_group_of_one_key(spark):
     words = [f"abcdefg{a}hijkl{b}" for a in marks[:3] for b in marks] + ["abcdefg hijkl", "abcdefg hijk", "abcdefgh ijkl", "abcdefg hijklm"]
     want = plain_map(words, "alnum")
     assert len(want) > 15
-    assert computed_map(spark, words, tail_rows=0) == want
+    assert computed_map(spark, words, task_rows=0) == want
     assert computed_map(spark, words) == want
 
 
+@pytest.mark.parametrize("task_rows", [100_000, 0])
+def test_dense_family(spark, task_rows):
+    # All of a family are alike, so each spelling waits for those before it.
+    size = 300 if task_rows else 24
+    names = [f"n{k:05d}" for k in range(size)]
+    words = spark.createDataFrame([(n, n) for n in names], "skill string, key string")
+    links = spark.createDataFrame(
+        [(a, b, 95.0) for a, b in itertools.combinations(names, 2)], "key_a string, key_b string, score double"
+    )
+    got = {tuple(r) for r in merge_spellings(words, links, task_rows).collect()}
+    assert got == {(names[k + 1], names[k]) for k in range(0, size, 2)}
+
+
 def test_stated_cases(spark):
     words = [
         "reactjs", "react js", "abcdefghijkl", "abcdefghijkx", "mnopqrstuvw", "mnopqrstuvx",

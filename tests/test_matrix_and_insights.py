@@ -71,6 +71,26 @@ def test_matrix_changes(spark):
     assert as_dict(steps, C.skill, matrix.SENIOR_DIFF)["mid"] == -3.0
 
 
+def test_level_columns_do_not_clash(spark):
+    share = shares(spark, [("p", "rank", "a", 3.0), ("p", "null", "a", 2.0), ("p", None, "a", 5.0), ("p", "JUNIOR", "a", 7.0), ("p", "Junior", "a", 1.0)])
+    row = matrix.evolution_matrix(share, levels=None).first().asDict()
+    assert row["rank_level"] == 3.0 and row["null"] == 2.0 and row["null_level"] == 5.0
+    assert row["JUNIOR_level"] == 7.0 and row["Junior"] == 1.0 and row["rank"] == 1
+
+
+def test_synonyms_as_a_table(spark):
+    rows = [("1", "p", "Junior", s) for s in ["a", "b", "c"]]
+    table = spark.createDataFrame([("b", "a"), ("b", "z"), (None, "q")], "x string, y string")
+    named = matrix.standardize_skills(tagged(spark, rows), table, [])
+    assert sorted(r[C.skill] for r in named.collect()) == ["a", "a", "c"]
+
+
+def test_most_mentioned(spark):
+    rows = [("1", "p", "Junior", s) for s in ["a", "b", "b", "c"]]
+    counts = matrix.mention_counts(tagged(spark, rows))
+    assert [r[C.skill] for r in matrix.most_mentioned(counts, 2).collect()] == ["b", "a"]
+
+
 def test_too_many_levels_stop(spark):
     share = shares(spark, [("p", f"L{i}", "s", 1.0) for i in range(5)])
     with pytest.raises(ValueError):

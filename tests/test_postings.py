@@ -87,6 +87,24 @@ def test_bad_dates(spark):
     assert {r[0] for r in df.select(parse_month_first(F.col("d"))).collect()} == {dt.date(2024, 1, 5)}
 
 
+def test_strict_dates_do_not_depend_on_ansi_mode(spark):
+    df = spark.createDataFrame([("garbage",)], "d string")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        with pytest.raises(Exception, match="date"):
+            df.select(parse_month_first(F.col("d"))).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_rules_with_groups(spark):
+    df = spark.createDataFrame([("X_DATA_ENGINEER_WEB",), ("AI_ENGINEER_AI_ENGINEER_",), ("other",)], "p string")
+    rule = [(r"(DATA|AI)_ENGINEER_", "$1-")]
+    got = [r[0] for r in df.select(replace_patterns(F.col("p"), rule)).collect()]
+    assert got == ["X_DATA-WEB", "AI-AI_ENGINEER_", "other"]
+
+
 def test_real_dates_and_last_day(spark):
     df = frame(spark, [posting("a"), posting("b")]).withColumn(
         C.submitted,
@@ -114,7 +132,7 @@ def test_survivor_does_not_depend_on_partitioning(spark):
 
 
 def test_percent_label(spark):
-    values = [0.0, 100.0, 6.25, 6.75, 0.15, 0.05, 12.35, 99.95, -1.25, 1e-9] + [i / 20 for i in range(400)]
+    values = [0.0, 100.0, 6.25, 6.75, 0.15, 0.05, 12.35, 99.95, -1.25, 1e-9, 2048.25, 2048.35, 4095.75, 1e6 + 0.25, 2.0**60, -2048.75, 0.96, 9.999, 2047.96] + [i / 20 for i in range(400)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     assert [r[0] for r in df.select(percent_label(F.col("v"))).collect()] == [f"{v:.1f}%" for v in values]
 

@@ -124,10 +124,10 @@ def test_model_is_loaded_once_per_worker(spark):
     assert len(seen) == len({name.split()[1] for name in seen})
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 1000])
-def test_dictionary_extraction(spark, broadcast_rows):
+@pytest.mark.parametrize("max_words", [None, 2])
+def test_dictionary_extraction(spark, max_words):
     phrases = spark.createDataFrame(
-        [("java", "HSKILL"), ("machine learning", "HSKILL"), ("c++", "HSKILL"), ("oslo", "LOC"), ("node.js", "HSKILL")],
+        [("java", "HSKILL"), ("(Machine  Learning)", "HSKILL"), ("c++", "HSKILL"), ("oslo", "LOC"), ("node.js", "HSKILL")],
         "phrase string, entity_group string",
     )
     rng = random.Random(1)
@@ -138,11 +138,48 @@ def test_dictionary_extraction(spark, broadcast_rows):
         " ".join([*filler, "machine", "learning"]),
     ]
     postings = texts(spark, values)
-    extractor = DictionaryExtractor(phrases, max_words=2, broadcast_rows=broadcast_rows)
+    extractor = DictionaryExtractor(phrases, max_words=max_words)
     got = by_serial(attach_skills(postings, extract_skills(distinct_texts(postings), extractor)))
     assert got == {"0": ["java", "machine learning"], "1": ["c++", "node.js"], "2": [], "3": []}
 
 
+def test_long_phrases_are_found_or_refused(spark):
+    phrases = spark.createDataFrame([("natural language processing tools", "HSKILL")], "phrase string, entity_group string")
+    postings = texts(spark, ["Knows natural language processing tools."])
+    found = attach_skills(postings, extract_skills(distinct_texts(postings), DictionaryExtractor(phrases)))
+    assert by_serial(found) == {"0": ["natural language processing tools"]}
+    with pytest.raises(ValueError):
+        DictionaryExtractor(phrases, max_words=3)(text_chunks(distinct_texts(postings)))
+
+
+def _says(chunk):
+    return [{"entity_group": "HSKILL", "word": word} for word in chunk.split()]
+
+
+def test_model_takes_chunks_at_once(spark):
+    postings = texts(spark, ["java sql", "oslo", "rust"])
+    sizes = [None, 1, 2, 50]
+    results = [
+        by_serial(attach_skills(postings, extract_skills(distinct_texts(postings), ModelExtractor(
+            (lambda: lambda chunks: [_says(c) for c in chunks]) if size else (lambda: _says), batch_size=size))))
+        for size in sizes
+    ]
+    assert all(r == {"0": ["java", "sql"], "1": ["oslo"], "2": ["rust"]} for r in results)
+
+
+def test_references(spark):
+    cases = {
+        "don&#146;t &#150; &#x80;": "don\u2019t \u2013 \u20ac",
+        "C&num; &plus; node&period;js": "C# + node.js",
+        "&#00000000000000000065;&#x0041;": "AA",
+        "&#0;&#x110000;&#99999999999999999999;": "\ufffd\ufffd\ufffd",
+        "&notit; &in x &amp x &nosuch;": "&notit &in x & x &nosuch",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "x string")
+    got = {r[0]: r[1] for r in df.select("x", html_to_text(F.col("x"))).collect()}
+    assert got == cases
+
+
 def test_text_stays_in_the_jvm(spark):
     df = spark.createDataFrame([("<p>a b</p>",)], "x string")
     plan = df.select(clean_token(F.col("x")), word_chunks(html_to_text(F.col("x"))))
