@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from skilltrend.llm.common import texts
 from skilltrend.llm.tokens import TextEncoder
+from skilltrend.plans.checkpoints import broadcast_if_small
 
 #: Bytes of a row group and of a page.
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
@@ -103,7 +104,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     chunks = stored.groupBy("chunk").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = chunks.select("chunk", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    return stored.join(bases, "chunk").withColumn("start", F.col("base") + F.col("start_in_chunk")).drop("base")
+    # One row per file: where those are few, no row of ids is moved for them.
+    return stored.join(broadcast_if_small(bases), "chunk").withColumn("start", F.col("base") + F.col("start_in_chunk")).drop("base")
 
 
 def with_checksums(stored: DataFrame) -> DataFrame:

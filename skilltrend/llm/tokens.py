@@ -24,6 +24,8 @@ _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 _ENDS = rf"(?=[{_SPACE}!-/:-@\[-`{{-~]|\Z)"
 _WITH_SPACE = re.compile(rf"[{_SPACE}]*+[{_LETTERS}]++{_ENDS}|[{_SPACE}]*+[^{_SPACE}]++|[{_SPACE}]++")
 _WITHOUT_SPACE = re.compile(rf"[{_LETTERS}]++{_ENDS}|[^{_SPACE}]++")
+# Where lower case goes character by character and texts are composed already.
+_BEYOND_LATIN = re.compile("[\u0130\u0250-\U0010ffff]")
 _PLAIN = re.compile(rf" ?[{_LETTERS}]+")
 
 
@@ -59,7 +61,7 @@ class TextEncoder(dict):
         if not _PLAIN.fullmatch(stretch):
             return self._tokenizer.encode(stretch, add_special_tokens=False).ids
         if self._drops_space:
-            stretch = self._tokenizer.normalizer.normalize_str(stretch)
+            stretch = stretch.lower()
         letters = stretch.encode().decode("latin-1").translate(_byte_letters())
         return [token.id for token in self._model.tokenize(letters)]
 
@@ -77,4 +79,9 @@ class TextEncoder(dict):
         return found
 
     def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, self._pattern.findall(text.decode("utf-8", "replace"))))
+        line = text.decode("utf-8", "replace")
+        # The kind that drops white space works in lower case; done for the whole
+        # text, capitals need no room in the memory. Special tokens keep theirs.
+        if self._drops_space and "<|" not in line and not _BEYOND_LATIN.search(line):
+            line = line.lower()
+        return b"".join(map(self.__getitem__, self._pattern.findall(line)))
