@@ -2,16 +2,17 @@
 
 The benchmark comes in blocks of bounded size, each sent to all tasks, and every
 block is held against all documents. A first pass counts in how many documents
-each three-word run of the items occurs. Of any six runs that follow each other
-in an item, the one in fewest documents becomes a seed, so every stretch of
-eight unedited words holds one, however often the item was copied. A second
-pass finds the seeds in each text and aligns the item with the words around.
+each three-word run of the items occurs. A run is a seed unless it is in many
+more documents than the rarest of the runs around it: turns of phrase drop out,
+but an item keeps its seeds however often it was copied. A second pass finds the
+seeds in each text and aligns the item with the words around.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -21,12 +22,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skilltrend.llm.common import WORD_MEMORY, map_rows, mixed, texts
+from skilltrend.llm.common import map_rows, mixed, texts
 from skilltrend.plans.checkpoints import staged
 
-GRAM, WINDOW = 3, 6
+#: Words of a run, runs that are compared with each other, and how many times
+#: as many documents as the rarest of them a seed may be in.
+GRAM, WINDOW, COMMON = 3, 6, 4
 #: Benchmark characters of one block.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
 #: Share of an item's highest alignment score from which a passage counts as a copy.
 COPIED = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -34,28 +37,32 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 _WORD = re.compile(r"[^\W_]+")
 
 
-class Words(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= WORD_MEMORY:
-            self.clear()
-        value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(word) <= 64:
-            self[word] = value
-        return value
+class Vocabulary(dict):
+    """Hashes of the words of one block of items; every other word is 0."""
+
+    def add(self, text: bytes) -> np.ndarray:
+        words = _WORD.findall(text.decode("utf-8", "replace").lower())
+        for word in words:
+            if word not in self:
+                self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) or 1
+        return np.array([self[word] for word in words], np.uint64)
 
     def of(self, text: bytes) -> np.ndarray:
         words = _WORD.findall(text.decode("utf-8", "replace").lower())
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(self.get, words, repeat(0)), np.uint64, len(words))
 
 
-def grams(words: np.ndarray) -> np.ndarray:
-    """A hash for each run of ``GRAM`` words."""
-    if len(words) < GRAM:
-        return np.empty(0, np.uint64)
-    total = np.zeros(len(words) - GRAM + 1, np.uint64)
+def runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the runs of ``GRAM`` words that are all in the vocabulary."""
+    number = max(0, len(words) - GRAM + 1)
+    known = np.ones(number, bool)
+    for k in range(GRAM):
+        known &= words[k : k + number] != 0
+    places = np.flatnonzero(known)
+    total = np.zeros(len(places), np.uint64)
     for k in range(GRAM):
-        total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(total)])
-    return total
+        total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + words[places + k])
+    return places, total
 
 
 def _ends(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -85,39 +92,36 @@ def aligned(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
 class Seeds:
     """The seeds of one block of items, each with the places where items hold it."""
 
-    def __init__(self, item_ids: list[int], items: list[np.ndarray], counts: dict[int, int]) -> None:
-        self.item_ids, self.items = item_ids, items
+    def __init__(self, vocabulary: Vocabulary, item_ids: list[int], items: list[np.ndarray], counts: dict[int, int]) -> None:
+        self.vocabulary, self.item_ids, self.items = vocabulary, item_ids, items
         found: list[tuple[int, int, int]] = []
-        own = [grams(item) for item in items]
+        own = [runs(item)[1].tolist() for item in items]
         shared: dict[int, int] = {}
-        for runs in own:
-            for run in set(runs.tolist()):
+        for listed in own:
+            for run in set(listed):
                 shared[run] = shared.get(run, 0) + 1
-        for k, runs in enumerate(own):
-            listed = runs.tolist()
-            rank = [(counts.get(r, 0) + shared[r], r) for r in listed]
-            chosen = set()
-            for start in range(max(1, len(listed) - WINDOW + 1)):
-                part = range(start, min(start + WINDOW, len(listed)))
-                if part:
-                    chosen.add(min(part, key=lambda at: rank[at]))
-            found += [(listed[at], k, at) for at in chosen]
+        for k, listed in enumerate(own):
+            rank = np.array([counts.get(r, 0) + shared[r] for r in listed], np.int64)
+            around = [int(rank[max(0, at - WINDOW // 2) : at + WINDOW // 2 + 1].min()) for at in range(len(rank))]
+            found += [(listed[at], k, at) for at in range(len(rank)) if rank[at] <= COMMON * around[at]]
         found.sort()
         self.keys, starts = np.unique(np.array([f[0] for f in found], np.uint64), return_index=True)
         self.bounds = np.r_[starts, len(found)].astype(np.int64)
         self.places = np.array([f[1:] for f in found], np.int64).reshape(-1, 2)
 
-    def copies(self, words: np.ndarray, least: float) -> Iterator[tuple[int, float, int, int]]:
-        """Item id, score, first word and the one after the last, for each item copied: its best copy."""
-        runs = grams(words)
-        if not len(runs) or not len(self.keys):
+    def copies(self, text: bytes, least: float) -> Iterator[tuple[int, float, int, int]]:
+        """Item id, score, first word and the one after the last, for each item that the text copies: its best copy."""
+        words = self.vocabulary.of(text)
+        hits, found = runs(words)
+        if not len(found) or not len(self.keys):
             return
-        at = np.searchsorted(self.keys, runs)
+        at = np.searchsorted(self.keys, found)
         at[at == len(self.keys)] = 0
-        hits = np.flatnonzero(self.keys[at] == runs)
+        same = self.keys[at] == found
+        hits, at = hits[same], at[same]
         if not len(hits):
             return
-        first, last = self.bounds[at[hits]], self.bounds[at[hits] + 1]
+        first, last = self.bounds[at], self.bounds[at + 1]
         sizes = last - first
         spread = np.repeat(first - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(int(sizes.sum()))
         item, offset = self.places[spread, 0], self.places[spread, 1]
@@ -164,9 +168,8 @@ def benchmark_copies(
     for seeds in seed_blocks(rows, benchmark, block_chars):
 
         def match(rows: Iterator[tuple], seeds=seeds) -> Iterator[tuple]:
-            words = Words()
             for doc_id, text in rows:
-                for item_id, score, start, end in seeds.value.copies(words.of(text), least):
+                for item_id, score, start, end in seeds.value.copies(text, least):
                     yield doc_id, item_id, score, *_char_span(text, start, end)
 
         found = found.union(map_rows(rows, match, schema, out))
@@ -182,21 +185,19 @@ def seed_blocks(rows: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_
     blocks = max(1, -(-chars // block_chars))
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id").collect()
-        words = Words()
-        held = [(r["item_id"], words.of(bytes(r["text"]))) for r in part]
+        words = Vocabulary()
+        held = [(r["item_id"], words.add(bytes(r["text"]))) for r in part]
         held = [h for h in held if len(h[1]) >= GRAM]
         if held:
-            runs = np.unique(np.concatenate([grams(h[1]) for h in held]))
-            counts = document_counts(rows, runs)
-            yield spark.sparkContext.broadcast(Seeds([h[0] for h in held], [h[1] for h in held], counts))
+            counts = document_counts(rows, words, np.unique(np.concatenate([runs(h[1])[1] for h in held])))
+            yield spark.sparkContext.broadcast(Seeds(words, [h[0] for h in held], [h[1] for h in held], counts))
 
 
 def _copies_nothing(seeds: Broadcast, least: float):
     @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = Words()
         for batch in batches:
-            yield pd.Series([not any(seeds.value.copies(words.of(text), least)) for text in batch], dtype=bool)
+            yield pd.Series([not any(seeds.value.copies(text, least)) for text in batch], dtype=bool)
 
     return clean
 
@@ -210,24 +211,25 @@ def without_copies(docs: DataFrame, benchmark: DataFrame, least: float = COPIED,
     return docs
 
 
-def document_counts(rows: DataFrame, runs: np.ndarray) -> dict[int, int]:
-    """In how many texts each of ``runs`` (sorted hashes of one block of items) occurs; others are absent."""
-    held = rows.sparkSession.sparkContext.broadcast(runs)
+def document_counts(rows: DataFrame, vocabulary: Vocabulary, wanted: np.ndarray) -> dict[int, int]:
+    """In how many texts each of the ``wanted`` runs (sorted hashes of one block of items) occurs; others are absent."""
+    held = rows.sparkSession.sparkContext.broadcast((vocabulary, wanted))
 
     def count(rows: Iterator[tuple]) -> Iterator[tuple]:
-        words, known = Words(), held.value
+        words, known = held.value
         total = np.zeros(len(known), np.int64)
         for _, text in rows:
-            own = np.unique(grams(words.of(text)))
-            at = np.searchsorted(known, own)
-            at[at == len(known)] = 0
-            total[at[known[at] == own]] += 1
+            own = np.unique(runs(words.of(text))[1])
+            if len(own):
+                at = np.searchsorted(known, own)
+                at[at == len(known)] = 0
+                total[at[known[at] == own]] += 1
         for k in np.flatnonzero(total).tolist():
             yield k, int(total[k])
 
     out = pa.schema([("run", pa.int64()), ("n", pa.int64())])
     counted = map_rows(rows, count, "run long, n long", out).groupBy("run").agg(F.sum("n").alias("n"))
-    return {int(runs[r["run"]]): r["n"] for r in counted.collect()}
+    return {int(wanted[r["run"]]): r["n"] for r in counted.collect()}
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, least: float = COPIED, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
