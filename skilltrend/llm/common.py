@@ -35,6 +35,14 @@ def texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     )
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or as many underscores before it as keep it apart from the columns of ``df``."""
+    used = {column.lower() for column in df.columns}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def held_out(id_column: str, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves ``remainder``; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % modulus == remainder, F.lit(False))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skilltrend.llm.common import map_rows, texts
+from skilltrend.llm.common import free_name, map_rows, texts
 
 #: The characters that do not count when texts are compared.
 WHITE_SPACE = b" \t\n\x0b\x0c\r"
@@ -189,7 +189,8 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
 def without_exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they are; rows that repeat id and text stay together."""
-    kept = exact_duplicates(docs, id_column, text_column).where("kept").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_sha"))
+    name, sha = free_name(docs, "_kept"), free_name(docs, "_sha")
+    kept = exact_duplicates(docs, id_column, text_column).where("kept").select(F.col("doc_id").alias(name), F.col("text_sha256").alias(sha))
     content = F.translate(F.coalesce(F.col(text_column), F.lit("")), WHITE_SPACE.decode(), "")
-    same = F.col(id_column).cast("long").eqNullSafe(F.col("_kept")) & (F.sha2(content.cast("binary"), 256) == F.col("_sha"))
+    same = F.col(id_column).cast("long").eqNullSafe(F.col(name)) & (F.sha2(content.cast("binary"), 256) == F.col(sha))
     return docs.join(kept, same, "left_semi")

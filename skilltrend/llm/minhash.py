@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skilltrend.llm.common import WordHashes, map_rows, mixed, shingle_hashes, texts
+from skilltrend.llm.common import WordHashes, free_name, map_rows, mixed, shingle_hashes, texts
 from skilltrend.llm.components import components
 from skilltrend.plans.checkpoints import staged
 
@@ -346,8 +346,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row of each component of ``docs``, all columns as they are; rows that repeat an id stay or go together."""
-    kept = near_duplicates(docs, words, percent, id_column, text_column).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col(id_column).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    name = free_name(docs, "_kept")
+    kept = near_duplicates(docs, words, percent, id_column, text_column).where("kept").select(F.col("doc_id").alias(name))
+    return docs.join(kept, F.col(id_column).cast("long").eqNullSafe(F.col(name)), "left_semi")
 
 
 def _own(words: int):

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skilltrend.llm.common import WordHashes, map_rows, mixed, shingle_hashes, texts
+from skilltrend.llm.common import WordHashes, free_name, map_rows, mixed, shingle_hashes, texts
 from skilltrend.llm.minhash import linked, signature
 from skilltrend.plans.checkpoints import staged
 
@@ -140,11 +140,12 @@ def paragraph_duplicates(docs: DataFrame, percent: int = PERCENT, id_column: str
 
 def without_paragraphs(docs: DataFrame, found: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with the removed paragraphs cut from their texts, line ends included; other columns as they are."""
-    cuts = found.where("removed").groupBy(F.col("doc_id").alias("_cut_id")).agg(F.sort_array(F.collect_set("paragraph")).alias("_cuts"))
+    own, name = free_name(docs, "_cut_id"), free_name(docs, "_cuts")
+    cuts = found.where("removed").groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("paragraph").alias(name))
     lines = F.split(F.col(text_column), "\n", -1)
-    left = F.filter(lines, lambda line, k: ~F.array_contains(F.col("_cuts"), k))
-    joined = docs.join(cuts, F.col(id_column).cast("long").eqNullSafe(F.col("_cut_id")), "left")
-    cut = F.when(F.col("_cuts").isNull(), F.col(text_column)).otherwise(F.array_join(left, "\n"))
+    left = F.filter(lines, lambda line, k: ~F.array_contains(F.col(name), k))
+    joined = docs.join(cuts, F.col(id_column).cast("long").eqNullSafe(F.col(own)), "left")
+    cut = F.when(F.col(name).isNull(), F.col(text_column)).otherwise(F.array_join(left, "\n"))
     return joined.withColumn(text_column, cut).select(*docs.columns)
 
 
