@@ -184,16 +184,22 @@ def repeated(contexts: list[tuple[int, int, bytes]], length: int = LENGTH) -> tu
     roomy = to_stop >= length
     previous = longest_factors(suffixes, True, roomy) >= length
     either = previous | (longest_factors(suffixes, False, roomy) >= length)
-    pieces = [slice(a, a + n) for a, n in zip(starts.tolist(), sizes.tolist())]
-    return tuple([_spans(np.flatnonzero(found[piece]), length) for piece in pieces] for found in (either, previous))
-
-
-def _spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """The union of windows of ``length`` at sorted ``starts``."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > length) + 1
-    return [(int(g[0]), int(g[-1]) + length) for g in np.split(starts, cut)]
+    return _spans(either, starts, length), _spans(previous, starts, length)
+
+
+def _spans(found: np.ndarray, starts: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
+    """For each context, from its start on, the union of the windows that begin at marked places."""
+    out: list[list[tuple[int, int]]] = [[] for _ in starts]
+    places = np.flatnonzero(found)
+    if len(places):
+        owner = np.searchsorted(starts, places, "right") - 1
+        new = np.r_[True, (np.diff(places) > length) | (np.diff(owner) != 0)]
+        first = np.flatnonzero(new)
+        last = np.r_[first[1:] - 1, len(places) - 1]
+        own = owner[first]
+        for k, low, high in zip(own.tolist(), (places[first] - starts[own]).tolist(), (places[last] - starts[own] + length).tolist()):
+            out[k].append((low, high))
+    return out
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
