@@ -137,10 +137,10 @@ def _normal_words(column: str) -> str:
 
 DICTIONARY = f"""{TEXTS},
 grams AS (
-  SELECT DISTINCT text_id, unnest(list_transform(range(1, len(n)), lambda i: n[i] || ' ' || n[i + 1])) AS word
+  SELECT DISTINCT text_id, unnest(list_concat(n, list_transform(range(1, len(n)), lambda i: n[i] || ' ' || n[i + 1]))) AS word
   FROM (SELECT text_id, {_normal_words('ws')} AS n FROM chunks)),
 phrases AS (
-  SELECT DISTINCT unnest(list_transform(range(1, len(n)), lambda i: n[i] || ' ' || n[i + 1])) AS word
+  SELECT DISTINCT unnest(list_concat(n, list_transform(range(1, len(n)), lambda i: n[i] || ' ' || n[i + 1]))) AS word
   FROM (SELECT {_normal_words(_words('text'))} AS n FROM benchmark)),
 found AS (
   SELECT DISTINCT text_id, {_token('word')} AS skill
@@ -313,6 +313,8 @@ def oracle_sql() -> dict[str, str]:
             summed AS (SELECT *, (sum(n) OVER (PARTITION BY profession, lvl))::BIGINT AS total FROM counted)
             SELECT {keys}, skill AS "{C.skill}", n AS len, total AS total_mentions_at_level,
               n / total * 100 AS share_pct FROM summed""",
+        "most_mentioned": f"""WITH {TAGGED}, c AS (SELECT {keys}, skill AS "{C.skill}", count(*) AS len FROM tagged GROUP BY ALL)
+            SELECT * FROM c ORDER BY len DESC, 1 NULLS FIRST, 2 NULLS FIRST, 3 NULLS FIRST LIMIT 50""",
         "tagged_denominator": f"""WITH {TAGGED} SELECT {keys}, count(DISTINCT serial) AS "{C.total}"
             FROM tagged GROUP BY profession, lvl""",
         "step_deltas": f"""WITH {MATRIX} SELECT {_MATRIX_COLUMNS},

@@ -30,6 +30,7 @@ from skilltrend.operators.extract import (
     extract_skills,
 )
 from skilltrend.plans.checkpoints import scratch_path
+from skilltrend.plans.pipeline import analyze
 from skilltrend.sources.tables import read_table, write_table
 from standin import tables as t
 
@@ -47,7 +48,7 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str, name: str = "nation") -> Dat
     df = t.table(spark, sf_dir, name)
     path = scratch_path(spark, f"csv-{name}")
     write_table(df, path, "csv")
-    return read_table(spark, path, "csv", df.schema)
+    return read_table(spark, path, "csv", df.schema, multiline=True)
 
 
 def normalize_profession(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,18 +119,18 @@ def word_chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phrase_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-word phrases of the benchmark items; their length sets the group."""
+    """One- and two-word phrases of the benchmark items; their length sets the group."""
     words = F.array_remove(F.transform(split_words(F.col("text")), normal_word), "")
     pairs = t.table(spark, sf_dir, "benchmark").select(
         F.explode(once(words, lambda w: word_ngrams(w, 2))).alias("phrase")
     )
     size = F.length("phrase")
     group = F.when(size >= 12, "HSKILL").when(size >= 8, "SSKILL").otherwise("OTHER")
-    return pairs.where(F.contains("phrase", F.lit(" "))).distinct().withColumn("entity_group", group)
+    return pairs.distinct().withColumn("entity_group", group)
 
 
 def dictionary_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    extractor = DictionaryExtractor(phrase_table(spark, sf_dir), max_words=2)
+    extractor = DictionaryExtractor(phrase_table(spark, sf_dir))
     return extract_skills(t.document_texts(spark, sf_dir), extractor)
 
 
@@ -208,6 +209,30 @@ def mention_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.mention_share(matrix.merge_mentions(renamed))
 
 
+def most_mentioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.most_mentioned(matrix.mention_counts(t.tagged(spark, sf_dir)), 50)
+
+
+def full_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean, extract, merge spellings, count, pivot and rank: documents as postings, pages as their HTML."""
+    docs, pages = t.table(spark, sf_dir, "documents"), t.table(spark, sf_dir, "pages")
+    level = F.element_at(F.array(*map(F.lit, [*t.LEVEL_CODES, "INTERN"])), (F.col("doc_id") % (len(t.LEVEL_CODES) + 1) + 1).cast("int"))
+    raw = docs.join(pages, F.col("doc_id") == F.col("page_id"), "left").select(
+        F.col("doc_id").alias(C.serial),
+        F.when(F.col("doc_id") % 50 != 0, F.col("lang")).alias(C.raw_profession),
+        F.lit(t.STATUSES[0]).alias(C.status),
+        F.lit(t.CONTRACT_TYPES[0]).alias(C.contract_type),
+        F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 300).cast("int")), "M/d/yyyy").alias(C.submitted),
+        level.alias(C.level),
+        F.col("source").alias(C.title),
+        F.coalesce(F.col("html"), F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>"))).alias(C.scope),
+    )
+    extractor = DictionaryExtractor(phrase_table(spark, sf_dir))
+    dates = ("2024-01-01", "2024-09-30")
+    cleaning = {"statuses": t.STATUSES, "contract_types": t.CONTRACT_TYPES, "level_map": t.LEVEL_CODES}
+    return analyze(raw, extractor, dates, synonyms=STANDIN_SYNONYMS, **cleaning).matrix
+
+
 def step_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.in_level_order(matrix.add_step_changes(t.matrix(spark, sf_dir, top_k=50)))
 
@@ -267,6 +292,8 @@ def queries() -> dict[str, Query]:
         "evolution_matrix": t.matrix,
         "matrix_all_levels": matrix_all_levels,
         "mention_share": mention_share,
+        "most_mentioned": most_mentioned,
+        "full_analysis": full_analysis,
         "tagged_denominator": lambda s, d: matrix.tagged_totals(t.tagged(s, d)),
         "step_deltas": step_deltas,
         "denominator_cards": lambda s, d: insights.denominator_cards(t.totals(s, d)),

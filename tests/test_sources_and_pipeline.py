@@ -32,7 +32,7 @@ def test_roundtrip(spark, tmp_path, fmt):
     df = spark.createDataFrame(rows, schema)
     path = str(tmp_path / fmt)
     write_table(df, path, fmt)
-    back = read_table(spark, path, fmt, df.schema)
+    back = read_table(spark, path, fmt, df.schema, multiline=True)
     assert sorted(map(tuple, back.collect())) == sorted(rows)
 
 
@@ -89,7 +89,7 @@ def test_end_to_end(spark, tmp_path):
         "phrase string, entity_group string",
     )
     result = analyze(
-        read_postings(spark, path, "csv"), DictionaryExtractor(phrases, 1), ("2024-01-01", "2024-12-31")
+        read_postings(spark, path, "csv", multiline=True), DictionaryExtractor(phrases), ("2024-01-01", "2024-12-31")
     )
     got = {(r[C.profession], r[C.skill]): (r["Junior"], r["Mid-level"], r["Senior"]) for r in result.matrix.collect()}
     assert got == {
