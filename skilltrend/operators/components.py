@@ -8,7 +8,7 @@ split by adaptive execution, so no component is ever gathered in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from skilltrend.plans.checkpoints import discard, staged_at
@@ -26,6 +26,11 @@ def _pointed(links: DataFrame, larger: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def _mark(links: DataFrame) -> Row:
+    """What tells one set of links from another."""
+    return links.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a, 7))")).first()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``root`` (smallest node of its component) for each node that is not itself a root.
 
@@ -36,12 +41,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     whole = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     current = whole.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
     current, path = staged_at(current, "links")
-    mark = None
+    mark = _mark(current)  # stars, as links often are to begin with, need one turn only
     while True:
         # Each link runs from the larger to the smaller node.
         stars = _pointed(_pointed(current, larger=True), larger=False)
         stars, new_path = staged_at(stars, "links")
-        new_mark = stars.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a, 7))")).first()
+        new_mark = _mark(stars)
         discard(spark, path)
         current, path = stars, new_path
         if new_mark == mark:
