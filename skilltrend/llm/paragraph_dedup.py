@@ -4,13 +4,20 @@ Paragraphs are lines of at least a few words. Equal ones form one class first.
 Signatures are cut into bands, as many and as short as high recall needs at the
 wanted similarity; classes that collide in a band are compared on their complete
 shingle sets, and components of similar paragraphs keep their first occurrence.
+
+Passages of more than fifty words are found wherever they stand, inside of lines
+and over their ends. Each window of so many words has an anchor, the run of least
+hash in it; only windows around anchors that occur twice are compared, those of
+equal surroundings at once and others by their own hashes.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,6 +30,12 @@ from skilltrend.plans.checkpoints import staged
 WORDS, PERCENT = 5, 80
 #: Words of the shortest paragraph that counts; shorter lines are alike by chance.
 LEAST_WORDS = 8
+#: Words of the shortest passage that counts wherever it stands, and of its anchor.
+PASSAGE, ANCHOR = 51, 16
+#: In place of a line's number: a document's own row, and a passage.
+DOCUMENT, PASSAGES = -1, -2
+#: Stands for a null id, which comes last.
+LAST = 2**63 - 1
 #: Share of pairs just at the similarity that bands may miss, and slots at most.
 MISSED, MOST_SLOTS = 1e-4, 40
 #: Texts that a task remembers having signed.
@@ -67,7 +80,7 @@ def _listed(slots: int):
     def listed(rows: Iterator[tuple]) -> Iterator[tuple]:
         hashes, signed = WordHashes(), set()
         for doc_id, text in rows:
-            yield doc_id, -1, 0, 0, len(text), None, None
+            yield doc_id, DOCUMENT, 0, 0, len(text), None, None
             for number, start, end, words in paragraphs(text):
                 own = hashes.of(words)
                 body = xxhash.xxh3_128_digest(own.tobytes())
@@ -93,12 +106,142 @@ def _picked(rows: Iterator[tuple]) -> Iterator[tuple]:
                 yield node, text[start:end]
 
 
+def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each run of ``size`` words, from those of shorter runs that together cover it."""
+    total, length = mixed(words + np.uint64(1)), 1
+    while length < size:
+        step = min(length, size - length)
+        total = mixed(total[:-step] * np.uint64(0x9E3779B97F4A7C15) + total[step:])
+        length += step
+    return total
+
+
+def stretches(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, context, first window and number of windows of each run of windows with the same anchor."""
+    runs, windows = run_hashes(words, ANCHOR), run_hashes(words, PASSAGE)
+    at, length, width = np.arange(len(runs)), 1, PASSAGE - ANCHOR + 1
+    while length < width:
+        step = min(length, width - length)
+        # Of equal runs the leftmost counts, so that the choice depends on the window only.
+        at = np.where(runs[at[step:]] < runs[at[:-step]], at[step:], at[:-step])
+        length += step
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    number = np.diff(np.r_[first, len(at)])
+    # The first and the last window overlap, so they tell all words between.
+    context = mixed(windows[first] * np.uint64(0x9E3779B97F4A7C15) + windows[first + number - 1])
+    return runs[at[first]].view(np.int64), mixed(context + number.astype(np.uint64)).view(np.int64), first, number
+
+
+def _checksum(text: bytes) -> int:
+    """Tells apart the texts of a repeated id."""
+    return xxhash.xxh3_64_intdigest(text) - 2**63
+
+
+def _anchored(rows: Iterator[tuple]) -> Iterator[tuple]:
+    hashes = WordHashes()
+    for doc_id, text in rows:
+        words = hashes.of(text.lower().split())
+        if len(words) >= PASSAGE:
+            own, id_ = _checksum(text), LAST if doc_id is None else doc_id
+            for anchor, context, at, number in zip(*(x.tolist() for x in stretches(words))):
+                yield anchor, context, id_, own, at, number
+
+
+def _windows(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """The hashes of the windows of the contexts that ``wanted`` names."""
+    hashes = WordHashes()
+    for text, own_id, own, wanted in rows:
+        if _checksum(text) == own:
+            found = run_hashes(hashes.of(text.lower().split()), PASSAGE).view(np.int64)
+            for w in wanted:
+                at = w["at"]
+                yield w["anchor"], w["context"], own_id, own, at, found[at : at + w["number"]].tolist()
+
+
+def _passages(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Runs of repeated words of one source, outside of removed lines: id, first byte, byte after the last, words, source."""
+    for doc_id, text, own, spans, lines in rows:
+        if _checksum(text) != own:
+            continue
+        words = np.array([m.span() for m in re.finditer(rb"\S+", text)], np.int64)
+        source: list[int | None] = [None] * len(words)
+        seen = 0
+        for at, given in sorted((s["at"] + k, g) for s in spans for k, g in _sources(s)):
+            # The first of the repeated windows over a word names its source.
+            for k in range(max(at, seen), at + PASSAGE):
+                source[k] = given
+            seen = max(seen, at + PASSAGE)
+        for line in lines or ():
+            a, b = np.searchsorted(words[:, 0], [line["start"], line["end"]]).tolist()
+            source[a:b] = [None] * (b - a)
+        start = 0
+        for k in range(1, len(source) + 1):
+            if k == len(source) or source[k] != source[start]:
+                if source[start] is not None:
+                    yield doc_id, int(words[start, 0]), int(words[k - 1, 1]), k - start, source[start]
+                start = k
+
+
+def _sources(span: dict) -> Iterator[tuple[int, int]]:
+    """Place in the context and source of each of its windows that is a copy."""
+    known = {x["place"]: x["source"] for x in span["known"] or ()}
+    for k in range(span["number"]) if span["source"] is not None else known:
+        yield k, known.get(k, span["source"])
+
+
+def repeated_passages(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """``doc_id``, ``start``, ``end``, ``size``, ``source`` of the words that lie in a later copy of a window of ``PASSAGE`` words.
+
+    ``rows`` has ``doc_id`` and ``text``; words that lie in ``lines`` (``doc_id``,
+    ``start``, ``end``) are left out. The copy with the smallest id, then place,
+    is the first. A word's source is the first copy of the first window over it.
+    """
+    name = "anchor long, context long, own_id long, own long, at long"
+    out = [(n.split()[0], pa.int64()) for n in name.split(", ")]
+    found = staged(map_rows(rows, _anchored, f"{name}, number int", pa.schema([*out, ("number", pa.int32())])), "stretches")
+    twice = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    hits = staged(found.join(twice, "anchor"), "anchors")
+
+    contexts = hits.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("own_id", "own", "at", "number")).alias("first"))
+    contexts = staged(contexts, "contexts")
+    several = contexts.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1").select("anchor")
+    wanted = contexts.join(several, "anchor").groupBy("first.own_id", "first.own").agg(
+        F.collect_list(F.struct("anchor", "context", "first.at", "first.number")).alias("wanted")
+    )
+    own_id = F.coalesce("doc_id", F.lit(LAST))
+    # A list is no longer than its document has words.
+    needed = rows.join(wanted, own_id == F.col("own_id")).select("text", "own_id", "own", "wanted")
+    shape = pa.schema([*out, ("keys", pa.list_(pa.int64()))])
+    windows = staged(map_rows(needed, _windows, f"{name}, keys array<long>", shape, 2000), "windows")
+    windows = windows.select("anchor", "context", "own_id", "own", "at", F.posexplode("keys").alias("place", "key"))
+    windows = windows.withColumn("copy", F.struct("own_id", "own", F.col("at") + F.col("place")))
+    least = windows.groupBy("anchor", "key").agg(F.min("copy").alias("least"), F.max("copy").alias("most")).where("least <> most")
+    later = windows.join(least.drop("most"), ["anchor", "key"]).where("copy <> least")
+    known = later.groupBy("anchor", "context").agg(F.collect_set(F.struct("place", F.col("least.own_id").alias("source"))).alias("known"))
+
+    told = contexts.join(known, ["anchor", "context"], "left").where("n > 1 or known is not null").drop("n")
+    each = hits.join(told, ["anchor", "context"])
+    copied = F.struct("own_id", "own", "at", "number") != F.col("first")
+    span = F.struct("at", "number", F.when(copied, F.col("first.own_id")).alias("source"), "known")
+    spans = each.where(copied | F.col("known").isNotNull()).groupBy("own_id", "own").agg(F.collect_list(span).alias("spans"))
+    gone = lines.groupBy(own_id.alias("line_id")).agg(F.collect_list(F.struct("start", "end")).alias("lines"))
+    needed = rows.join(spans, own_id == F.col("own_id")).join(gone, F.col("own_id") == F.col("line_id"), "left")
+    names = ("doc_id", "start", "end", "size", "source")
+    return map_rows(
+        needed.select("doc_id", "text", "own", "spans", "lines"),
+        _passages, ", ".join(f"{n} long" for n in names), pa.schema([(n, pa.int64()) for n in names]), 5000,
+    )
+
+
 def paragraph_duplicates(docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document (``paragraph`` -1) and paragraph: ``doc_id``, ``paragraph``, ``start``, ``end``, ``size``, ``first_id``, ``first_paragraph``, ``removed``.
 
     Lines of at least ``LEAST_WORDS`` words are alike if 100 * intersection >=
     percent * union of their five-word shingles. Of each component the first
     occurrence (smallest id, then line) stays; ``first_id`` names its document.
+    Besides, words outside of removed lines that lie in a later copy of a passage
+    of at least ``PASSAGE`` words, wherever it begins or ends, make rows with
+    ``paragraph`` -2, one for each run of words with the same ``first_id``.
     ``start`` and ``end`` are bytes; ``size`` counts words, of a document's own
     row bytes. Null and empty texts have no paragraphs. Null ids come last;
     rows that repeat an id count as one document. An empty table gives none.
@@ -126,23 +269,53 @@ def paragraph_duplicates(docs: DataFrame, percent: int = PERCENT, id_column: str
     first = rooted.groupBy("root").agg(F.min("at").alias("first"))
     found = rooted.join(first, "root").select("body", "first")
     columns = ["doc_id", "paragraph", "start", "end", "size"]
-    lines = listed.where("body is not null").join(found, "body").select(
+    lines = staged(listed.where("body is not null").join(found, "body").select(
         *columns,
         F.nullif(F.col("first.id"), F.lit(2**63 - 1)).alias("first_id"),
         F.col("first.paragraph").alias("first_paragraph"),
         (place != F.col("first")).alias("removed"),
+    ), "lines")
+    passages = repeated_passages(rows, lines.where("removed")).select(
+        "doc_id",
+        F.lit(PASSAGES).alias("paragraph"),
+        "start",
+        "end",
+        "size",
+        F.nullif(F.col("source"), F.lit(LAST)).alias("first_id"),
+        F.lit(None).cast("int").alias("first_paragraph"),
+        F.lit(True).alias("removed"),
     )
     own = listed.where("body is null").select(
         *columns, F.lit(None).cast("long").alias("first_id"), F.lit(None).cast("int").alias("first_paragraph"), F.lit(False).alias("removed")
     )
-    return own.union(lines)
+    return own.union(lines).union(passages)
+
+
+def _passage_cutter():
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        """The texts without the bytes of the spans; line ends stay."""
+
+        def left(text: str, own) -> str:
+            raw, end, parts = text.encode("utf-8", "surrogatepass"), 0, []
+            for a, b in sorted((s["start"], s["end"]) for s in own):
+                parts += [raw[end:a], b"\n" * raw[a:b].count(b"\n")]
+                end = b
+            return b"".join([*parts, raw[end:]]).decode("utf-8", "replace")
+
+        return pd.Series([left(t, s) for t, s in zip(texts, spans)], dtype=object)
+
+    return cut
 
 
 def without_paragraphs(docs: DataFrame, found: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with the removed paragraphs cut from their texts, line ends included; other columns as they are."""
-    own, name = free_name(docs, "_cut_id"), free_name(docs, "_cuts")
-    cuts = found.where("removed").groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("paragraph").alias(name))
-    lines = F.split(F.col(text_column), "\n", -1)
+    """``docs`` with the removed paragraphs cut from their texts, line ends included, and passages, line ends left; other columns as they are."""
+    own, name, spans = (free_name(docs, n) for n in ("_cut_id", "_cuts", "_spans"))
+    passage = F.when(F.col("paragraph") == PASSAGES, F.struct("start", "end"))
+    cuts = found.where("removed").groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("paragraph").alias(name), F.collect_set(passage).alias(spans))
+    given = F.coalesce(F.col(spans), F.array().cast("array<struct<start:bigint,end:bigint>>"))
+    text = F.when(F.size(spans) > 0, _passage_cutter()(F.coalesce(text_column, F.lit("")), given))
+    lines = F.split(text.otherwise(F.col(text_column)), "\n", -1)
     left = F.filter(lines, lambda line, k: ~F.array_contains(F.col(name), k))
     joined = docs.join(cuts, F.col(id_column).cast("long").eqNullSafe(F.col(own)), "left")
     cut = F.when(F.col(name).isNull(), F.col(text_column)).otherwise(F.array_join(left, "\n"))
@@ -150,7 +323,7 @@ def without_paragraphs(docs: DataFrame, found: DataFrame, id_column: str = "doc_
 
 
 def document_digest(found: DataFrame) -> DataFrame:
-    """Per document: ``doc_id``, ``n_paragraphs``, ``n_removed``, ``words_removed``, ``copied_from`` (sorted ids)."""
+    """Per document: ``doc_id``, ``n_paragraphs``, ``n_removed`` (passages included), ``words_removed``, ``copied_from`` (sorted ids)."""
     removed = F.col("removed")
     return found.groupBy("doc_id").agg(
         F.count(F.when(F.col("paragraph") >= 0, 1)).alias("n_paragraphs"),

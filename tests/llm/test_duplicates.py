@@ -235,6 +235,52 @@ def test_paragraphs_equal_brute_force(spark):
     assert paragraph_duplicates(df.limit(0)).count() == 0
 
 
+def plain_passages(rows, length=51):
+    """Source of each word that lies in a later copy of ``length`` words."""
+    first, out = {}, {}
+    for doc_id, text in sorted(rows):
+        words = text.lower().split()
+        own = out[doc_id] = [None] * len(words)
+        for k in range(len(words) - length + 1):
+            source = first.setdefault(tuple(words[k : k + length]), (doc_id, k))
+            for w in range(k, k + length) if source != (doc_id, k) else ():
+                own[w] = source[0] if own[w] is None else own[w]
+    return out
+
+
+def test_passages_inside_and_over_lines(spark):
+    rng = random.Random(12)
+    filler = lambda n: " ".join(f"u{rng.randint(0, 10**9)}" for _ in range(n))
+    passage = filler(54).split()
+    rows = [
+        (1, f"{filler(40)} {' '.join(passage)} {filler(30)}"),
+        (2, f"{filler(30)} {' '.join(passage).upper()} {filler(60)}\n{filler(9)}"),
+        (3, f"{filler(20)}\n{filler(3)} {' '.join(passage[:20])}\n{' '.join(passage[20:26])}\n\n{' '.join(passage[26:])} é {filler(20)}"),
+        (4, f"{filler(40)} {' '.join(passage[:50])} {filler(40)}"),
+        (5, f"{filler(70)} {' '.join(passage[3:])}"),
+    ]
+    base = [filler(rng.randint(60, 150)).split() for _ in range(4)]
+    for k in range(40):
+        text = ""
+        for _ in range(rng.randint(1, 3)):
+            part = rng.choice(base)
+            a = rng.randint(0, 40)
+            text += f"{' '.join(part[a : rng.randint(a, len(part))])} {filler(40)} "
+        rows.append((10 + k, text))
+    rows += [(90, "again " * 70 + filler(60))]
+    want = plain_passages(rows)
+    found = paragraph_duplicates(table(spark, rows)).persist()
+    lines = found.where("paragraph >= 0 and removed").count()
+    assert lines == 0
+    got = {r[0]: (r[3], set(r[4])) for r in document_digest(found).collect()}
+    assert got == {d: (sum(s is not None for s in own), {s for s in own if s is not None}) for d, own in want.items()}
+    assert [got[k] for k in (1, 2, 3, 4, 5)] == [(0, set()), (54, {1}), (54, {1}), (0, set()), (51, {1})]
+    cut = {r["doc_id"]: r["text"] for r in without_paragraphs(table(spark, rows), found).collect()}
+    for doc_id, text in rows:
+        assert cut[doc_id].split() == [w for w, s in zip(text.split(), want[doc_id]) if s is None]
+        assert cut[doc_id].count("\n") == text.count("\n")
+
+
 def test_bands_reach_the_recall():
     for percent in (50, 80, 95):
         bands, rows = tuned_bands(percent, most_slots=200)
