@@ -1,6 +1,7 @@
 """Chat formatting of unlike layouts, with built-in functions only.
 
-A layout is recognised by the hash of the nested field paths that it needs; each
+A layout is recognised by the hash of the nested field paths that it needs, and
+each row goes to the one whose fields it fills, as a table may hold several; each
 known layout has a declarative mapping to canonical turns (``conv_id``, ``turn``,
 ``role``, ``text``). Turns are written with control strings around them. Control
 strings inside texts are escaped: a run ``<``, tildes, ``|`` gets one tilde more,
@@ -60,6 +61,18 @@ class Layout:
     name: str
     paths: tuple[str, ...]
     turns: Callable[[DataFrame], DataFrame]
+    #: Role names that the layout uses for the canonical ones.
+    roles: tuple[tuple[str, str], ...] = ()
+
+    def filled(self, df: DataFrame) -> list[Column]:
+        """For each column but the id, whether a row has something there."""
+        names = dict.fromkeys(path.split(".")[0].removesuffix("[]") for path in self.paths if path != "conv_id")
+        lists = {f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)}
+        return [F.coalesce(F.size(n) > 0, F.lit(False)) if n in lists else F.col(n).isNotNull() for n in names]
+
+
+#: Role names that other layouts use for the canonical ones.
+ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
 def layouts() -> list[Layout]:
@@ -67,8 +80,8 @@ def layouts() -> list[Layout]:
     asked = F.concat_ws("\n\n", F.nullif(F.col("instruction"), F.lit("")), F.nullif(F.col("input"), F.lit("")))
     known = [
         Layout("turn rows", ("conv_id", "turn", "role", "text"), lambda df: df.select("conv_id", "turn", "role", "text")),
-        Layout("messages", ("conv_id", "messages[].role", "messages[].content"), _listed("messages", "role", "content")),
-        Layout("conversations", ("conv_id", "conversations[].from", "conversations[].value"), _listed("conversations", "from", "value")),
+        Layout("messages", ("conv_id", "messages[].role", "messages[].content"), _listed("messages", "role", "content"), tuple(ROLES.items())),
+        Layout("conversations", ("conv_id", "conversations[].from", "conversations[].value"), _listed("conversations", "from", "value"), tuple(ROLES.items())),
         Layout("instruction, input", ("conv_id", "instruction", "input", "output"), _fixed(("user", asked), ("assistant", F.col("output")))),
         Layout("instruction", ("conv_id", "instruction", "output"), _fixed(("user", F.col("instruction")), ("assistant", F.col("output")))),
         Layout("system, prompt", ("conv_id", "system", "prompt", "response"), _fixed(("system", F.col("system")), ("user", F.col("prompt")), ("assistant", F.col("response")))),
@@ -78,30 +91,51 @@ def layouts() -> list[Layout]:
     return sorted(known, key=lambda layout: -len(layout.paths))
 
 
-#: Role names that other layouts use for the canonical ones.
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-
-
 def canonical_turns(df: DataFrame, roles: dict[str, str] | None = None) -> DataFrame:
-    """``conv_id``, ``turn``, ``role``, ``text`` of a table in any known layout.
-
-    The fingerprint of those of the table's field paths that a layout names must
-    be the layout's own; further fields are ignored. An unknown layout raises.
+    """``conv_id``, ``turn``, ``role``, ``text`` of a table in any known layouts.
+
+    A layout is there if the fingerprint of those of the table's field paths that
+    it names is its own; further fields are ignored. Each row goes to one of the
+    layouts there: to one that it fills wholly before one that it fills in part,
+    then to the one with most filled and fewest other fields. A row that fills no field of any,
+    empty lists included, gives one turn without number, role and text, so no
+    row disappears. ``roles`` maps role names of all layouts; by default lists of
+    messages get ``ROLES`` and others keep their names. With no known layout it raises.
     """
     paths = field_paths(df.schema)
-    for layout in layouts():
-        if fingerprint([p for p in paths if p in layout.paths]) == fingerprint(list(layout.paths)):
-            turns = layout.turns(df)
-            role = F.col("role").cast("string")
-            for other, ours in (roles or {}).items():
-                role = F.when(F.col("role") == other, F.lit(ours)).otherwise(role)
-            return turns.select(
-                F.col("conv_id").cast("long").alias("conv_id"),
-                F.col("turn").cast("long").alias("turn"),
-                F.coalesce(role, F.lit("")).alias("role"),
-                F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-            )
-    raise ValueError(f"no known layout among the fields {paths}")
+    there = [x for x in layouts() if fingerprint([p for p in paths if p in x.paths]) == fingerprint(list(x.paths))]
+    if not there:
+        raise ValueError(f"no known layout among the fields {paths}")
+
+    def canonical(turns: DataFrame, names: dict[str, str]) -> DataFrame:
+        role = F.col("role").cast("string")
+        for other, ours in names.items():
+            role = F.when(F.col("role") == other, F.lit(ours)).otherwise(role)
+        return turns.select(
+            F.col("conv_id").cast("long").alias("conv_id"),
+            F.col("turn").cast("long").alias("turn"),
+            F.coalesce(role, F.lit("")).alias("role"),
+            F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        )
+
+    def named(layout: Layout) -> dict[str, str]:
+        return dict(layout.roles) if roles is None else roles
+
+    if [layout.name for layout in there] == ["turn rows"]:
+        return canonical(there[0].turns(df), named(there[0]))
+    scores = []
+    for k, layout in enumerate(there):
+        filled = layout.filled(df)
+        number, whole = sum((f.cast("int") for f in filled), F.lit(0)), F.lit(True)
+        for f in filled:
+            whole = whole & f
+        scores.append(F.when(number > 0, whole.cast("int") * 10_000 + number * 100 + k).otherwise(F.lit(0)))
+    best = scores[0] if len(scores) == 1 else F.greatest(*scores)
+    empty = df.where(best == 0).select("conv_id", *(F.lit(None).cast(t).alias(n) for n, t in (("turn", "long"), ("role", "string"), ("text", "string"))))
+    out = canonical(empty, {})
+    for layout, score in zip(there, scores):
+        out = out.union(canonical(layout.turns(df.where((best > 0) & (score == best))), named(layout)))
+    return out
 
 
 def escaped(text: Column) -> Column:

@@ -178,6 +178,32 @@ def test_layouts(spark):
         chat.canonical_turns(spark.range(1))
 
 
+def test_several_layouts_in_one_table(spark):
+    message = "array<struct<{}: string, {}: string>>"
+    schema = (
+        f"conv_id long, messages {message.format('role', 'content')}, conversations {message.format('from', 'value')}, "
+        "prompt string, response string, completion string, system string"
+    )
+    rows = [
+        (1, [("user", "q"), ("model", "a")], None, None, None, None, None),
+        (2, None, [("human", "q"), ("gpt", "a")], None, None, None, None),
+        (3, None, None, "q", None, "a", None),
+        (4, [], None, "q", "a", None, None),
+        (5, None, None, "q", "a", None, "s"),
+        (6, None, None, "only asked", None, None, None),
+        (7, [], None, None, None, None, None),
+        (8, None, None, None, None, None, None),
+    ]
+    got = {}
+    for r in chat.canonical_turns(spark.createDataFrame(rows, schema)).orderBy("conv_id", "turn").collect():
+        got.setdefault(r["conv_id"], []).append((r["turn"], r["role"], r["text"]))
+    plain = [(0, "user", "q"), (1, "assistant", "a")]
+    assert all(got[k] == plain for k in (1, 2, 3, 4))
+    assert got[5] == [(0, "system", "s"), (1, "user", "q"), (2, "assistant", "a")]
+    assert got[6] == [(0, "user", "only asked")]
+    assert got[7] == got[8] == [(None, "", "")]
+
+
 # --- Tokens ------------------------------------------------------------------
 
 
