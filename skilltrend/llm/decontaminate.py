@@ -5,7 +5,8 @@ block is held against all documents. A first pass counts in how many documents
 each three-word run of the items occurs. A run is a seed unless it is in many
 more documents than the rarest of the runs around it: turns of phrase drop out,
 but an item keeps its seeds however often it was copied. A second pass finds the
-seeds in each text and aligns the item with the words around.
+seeds in each text and aligns the item with the words around. A passage counts
+by its share of the item, or by its own length if it is copied closely.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ BLOCK_CHARS = 2_000_000
 #: Share of an item's highest alignment score from which a passage counts as a copy.
 COPIED = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Words from which a close copy counts whatever its share of the item, and what
+#: an edited, added or left out word takes off them.
+COPIED_WORDS, EDITED = 13, 4
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -65,13 +69,13 @@ def runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places, total
 
 
-def _ends(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
+def _ends(item: np.ndarray, passage: np.ndarray, match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP) -> tuple[int, int]:
     """The best local alignment's score and the place after its last word in ``passage``."""
-    slope = -GAP * np.arange(len(passage), dtype=np.int64)
+    slope = -gap * np.arange(len(passage), dtype=np.int64)
     row, best, end = np.zeros(len(passage), np.int64), 0, 0
     for word in item:
-        diagonal = np.r_[0, row[:-1]] + np.where(passage == word, MATCH, MISMATCH)
-        row = np.maximum(np.maximum(diagonal, row + GAP), 0)
+        diagonal = np.r_[0, row[:-1]] + np.where(passage == word, match, mismatch)
+        row = np.maximum(np.maximum(diagonal, row + gap), 0)
         # Gaps along the passage: the best cell to the left, less its distance.
         row = np.maximum.accumulate(row + slope) - slope
         at = int(row.argmax())
@@ -89,6 +93,11 @@ def aligned(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     return best / (MATCH * len(item)), end - back, end
 
 
+def close_words(item: np.ndarray, passage: np.ndarray) -> int:
+    """Words of the closest copy of a part of the item: at most over all alignments, equal words less ``EDITED`` for each other one."""
+    return _ends(item, passage, 1, -EDITED, -EDITED)[0]
+
+
 class Seeds:
     """The seeds of one block of items, each with the places where items hold it."""
 
@@ -109,8 +118,8 @@ class Seeds:
         self.bounds = np.r_[starts, len(found)].astype(np.int64)
         self.places = np.array([f[1:] for f in found], np.int64).reshape(-1, 2)
 
-    def copies(self, text: bytes, least: float) -> Iterator[tuple[int, float, int, int]]:
-        """Item id, score, first word and the one after the last, for each item that the text copies: its best copy."""
+    def copies(self, text: bytes, least: float, least_words: int = COPIED_WORDS) -> Iterator[tuple[int, float, int, int, int]]:
+        """Item id, score, close words, first word and the one after the last, for each item that the text copies: its best copy."""
         words = self.vocabulary.of(text)
         hits, found = runs(words)
         if not len(found) or not len(self.keys):
@@ -131,15 +140,19 @@ class Seeds:
         # A passage ends where the next seed lies more than an item's length on.
         lengths = np.array([len(i) for i in self.items], np.int64)[item]
         cut = np.flatnonzero((np.diff(item) != 0) | (np.diff(begin) > lengths[:-1])) + 1
-        best: dict[int, tuple[float, int, int]] = {}
+        best: dict[int, tuple[float, int, int, int]] = {}
         for a, b in zip(np.r_[0, cut].tolist(), np.r_[cut, len(item)].tolist()):
             k, length = int(item[a]), int(lengths[a])
             low, high = max(0, int(begin[a]) - length // 2 - 2), int(begin[b - 1]) + length + length // 2 + 2
             score, start, end = aligned(self.items[k], words[low:high])
-            if score >= least and score > best.get(k, (0.0,))[0]:
-                best[k] = score, low + start, low + end
-        for k, (score, start, end) in sorted(best.items()):
-            yield self.item_ids[k], score, start, end
+            # A score below that of so many equal words leaves no room for a close copy of as many.
+            if score < least and score * MATCH * length < MATCH * least_words - 1e-6:
+                continue
+            close = close_words(self.items[k], words[low:high])
+            if (score >= least or close >= least_words) and (score, close) > best.get(k, (0.0, 0))[:2]:
+                best[k] = score, close, low + start, low + end
+        for k, (score, close, start, end) in sorted(best.items()):
+            yield self.item_ids[k], score, close, start, end
 
 
 def _char_span(text: bytes, start: int, end: int) -> tuple[int, int]:
@@ -148,29 +161,37 @@ def _char_span(text: bytes, start: int, end: int) -> tuple[int, int]:
 
 
 def benchmark_copies(
-    docs: DataFrame, benchmark: DataFrame, least: float = COPIED, block_chars: int = BLOCK_CHARS, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame,
+    benchmark: DataFrame,
+    least: float = COPIED,
+    block_chars: int = BLOCK_CHARS,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    least_words: int = COPIED_WORDS,
 ) -> DataFrame:
-    """``doc_id``, ``item_id``, ``score``, ``start_char``, ``end_char``: the best passage of each document and item it copies.
+    """``doc_id``, ``item_id``, ``score``, ``start_char``, ``end_char``, ``words``: the best passage of each document and item it copies.
 
     Words are runs of letters and digits in lower case. A passage is a copy if
     its alignment has at least ``least`` of the score that the whole item would
-    have, so edited words and gaps lower the score. Items with a null id or
+    have, so edited words and gaps lower the score, or if some part of it is a
+    close copy: ``words``, its equal words less ``EDITED`` for each other one,
+    are at least ``least_words``, however long the item. Items with a null id or
     fewer than three words match nothing; null and empty texts hold nothing;
     repeated items are each reported. ``start_char`` and ``end_char`` are places
     in the text in lower case. No item or no document gives no row.
     """
     rows = texts(docs, id_column, text_column)
     out = pa.schema(
-        [("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_char", pa.int64()), ("end_char", pa.int64())]
+        [("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_char", pa.int64()), ("end_char", pa.int64()), ("words", pa.int64())]
     )
-    schema = "doc_id long, item_id long, score double, start_char long, end_char long"
+    schema = "doc_id long, item_id long, score double, start_char long, end_char long, words long"
     found = docs.sparkSession.createDataFrame([], schema)
     for seeds in seed_blocks(rows, benchmark, block_chars):
 
         def match(rows: Iterator[tuple], seeds=seeds) -> Iterator[tuple]:
             for doc_id, text in rows:
-                for item_id, score, start, end in seeds.value.copies(text, least):
-                    yield doc_id, item_id, score, *_char_span(text, start, end)
+                for item_id, score, close, start, end in seeds.value.copies(text, least, least_words):
+                    yield doc_id, item_id, score, *_char_span(text, start, end), close
 
         found = found.union(map_rows(rows, match, schema, out))
     return found
@@ -233,9 +254,10 @@ def document_counts(rows: DataFrame, vocabulary: Vocabulary, wanted: np.ndarray)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, least: float = COPIED, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """For each row: ``doc_id``, ``contaminated``, ``n_items``, ``best_item_id``, ``best_score``.
+    """For each row: ``doc_id``, ``contaminated``, ``n_items``, ``best_item_id``, ``best_score``, ``most_words``.
 
-    A document without copies has no items, a null best item and score 0. Rows
+    ``most_words`` is the largest ``words`` of any item. A document without
+    copies has no items, a null best item, score 0 and no words. Rows
     that repeat an id share the findings of that id; a null id is one such id.
     """
     # Copies are few and narrow; written once, they are joined without searching again.
@@ -243,6 +265,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: float = COPIED,
     best = copies.groupBy(F.col("doc_id").alias("own_id")).agg(
         F.countDistinct("item_id").alias("n_items"),
         F.max(F.struct("score", (-F.col("item_id")).alias("item"))).alias("best"),
+        F.max("words").alias("words"),
     )
     ids = docs.select(F.col(id_column).cast("long").alias("doc_id"))
     return ids.join(best, F.col("doc_id").eqNullSafe(F.col("own_id")), "left").select(
@@ -251,4 +274,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: float = COPIED,
         F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         (-F.col("best.item")).alias("best_item_id"),
         F.coalesce("best.score", F.lit(0.0)).alias("best_score"),
+        F.coalesce("words", F.lit(0).cast("long")).alias("most_words"),
     )
