@@ -11,6 +11,7 @@ from skilltrend.llm.chat import canonical_turns, chat_digests, formatted_chats,
 from skilltrend.llm.common import held_out, table, tokenizer_path
 from skilltrend.llm.decontaminate import contamination
 from skilltrend.llm.exact_dedup import exact_duplicates
+from skilltrend.llm.fim import fill_in_middle, restored
 from skilltrend.llm.language import fit_language, predict_language
 from skilltrend.llm.minhash import near_duplicates
 from skilltrend.llm.packing import packed_sequences
@@ -75,8 +76,27 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formed = restored(fill_in_middle(table(spark, sf_dir, "documents")))
+    digests = [F.sha2(F.col(name).cast("binary"), 256).alias(f"{name}_sha256") for name in ("output", "restored")]
+    return formed.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 def queries() -> dict[str, Query]:
-    return {query.__name__: query for query in (op1_toxicity, op2_language, op3_exact_dedup, op4_suffix_array, op5_minhash, op6_paragraphs, op7_token_store, op8_chat, op9_packing, op10_decontamination)}
+    found = (
+        op1_toxicity,
+        op2_language,
+        op3_exact_dedup,
+        op4_suffix_array,
+        op5_minhash,
+        op6_paragraphs,
+        op7_token_store,
+        op8_chat,
+        op9_packing,
+        op10_decontamination,
+        op12_fill_in_middle,
+    )
+    return {query.__name__: query for query in found}
 
 
 ORACLES = {
@@ -113,6 +133,25 @@ ORACLES = {
         ), c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
         SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
     """,
+    "op12_fill_in_middle": r"""
+        WITH h AS (
+            SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents
+        ), d AS (
+            SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS a, ('0x' || h[9:16])::BIGINT % (n + 1) AS b,
+                   ('0x' || h[17:24])::BIGINT % 100 AS c, ('0x' || h[25:32])::BIGINT % 100 AS d FROM h
+        ), f AS (
+            SELECT doc_id, text, n, least(a, b) AS low, greatest(a, b) AS high,
+                   CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c >= 90 THEN 'plain'
+                        WHEN d < 20 THEN 'spm' ELSE 'psm' END AS form FROM d
+        ), p AS (
+            SELECT *, substring(text, 1, low) AS pre, substring(text, low + 1, high - low) AS mid, substring(text, high + 1) AS suf FROM f
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN high - low END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                      ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+               sha256(text) AS restored_sha256 FROM p
+    """,
     "op3_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,
