@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skilltrend.llm.chat import canonical_turns, chat_digests, formatted_chats, read_chats
+from skilltrend.llm.collocations import collocations
 from skilltrend.llm.common import held_out, table, tokenizer_path
 from skilltrend.llm.decontaminate import contamination
 from skilltrend.llm.exact_dedup import exact_duplicates
@@ -82,6 +83,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formed.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_toxicity,
@@ -95,6 +100,7 @@ def queries() -> dict[str, Query]:
         op9_packing,
         op10_decontamination,
         op12_fill_in_middle,
+        op13_collocations,
     )
     return {query.__name__: query for query in found}
 
@@ -152,6 +158,33 @@ ORACLES = {
                       ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
                sha256(text) AS restored_sha256 FROM p
     """,
+    "op13_collocations": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+        g AS (
+            SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+            FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k
+        ), f AS (SELECT lang, phrase, k AS size, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+        s AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+        cuts AS (
+            SELECT lang, phrase, f AS a, k, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k + 1:], ' ') AS rp
+            FROM s, (SELECT unnest([1, 2, 3]) AS k) WHERE k < size
+        ), scored AS (
+            SELECT cuts.lang, cuts.phrase, a, l.f AS l, r.f AS r, (2000000::HUGEINT * a // (l.f::HUGEINT + r.f))::BIGINT AS score
+            FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = lp JOIN f r ON r.lang = cuts.lang AND r.phrase = rp
+            QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY score, k) = 1
+        ), inside AS (
+            SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(f) AS longer
+            FROM s, (SELECT unnest([2, 3]) AS m), (SELECT unnest([1, 2, 3]) AS i) WHERE m < size AND i + m - 1 <= size GROUP BY ALL
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM scored LEFT JOIN inside USING (lang, phrase) JOIN n USING (lang)
+        WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT QUALIFY rank <= 2000
+    """,
     "op3_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,
