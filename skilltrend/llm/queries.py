@@ -11,6 +11,7 @@ from skilltrend.llm.chat import canonical_turns, chat_digests, formatted_chats,
 from skilltrend.llm.collocations import collocations
 from skilltrend.llm.common import held_out, table, tokenizer_path
 from skilltrend.llm.decontaminate import contamination
+from skilltrend.llm.embedding_dedup import near_vectors
 from skilltrend.llm.exact_dedup import exact_duplicates
 from skilltrend.llm.fim import fill_in_middle, restored
 from skilltrend.llm.language import fit_language, predict_language
@@ -77,6 +78,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     formed = restored(fill_in_middle(table(spark, sf_dir, "documents")))
     digests = [F.sha2(F.col(name).cast("binary"), 256).alias(f"{name}_sha256") for name in ("output", "restored")]
@@ -99,6 +104,7 @@ def queries() -> dict[str, Query]:
         op8_chat,
         op9_packing,
         op10_decontamination,
+        op11_embeddings,
         op12_fill_in_middle,
         op13_collocations,
     )
@@ -139,6 +145,23 @@ ORACLES = {
         ), c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
         SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
     """,
+    # Holds where the audit finds a recall of 1, which it states.
+    "op11_embeddings": r"""
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS v,
+                   label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                   AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable
+            FROM embeddings
+        ), e AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+            WHERE a.usable AND b.usable AND list_cosine_similarity(a.v, b.v) >= 0.98
+        ), r AS (
+            SELECT vec_id, vec_id AS root FROM v UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.vec_id
+        ), c AS (SELECT vec_id, min(root) AS component_id FROM r GROUP BY vec_id),
+        n AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept, 1.0::DOUBLE AS audit_recall
+        FROM c LEFT JOIN n USING (vec_id)
+    """,
     "op12_fill_in_middle": r"""
         WITH h AS (
             SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents
