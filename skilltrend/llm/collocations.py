@@ -3,7 +3,8 @@
 Four passes over the texts. The first two count hashes of runs of words, each
 run only where all runs inside it may still be frequent; what remains, in a
 bitmap of fixed size, is a superset of the frequent phrases and never lacks one.
-The third writes the candidates out, each task every one once. The last counts
+Each of them is named after one class of texts that has it, and the third pass
+writes it out from texts of this class alone. The last counts
 them exactly: they lie in double-array tries of bounded size, one broadcast at a
 time, and each task lets the states of all its word positions step through the
 trie together, byte by byte. Accepting states are counted by ``bincount`` and
@@ -12,6 +13,7 @@ the tasks' counts are added up.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -26,13 +28,15 @@ from skilltrend.llm.common import mixed
 from skilltrend.plans.checkpoints import discard, staged_at
 
 #: Bytes of texts that a task works on at once, and hashes that it holds before it hands them over.
-BUFFER, HELD = 4 << 20, 8 << 20
+BUFFER, HELD = 1 << 20, 4 << 20
 #: Bits of the bitmap of runs that may be frequent: 16 MB, whatever the corpus.
 BITS = 27
+#: Bits of the table of classes, 16 MB as well, and classes of texts.
+PLACE_BITS, CLASSES = 24, 64
 #: Parts among which hashes are dealt, at least.
 SLOTS = 256
-#: Bytes of candidates in one trie; its arrays take some ten times as much at most.
-TRIE = 8 << 20
+#: Bytes of candidates in one trie, and bytes of its array that the driver sends on at once, before compression.
+TRIE, SENT = 4 << 20, 4 << 20
 
 _SPACE, _BREAK = 0x20, 0x0A
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -65,8 +69,10 @@ class Words:
         self.bytes[self.end[:-1][self.piece[1:] == self.piece[:-1]]] = _SPACE
         self.langs, codes = np.unique(np.array(langs, dtype=object), return_inverse=True)
         text_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-        #: Place in ``langs`` of each word.
-        self.lang = codes[np.searchsorted(text_ends, begin, "right")]
+        of = np.searchsorted(text_ends, begin, "right")
+        #: Place in ``langs`` of each word, and the class of its text.
+        self.lang = codes[of]
+        self.kind = np.fromiter((xxhash.xxh3_64_intdigest(text) % CLASSES for text in texts), np.uint8, len(texts))[of]
 
     def hashes(self) -> np.ndarray:
         """One hash per word, of its bytes and language."""
@@ -109,112 +115,178 @@ def _is_set(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _open_runs(words: Words, lengths: list[int], bitmap: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _open_runs(words: Words, lengths: list[int], open_: Open | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Length, first words and hashes of all runs whose words and pairs of words may be frequent."""
     hashes = words.hashes()
     pair = None
-    if bitmap is not None:
-        word = _is_set(bitmap, hashes)
+    if open_ is not None:
+        word = open_.passes(hashes)
         real, total = words.runs(hashes, 2)
-        pair = real & word[:-1] & word[1:] & _is_set(bitmap, total) if len(total) else real
+        pair = real & word[:-1] & word[1:] & open_.passes(total) if len(total) else real
     for length in lengths:
         real, total = words.runs(hashes, length)
-        if bitmap is not None and length > 1:
+        if open_ is not None and length > 1:
             for k in range(length - 1):
                 real = real & pair[k : k + len(real)]
         at = np.flatnonzero(real)
         yield length, at, total[at]
 
 
-def _frequent_bits(docs: DataFrame, lengths: list[int], least: int, before: Broadcast | None) -> np.ndarray:
-    """The bitmap, with ``before``, of hashes of runs of ``lengths`` that come ``least`` times or more.
+#: A place of the table that several classes claim.
+_ANY = 255
 
-    Tasks hand over 40 bits of each hash with its count, cut off at ``least``,
-    which changes no sum's reaching it. Runs that share these bits add up, so
-    the bitmap holds too much rather than too little.
+
+class Open:
+    """Which runs may be frequent, and the class of texts that each is to be written out from.
+
+    Both are looked up by the first bits of a run's hash; runs that share them
+    let each other pass.
+    """
+
+    def __init__(self, bitmap: np.ndarray | None = None, classes: np.ndarray | None = None) -> None:
+        self.bitmap = np.zeros(1 << (BITS - 3), np.uint8) if bitmap is None else bitmap.copy()
+        self.classes = np.zeros(1 << PLACE_BITS, np.uint8) if classes is None else classes.copy()
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        return _is_set(self.bitmap, hashes)
+
+    def written_by(self, hashes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        named = self.classes[hashes >> np.uint64(64 - PLACE_BITS)]
+        return (named == kinds + 1) | (named == _ANY)
+
+
+def _with_frequent(docs: DataFrame, lengths: list[int], least: int, before: Broadcast | None) -> Open:
+    """``before`` and all runs of ``lengths`` that come ``least`` times or more.
+
+    Tasks hand over some 40 bits of each hash with its count, cut off at
+    ``least``, which changes no sum's reaching it, and one class of texts that
+    has the run. Runs that share these bits add up, so what passes is too much
+    rather than too little.
     """
     slots = max(SLOTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     kind = np.uint8 if least < 256 else np.uint32 if least < 1 << 32 else np.uint64
-    out = pa.schema([("slot", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-
-    def fold(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        found, counts = np.unique(np.concatenate(held), return_counts=True)
-        slot = ((found & np.uint64(0xFFFFFFFF)) % np.uint64(slots)).astype(np.int32)
+    out = pa.schema([("slot", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("kinds", pa.binary())])
+    bits_out = pa.schema([("block", pa.int32()), ("bits", pa.binary()), ("classes", pa.binary())])
+    last = np.uint64(CLASSES - 1)
+
+    def fold(held: list[np.ndarray]) -> pa.RecordBatch:
+        """Hashes, the class in their last bits, as one row per slot."""
+        found = np.concatenate(held)
+        found.sort()
+        starts = np.flatnonzero(np.diff(found & ~last, prepend=~found[0] & ~last))
+        counts = np.minimum(np.diff(starts, append=len(found)), least).astype(kind)
+        found = found[starts]
+        slot = ((found & np.uint64(0xFFFFFFFF)) // np.uint64(CLASSES) % np.uint64(slots)).astype(np.int32)
         order = np.argsort(slot, kind="stable")
-        keys = (found >> np.uint64(32)).astype(np.uint32)[order]
-        counts = np.minimum(counts, least).astype(kind)[order]
+        columns = [(found >> np.uint64(32)).astype(np.uint32)[order], counts[order], (found & last).astype(np.uint8)[order]]
         names, starts = np.unique(slot[order], return_index=True)
-        ends = [*starts[1:].tolist(), len(order)]
-        spans = list(zip(starts.tolist(), ends))
-        columns = [pa.array(names, pa.int32())] + [pa.array([column[a:b].tobytes() for a, b in spans], pa.binary()) for column in (keys, counts)]
-        yield pa.RecordBatch.from_arrays(columns, schema=out)
+        spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(order)]))
+        parts = [pa.array([column[a:b].tobytes() for a, b in spans], pa.binary()) for column in columns]
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *parts], schema=out)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = None if before is None else before.value
         held, number = [], 0
         for words in _texts(batches):
-            for _, _, hashes in _open_runs(words, lengths, bitmap):
-                held.append(hashes)
+            for _, at, hashes in _open_runs(words, lengths, None if before is None else before.value):
+                held.append((hashes & ~last) | words.kind[at])
                 number += len(hashes)
             if number >= HELD:
-                yield from fold(held)
+                yield fold(held)
                 held, number = [], 0
         if number:
-            yield from fold(held)
+            yield fold(held)
 
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def bits(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-            high = np.unique(keys[counts >= least] >> np.uint32(32 - BITS))
-            return pa.RecordBatch.from_arrays([pa.array(high.astype(np.int64))], names=["bit"])
+    def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        keys, counts, kinds = (np.concatenate(column) for column in zip(*parts))
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order].astype(np.int64)
+        starts = np.flatnonzero(np.diff(keys, prepend=keys[0] ^ np.uint32(1)))
+        return keys[starts], np.minimum(np.add.reduceat(counts, starts), least), kinds[order][starts]
 
-        def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-            keys, counts = (np.concatenate(column) for column in zip(*parts))
-            order = np.argsort(keys, kind="stable")
-            keys, counts = keys[order], counts[order].astype(np.int64)
-            starts = np.flatnonzero(np.diff(keys, prepend=keys[0] ^ np.uint32(1)))
-            return keys[starts], np.minimum(np.add.reduceat(counts, starts), least)
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def frequent(keys: np.ndarray, counts: np.ndarray, kinds: np.ndarray) -> pa.RecordBatch:
+            chosen = counts >= least
+            columns = [pa.array((keys[chosen] >> np.uint32(32 - BITS)).astype(np.int32)), pa.array(kinds[chosen].astype(np.int32))]
+            return pa.RecordBatch.from_arrays(columns, names=["bit", "kind"])
 
         current, parts, number = None, [], 0
         for batch in batches:
-            for slot, keys, counts in zip(*(column.to_pylist() for column in batch.columns)):
+            for slot, *row in zip(*(column.to_pylist() for column in batch.columns)):
                 if slot != current and parts:
-                    yield bits(*summed(parts))
+                    yield frequent(*summed(parts))
                     parts, number = [], 0
                 current = slot
-                parts.append((np.frombuffer(keys, np.uint32), np.frombuffer(counts, kind)))
+                parts.append(tuple(np.frombuffer(data, of) for data, of in zip(row, (np.uint32, kind, np.uint8))))
                 number += len(parts[-1][0])
                 if number >= HELD:
                     parts = [summed(parts)]
                     number = 0  # only what is new since the last folding counts
         if parts:
-            yield bits(*summed(parts))
-
-    found = docs.mapInArrow(hashed, "slot int, keys binary, counts binary")
-    found = found.repartition(slots, "slot").sortWithinPartitions("slot").mapInArrow(added, "bit long")
-    place = F.col("bit") + 1
-    maps = found.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    bitmap = np.zeros(1 << (BITS - 3), np.uint8) if before is None else before.value.copy()
-    for row in maps.toLocalIterator():  # 4,096 rows of 4 KB at most
-        own = np.frombuffer(row["bits"], np.uint8)
-        at = (row["bucket"] - 1) * 4096
-        bitmap[at : at + len(own)] |= own
-    return bitmap
-
-
-def _candidates(docs: DataFrame, longest: int, bitmap: Broadcast) -> DataFrame:
-    """``lang`` and ``phrase`` of every run of up to ``longest`` words that the bitmap lets pass, once each."""
+            yield frequent(*summed(parts))
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The parts of both tables that each block of 2^15 bits has a share in."""
+
+        def block_of(number: int, bits: np.ndarray, classes: np.ndarray) -> pa.RecordBatch:
+            columns = [pa.array([number], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([classes.tobytes()], pa.binary())], schema=bits_out)
+
+        current, bits, classes = None, None, None
+        for batch in batches:
+            numbers, bit, named = (column.to_numpy() for column in batch.columns)
+            starts = np.flatnonzero(np.diff(numbers, prepend=numbers[0] ^ 1))
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(numbers)]):
+                if numbers[a] != current:
+                    if current is not None:
+                        yield block_of(current, bits, classes)
+                    current = int(numbers[a])
+                    bits, classes = np.zeros(1 << 15, bool), np.zeros(1 << (15 - BITS + PLACE_BITS), np.uint8)
+                own = bit[a:b] & ((1 << 15) - 1)
+                bits[own] = True
+                _claim(classes, own >> (BITS - PLACE_BITS), (named[a:b] + 1).astype(np.uint8))
+        if current is not None:
+            yield block_of(current, bits, classes)
+
+    found = docs.mapInArrow(hashed, "slot int, keys binary, counts binary, kinds binary")
+    found = found.repartition(slots, "slot").sortWithinPartitions("slot").mapInArrow(added, "bit int, kind int")
+    blocks = found.select(F.shiftright("bit", 15).alias("block"), "bit", "kind").distinct()
+    blocks = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(drawn, "block int, bits binary, classes binary")
+    open_ = Open() if before is None else Open(before.value.bitmap, before.value.classes)
+    for row in blocks.toLocalIterator():  # 4,096 rows of 8 KB at most
+        bits, classes = (np.frombuffer(row[name], np.uint8) for name in ("bits", "classes"))
+        open_.bitmap[row["block"] * len(bits) :][: len(bits)] |= bits
+        own = open_.classes[row["block"] * len(classes) :][: len(classes)]
+        named = np.flatnonzero(classes)
+        _claim(own, named, classes[named])
+    return open_
+
+
+def _claim(classes: np.ndarray, places: np.ndarray, named: np.ndarray) -> None:
+    """Enter classes (1 and up) at their places; one that two different ones claim is anybody's."""
+    low, high = np.full(len(classes), _ANY, np.uint8), np.zeros(len(classes), np.uint8)
+    np.minimum.at(low, places, named)
+    np.maximum.at(high, places, named)
+    some = np.unique(places)
+    agreed = np.where(low[some] == high[some], low[some], _ANY)
+    before = classes[some]
+    classes[some] = np.where((before == 0) | (before == agreed), agreed, _ANY)
+
+
+def _candidates(docs: DataFrame, longest: int, open_: Broadcast) -> DataFrame:
+    """``lang`` and ``phrase`` of every run of up to ``longest`` words that passes, once each."""
     out = pa.schema([("lang", pa.string()), ("phrase", pa.string())])
     lengths = list(range(1, longest + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.empty(0, np.uint64)
         for words in _texts(batches):
-            for length, at, hashes in _open_runs(words, lengths, bitmap.value):
-                passing = _is_set(bitmap.value, hashes)
+            for length, at, hashes in _open_runs(words, lengths, open_.value):
+                passing = open_.value.passes(hashes) & open_.value.written_by(hashes, words.kind[at])
                 hashes, first = np.unique(hashes[passing], return_index=True)
-                new = ~np.isin(hashes, seen)
+                place = np.searchsorted(seen, hashes)
+                new = seen[np.minimum(place, len(seen) - 1)] != hashes if len(seen) else np.ones(len(hashes), bool)
                 at = at[passing][first[new]]
-                seen = hashes if len(seen) > HELD else np.union1d(seen, hashes)
+                seen = hashes if len(seen) > HELD else np.sort(np.concatenate([seen, hashes[new]]))
                 data = words.bytes.tobytes()
                 ends = words.end[at + length - 1]
                 phrases = [data[a:b] for a, b in zip(words.begin[at].tolist(), ends.tolist())]
@@ -227,8 +299,10 @@ def _candidates(docs: DataFrame, longest: int, bitmap: Broadcast) -> DataFrame:
 class Trie:
     """A double array: state ``base[s] + symbol`` follows ``s`` if its ``check`` is ``s``; ``accept`` names what a state ends."""
 
-    def __init__(self, base: np.ndarray, check: np.ndarray, accept: np.ndarray) -> None:
-        self.base, self.check, self.accept = base, check, accept
+    def __init__(self, states: np.ndarray) -> None:
+        #: A row per state: what is looked up together lies together.
+        self.states = states
+        self.base, self.check, self.accept = states.T
 
     @classmethod
     def of(cls, keys: list[bytes]) -> Trie:
@@ -237,7 +311,7 @@ class Trie:
         flat = np.frombuffer(b"".join(keys), np.uint8)
         starts = np.cumsum(sizes) - sizes
         node = np.zeros(len(keys), np.int64)
-        parents, symbols, ends = [], [], np.empty(len(keys), np.int64)
+        parents, symbols = [], []
         active, depth, number = np.flatnonzero(sizes > 0), 0, 1
         while len(active):
             symbol, parent = flat[starts[active] + depth], node[active]
@@ -249,7 +323,6 @@ class Trie:
             number += int(new.sum())
             depth += 1
             active = active[sizes[active] > depth]
-        ends = node
         parent = np.concatenate([np.empty(0, np.int64), *parents])  # of nodes 1, 2, ...; ascending
         symbol = np.concatenate([np.empty(0, np.int64), *symbols]).astype(np.int64)
         children = np.bincount(parent, minlength=number)
@@ -271,11 +344,12 @@ class Trie:
         base[single] = free - symbol[first[single]]
         place = np.concatenate([[0], base[parent] + symbol])
         size = int(place.max()) + 257
-        arrays = [np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)]
-        arrays[0][place] = base
-        arrays[1][place[1:]] = place[parent]
-        arrays[2][place[ends]] = np.arange(len(keys))
-        return cls(*arrays)
+        states = np.full((size, 3), -1, np.int32)
+        states[:, 0] = 0
+        states[place, 0] = base
+        states[place[1:], 1] = place[parent]
+        states[place[node], 2] = np.arange(len(keys))
+        return cls(states)
 
     def state(self, text: bytes) -> int:
         """The state after ``text``, or -1."""
@@ -303,24 +377,25 @@ def _key(lang: str, phrase: str) -> bytes:
     return lang.encode() + b"\n" + phrase.encode()
 
 
-_STORED = "block int, idx long, lang string, phrase string, base binary, check binary, accept binary"
+_STORED = "block int, idx long, lang string, phrase string, part int, states binary"
 _STORED_ARROW = pa.schema(
-    [("block", pa.int32()), ("idx", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), *((n, pa.binary()) for n in ("base", "check", "accept"))]
+    [("block", pa.int32()), ("idx", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("part", pa.int32()), ("states", pa.binary())]
 )
 
 
 def _tries(candidates: DataFrame, blocks: int) -> DataFrame:
-    """Candidates dealt into ``blocks``: a row with a trie for each block, and one per candidate with its place in it."""
+    """Candidates dealt into ``blocks``: rows with the parts of each block's trie, and one per candidate with its place in it."""
 
     def stored(block: int, pairs: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
-        trie = Trie.of([_key(*pair) for pair in pairs])
-        arrays = [pa.array([a.tobytes()], pa.binary()) for a in (trie.base, trie.check, trie.accept)]
+        states = Trie.of([_key(*pair) for pair in pairs]).states
         nothing = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string())]
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *nothing, *arrays], schema=_STORED_ARROW)
+        for part, start in enumerate(range(0, len(states), SENT // 12)):
+            piece = pa.array([zlib.compress(states[start : start + SENT // 12].tobytes(), 1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *nothing, pa.array([part], pa.int32()), piece], schema=_STORED_ARROW)
         langs, phrases = zip(*pairs)
         number = len(pairs)
         columns = [pa.array(np.full(number, block, np.int32)), pa.array(np.arange(number)), pa.array(langs, pa.string()), pa.array(phrases, pa.string())]
-        yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(number, pa.binary()) for _ in range(3))], schema=_STORED_ARROW)
+        yield pa.RecordBatch.from_arrays([*columns, pa.nulls(number, pa.int32()), pa.nulls(number, pa.binary())], schema=_STORED_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, pairs = None, []
@@ -340,12 +415,12 @@ def _tries(candidates: DataFrame, blocks: int) -> DataFrame:
     return dealt.sortWithinPartitions("block", key).mapInArrow(run, _STORED)
 
 
-def _counts(docs: DataFrame, trie: Broadcast) -> DataFrame:
+def _counts(docs: DataFrame, parts: list[Broadcast]) -> DataFrame:
     """``idx`` and ``count`` of the candidates in one trie, and ``lang`` and ``count`` of all words."""
     out = pa.schema([("idx", pa.int64()), ("lang", pa.string()), ("count", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Trie(*trie.value)
+        own = Trie(np.frombuffer(b"".join(zlib.decompress(part.value) for part in parts), np.int32).reshape(-1, 3))
         counts = np.zeros(int(own.accept.max()) + 1, np.int64)
         totals: dict[str, int] = {}
         roots: dict[str, int] = {}
@@ -387,23 +462,24 @@ def frequent_phrases(
         F.coalesce(F.col(text_column).cast("binary"), F.lit(b"")).alias("text"),
     )
     context = spark.sparkContext
-    bitmap = context.broadcast(_frequent_bits(rows, list(range(1, min(2, longest) + 1)), least, None))
+    open_ = context.broadcast(_with_frequent(rows, list(range(1, min(2, longest) + 1)), least, None))
     if longest > 2:
-        short = bitmap
-        bitmap = context.broadcast(_frequent_bits(rows, list(range(3, longest + 1)), least, short))
+        short = open_
+        open_ = context.broadcast(_with_frequent(rows, list(range(3, longest + 1)), least, short))
         short.destroy()
-    candidates, candidates_path = staged_at(_candidates(rows, longest, bitmap), "candidates")
-    bitmap.destroy()
+    candidates, candidates_path = staged_at(_candidates(rows, longest, open_), "candidates")
+    open_.destroy()
     key_bytes = candidates.agg(F.sum(F.octet_length("lang") + F.octet_length("phrase") + 1)).first()[0] or 0
     stored, _ = staged_at(_tries(candidates, max(1, -(-key_bytes // trie_bytes))), "tries")
     discard(spark, candidates_path)
     parts = []
-    blocks = [row["block"] for row in stored.where("base is not null").select("block").collect()]  # one row per pass
+    blocks = [row["block"] for row in stored.where("part = 0").select("block").collect()]  # one row per pass
     for block in blocks:
-        one = stored.where((F.col("block") == block) & F.col("base").isNotNull()).select("base", "check", "accept").first()
-        trie = context.broadcast(tuple(np.frombuffer(array, np.int32) for array in one))
+        pieces = stored.where((F.col("block") == block) & F.col("part").isNotNull()).select("part", "states").orderBy("part")
+        trie = [context.broadcast(bytes(row["states"])) for row in pieces.toLocalIterator()]
         parts.append(staged_at(_counts(rows, trie).withColumn("block", F.lit(block)), "phrase-counts")[0])
-        trie.destroy()
+        for piece in trie:
+            piece.destroy()
     if not parts:
         nothing = spark.createDataFrame([], "lang string, phrase string, f long")
         return nothing, nothing.select("lang", F.col("f").alias("n"))
