@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from skilltrend.plans.checkpoints import discard, staged_at
+from skilltrend.plans.stages import Stages
 
 
 def _pointed(links: DataFrame, larger: bool) -> DataFrame:
@@ -31,11 +32,12 @@ def _mark(links: DataFrame) -> Row:
     return links.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a, 7))")).first()
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", stages: Stages | None = None) -> DataFrame:
     """``node`` and ``root`` (smallest node of its component) for each node that is not itself a root.
 
     ``links`` are undirected; repeated links and links of a node to itself count
     for nothing, links with a null end are ignored, and no links give no rows.
+    The result's folder goes with the run ``stages`` if there is one.
     """
     spark = links.sparkSession
     whole = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
@@ -50,5 +52,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         discard(spark, path)
         current, path = stars, new_path
         if new_mark == mark:
+            if stages is not None:
+                stages.adopt(current, path)
             return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = new_mark

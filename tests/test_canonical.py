@@ -7,8 +7,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from skilltrend.functions.similarity import common_subsequence, comparison_key, similarity
+from skilltrend.functions.similarity import common_subsequence, common_subsequences, comparison_key, similarity
+from skilltrend.operators import canonical
 from skilltrend.operators.canonical import merge_spellings, similar_keys, spelling_map
+from skilltrend.plans.checkpoints import shared_folder
 
 
 def plain_lcs(a, b):
@@ -85,6 +87,15 @@ def test_common_subsequence():
         assert common_subsequence(a, b) == plain_lcs(a, b)
 
 
+def test_common_subsequences_of_many_pairs():
+    rng = random.Random(4)
+    lengths = [0, 1, 7, 8, 9, 16, 17, 32, 33, 63, 64, 65, 128, 130, 192, 200, 256, 257, 300]
+    for letters in ("abcd", "aé€", "a€😀"):
+        left, right = (["".join(rng.choices(letters, k=rng.choice(lengths))) for _ in range(300)] for _ in range(2))
+        assert common_subsequences(left, right).tolist() == [common_subsequence(a, b) for a, b in zip(left, right)]
+    assert common_subsequences([], []).tolist() == [] and common_subsequences([""], ["a"]).tolist() == [0]
+
+
 def test_similarity_and_key(spark):
     df = spark.createDataFrame(
         [("reactjs", "react js"), ("communication", "communications"), ("", "")], "a string, b string"
@@ -115,6 +126,30 @@ def test_pairs_equal_brute_force(spark, threshold, pair_limit, length):
     assert got == want and want
 
 
+@pytest.mark.parametrize("threshold", [92, 80])
+def test_long_keys_equal_brute_force(spark, threshold):
+    # Lengths on both sides of the limit, runs that repeat, and keys that share most runs.
+    words = near_words(7, 60, (20, 40)) + near_words(8, 12, (90, 120)) + ["ab" * k for k in (10, 12, 13, 30, 31, 40)]
+    got = {(r["key_a"], r["key_b"]): r["score"] for r in similar_keys(as_column(spark, words, "key"), threshold, longest=25).collect()}
+    want = {}
+    for a, b in itertools.combinations(sorted(set(words), key=lambda w: (len(w), w)), 2):
+        score = plain_score(a, b)
+        if round(score) >= threshold:
+            want[(a, b)] = score
+    assert got == want and any(len(b) > 25 >= len(a) for a, b in want) and any(len(a) > 60 for a, _ in want)
+
+
+def test_rows_of_a_very_long_key(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choices("abcdefghij ", k=5000))
+    with canonical.Stages(spark) as stages:
+        pairs = canonical._long_pairs(as_column(spark, [long, long[:-20], "x" * 70], "key"), 92, 60, 3, stages)
+        assert [(len(r[0]), len(r[1])) for r in pairs.collect()] == [(4980, 5000)]
+        kept = next(path for path in stages.open_folders() if "rarest-runs" in path)
+        assert 0 < spark.read.parquet(kept).count() < 10_000
+    assert not canonical._first_blocks(as_column(spark, [long], "key"), 92, 60)[0].count()
+
+
 @pytest.mark.parametrize(
     "processor, task_rows", [("alnum", 0), ("none", 40)]
 )
@@ -137,17 +172,43 @@ def test_crowded_group_of_one_key(spark):
     assert computed_map(spark, words) == want
 
 
-@pytest.mark.parametrize("task_rows", [100_000, 0])
-def test_dense_family(spark, task_rows):
+def plain_merges(names, scores):
+    """The same order of events on given scores, one spelling after the other."""
+    taken, merged = set(), {}
+    for place, name in enumerate(names):
+        if name in taken:
+            continue
+        near = [(-scores[name, other], at, other) for at, other in enumerate(names) if at > place and other not in taken and (name, other) in scores]
+        if near:
+            other = min(near)[2]
+            taken.add(other)
+            merged[other] = name
+    return merged
+
+
+@pytest.mark.parametrize("task_rows, round_rows, levels", [(100_000, 1, [95.0]), (0, 30, [95.0]), (0, 25, [93.0, 94.0, 95.0, 96.0]), (0, 1, [93.0, 95.0])])
+def test_dense_family(spark, monkeypatch, task_rows, round_rows, levels):
     # All of a family are alike, so each spelling waits for those before it.
-    size = 300 if task_rows else 24
+    size = 400 if round_rows > 1 or task_rows else 24
+    rng = random.Random(6)
     names = [f"n{k:05d}" for k in range(size)]
     words = spark.createDataFrame([(n, n) for n in names], "skill string, key string")
-    links = spark.createDataFrame(
-        [(a, b, 95.0) for a, b in itertools.combinations(names, 2)], "key_a string, key_b string, score double"
-    )
-    got = {tuple(r) for r in merge_spellings(words, links, task_rows).collect()}
-    assert got == {(names[k + 1], names[k]) for k in range(0, size, 2)}
+    scores = {pair: rng.choice(levels) for pair in itertools.combinations(names, 2)}
+    links = spark.createDataFrame([(a, b, s) for (a, b), s in scores.items()], "key_a string, key_b string, score double")
+    rounds = []
+    settle = canonical._settle_round
+    monkeypatch.setattr(canonical, "_settle_round", lambda rows: rounds.append(1) or settle(rows))
+    got = dict(tuple(r) for r in merge_spellings(words, links, task_rows, round_rows).collect())
+    assert got == plain_merges(names, scores)
+    # Whatever depends on what, a round settles as many spellings as it may.
+    assert len(rounds) <= (0 if task_rows else -(-size // round_rows))
+
+
+def test_nothing_is_left_but_the_map(spark):
+    folder = spark._jvm.java.io.File(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.list())
+    computed_map(spark, near_words(5, 60, (4, 14)))
+    assert [name.split("-")[0] for name in set(folder.list()) - before] == ["spelling"]
 
 
 def test_stated_cases(spark):
