@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
@@ -41,10 +42,33 @@ def entity_table() -> dict[str, str]:
 
 
 def _common_entities() -> dict[str, str]:
-    """The names in wide use, which are looked up first."""
+    """The names in wide use, which also count without their semicolon."""
     return {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
 
 
+#: Places of the table of names: about one name each. And what parts places,
+#: names at a place, and a name from its text, none of which any name stands for.
+_PLACES, _PLACE_END, _NAME_END, _MEANS = 2048, "\x01", "\x02", "\x03"
+
+
+def _looked_up(name: Column, semicolon: Column) -> Column:
+    """What a reference's name stands for, or null.
+
+    A table in which a name's place is its hash, so that rare names cost what
+    common ones do. It is written as one text, which is cut into places when the
+    plan is made and not for every row.
+    """
+    places: list[list[str]] = [[] for _ in range(_PLACES)]
+    for names, mark in ((entity_table(), ";"), (_common_entities(), "")):
+        for entity, text in names.items():
+            places[zlib.crc32(entity.encode()) % _PLACES].append(entity + mark + _MEANS + text)
+    table = F.split(F.lit(_PLACE_END.join(map(_NAME_END.join, places))), _PLACE_END)
+    place = F.pmod(F.crc32(name.cast("binary")), F.lit(_PLACES)).cast("int")
+    own = F.str_to_map(table[place], F.lit(_NAME_END), F.lit(_MEANS))
+    # The rarer names count only with their semicolon: "&in" is two words more often.
+    return once(own, lambda found: F.coalesce(F.when(semicolon, found[F.concat(name, F.lit(";"))]), found[name]))
+
+
 def _windows_characters() -> dict[int, int]:
     """The numbers 128 to 159, which pages take from Windows-1252; five stand for themselves."""
     found = {}
@@ -74,9 +98,6 @@ def decode_entities(col: Column) -> Column:
 
     A missing semicolon is accepted; an unknown name keeps its ampersand.
     """
-    common, all_names = (
-        F.create_map(*(F.lit(part) for item in table.items() for part in item)) for table in (_common_entities(), entity_table())
-    )
 
     def resolve(piece: Column) -> Column:
         """The text after one ampersand, its reference replaced."""
@@ -85,9 +106,7 @@ def decode_entities(col: Column) -> Column:
             lambda name: F.concat(
                 F.when(name.startswith("#"), _numbered_character(name)).otherwise(
                     F.coalesce(
-                        common[name],
-                        # The rarer names count only with their semicolon: "&in" is two words more often.
-                        F.when(F.startswith(piece, F.concat(name, F.lit(";"))), all_names[name]),
+                        _looked_up(name, F.startswith(piece, F.concat(name, F.lit(";")))),
                         F.concat(F.lit("&"), name),
                     )
                 ),

@@ -69,13 +69,19 @@ def text_chunks(
     )
 
 
+#: Phrases of up to so many words are looked up as they are, longer ones by such a run in them.
+RUN_WORDS = 2
+
+
 @dataclass(frozen=True)
 class DictionaryExtractor:
     """Finds the phrases of a (phrase, entity_group) table in each chunk.
 
-    Phrases and texts are normalised alike, word by word. Runs of words are as
-    long as the longest phrase, which is found in the table unless ``max_words``
-    says it; a phrase that is longer than that is an error. The join carries no
+    Phrases and texts are normalised alike, word by word. A chunk is broken into
+    its words and pairs of words whatever the phrases are like. A phrase of more
+    words is indexed by the rarest pair in it, and checked in the chunks that
+    have that pair; so one long phrase costs the other rows nothing. A phrase
+    longer than ``max_words`` is an error, if that is given. The joins carry no
     hint: adaptive execution broadcasts the table if its measured bytes allow.
     """
 
@@ -85,16 +91,36 @@ class DictionaryExtractor:
 
     def __call__(self, chunks: DataFrame) -> DataFrame:
         table = self.phrases.select(_normal_words(F.col("phrase")).alias("_words"), "entity_group")
-        table = table.where(F.size("_words") > 0)
+        table = table.where(F.size("_words") > 0).distinct()
         longest = table.agg(F.max(F.size("_words"))).first()[0] or 1
         if self.max_words is not None and longest > self.max_words:
             raise ValueError(f"a phrase has {longest} words, more than max_words={self.max_words}")
-        runs = chunks.select(
-            self.cols.text_id,
-            F.explode(once(_normal_words(F.col("chunk")), lambda w: word_ngrams(w, longest))).alias("word"),
-        )
-        table = table.select(F.array_join("_words", " ").alias("word"), "entity_group").distinct()
-        return runs.join(table, "word").select(self.cols.text_id, "entity_group", "word")
+        keys = [self.cols.text_id, "chunk_no"]
+        words = chunks.select(*keys, _normal_words(F.col("chunk")).alias("_words"))
+        runs = words.select(*keys, F.explode(once(F.col("_words"), lambda w: word_ngrams(w, min(RUN_WORDS, longest)))).alias("_run"))
+        whole = F.array_join("_words", " ")
+        short = table.where(F.size("_words") <= RUN_WORDS).select(whole.alias("_run"), whole.alias("word"), "entity_group")
+        found = runs.join(short, "_run").select(self.cols.text_id, "entity_group", "word")
+        if longest <= RUN_WORDS:
+            return found
+        indexed = _by_rarest_pair(table.where(F.size("_words") > RUN_WORDS))
+        candidates = runs.join(indexed, "_run").select(*keys, "entity_group", "word")
+        padded = F.concat(F.lit(" "), whole, F.lit(" "))
+        holds = F.contains(F.col("_text"), F.concat(F.lit(" "), F.col("word"), F.lit(" ")))
+        texts = words.where(F.size("_words") > RUN_WORDS).select(*keys, padded.alias("_text"))
+        return found.unionAll(candidates.join(texts, keys).where(holds).select(self.cols.text_id, "entity_group", "word"))
+
+
+def _by_rarest_pair(phrases: DataFrame) -> DataFrame:
+    """``_run``, ``word``, ``entity_group``: each phrase under that of its pairs of words which the fewest phrases have."""
+    whole = phrases.select(F.array_join("_words", " ").alias("word"), "_words").distinct()
+    pairs = whole.select("word", F.explode(F.filter(word_ngrams(F.col("_words"), RUN_WORDS), lambda run: F.contains(run, F.lit(" ")))).alias("_run"))
+    uses = pairs.groupBy("_run").agg(F.count("*").alias("_uses"))
+    # Of pairs in equal use the longest one: it is rarer in texts, as a rule.
+    rank = F.struct("_uses", (-F.length("_run")).alias("_size"), "_run")
+    rarest = pairs.join(uses, "_run").groupBy("word").agg(F.min(rank).alias("_rarest"))
+    named = phrases.select(F.array_join("_words", " ").alias("word"), "entity_group")
+    return rarest.select("word", F.col("_rarest._run").alias("_run")).join(named, "word")
 
 
 def _normal_words(text: Column) -> Column:

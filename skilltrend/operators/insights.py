@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from skilltrend.columns import DEFAULT_COLUMNS, LEVELS, PostingColumns
 from skilltrend.functions.values import percent_label
 from skilltrend.operators.matrix import DIFF, JUNIOR, MID, RANK, SENIOR, rank_within
+from skilltrend.operators.postings import one_row_per_key
 
 ALL = "All"
+#: Postings whose keys go into the scan of the texts as a list, and those whose rows are broadcast.
+LISTED, BROADCAST = 2000, 200_000
 
 
 def profession_list(df: DataFrame, cols: PostingColumns = DEFAULT_COLUMNS) -> DataFrame:
@@ -93,24 +96,32 @@ def evidence_rows(
 ) -> DataFrame:
     """Postings behind one number of the matrix, one row per posting.
 
-    Where the tagged table has no text column, ``texts`` come from
-    ``postings``: the few matching keys are joined to it, so that long texts
-    are not stored once per skill.
+    Where the tagged table has no text column, texts come from ``postings``,
+    which hold them once per posting and not once per skill. The level is cut
+    before, and the hits are counted: the keys of a few are pushed into the scan
+    of the texts, where sorted files skip all other row groups; more are
+    broadcast, so that no text is moved; beyond that both sides are shuffled.
+    Of copies of a key the first by title and level is shown.
     """
     wanted = tagged.where(
         (F.col(cols.skill) == skill) & (F.col(cols.profession) == profession)
     )
     names = [cols.serial, cols.title, cols.level]
     if cols.text in tagged.columns:
-        evidence = wanted.select(*names, cols.text).dropDuplicates([cols.serial])
-    else:
-        if postings is None:
-            raise ValueError("tagged rows carry no text: pass the postings that do")
-        hits = wanted.select(*names).dropDuplicates([cols.serial])
-        texts = postings.select(F.col(cols.serial).alias("_serial"), cols.text)
-        same = F.col(cols.serial).eqNullSafe(F.col("_serial"))
-        evidence = hits.join(texts, same).drop("_serial")
-    return search_text(filter_level(evidence, level, cols), query, literal, cols)
+        evidence = one_row_per_key(wanted.select(*names, cols.text), [cols.serial], [])
+        return search_text(filter_level(evidence, level, cols), query, literal, cols)
+    if postings is None:
+        raise ValueError("tagged rows carry no text: pass the postings that do")
+    hits = filter_level(one_row_per_key(wanted.select(*names), [cols.serial], []), level, cols)
+    texts = postings.select(F.col(cols.serial).alias("_serial"), cols.text)
+    found = [row[0] for row in hits.select(cols.serial).limit(LISTED + 1).collect()]
+    if len(found) <= LISTED:
+        listed = F.col("_serial").isin([key for key in found if key is not None])
+        texts = texts.where(listed | F.col("_serial").isNull() if None in found else listed)
+    if len(found) <= LISTED or hits.limit(BROADCAST + 1).count() <= BROADCAST:
+        hits = F.broadcast(hits)
+    same = F.col(cols.serial).eqNullSafe(F.col("_serial"))
+    return search_text(texts.join(hits, same).select(*names, cols.text), query, literal, cols)
 
 
 def row_count(df: DataFrame) -> DataFrame:

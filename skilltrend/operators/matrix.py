@@ -16,6 +16,8 @@ from skilltrend.columns import (
     PostingColumns,
 )
 from skilltrend.functions.values import map_values, percentage
+from skilltrend.plans.checkpoints import staged_at
+from skilltrend.plans.stages import Stages
 
 JUNIOR, MID, SENIOR = LEVELS
 DIFF = "Junior_to_Senior_Diff"
@@ -153,15 +155,44 @@ def in_level_order(df: DataFrame, cols: PostingColumns = DEFAULT_COLUMNS) -> Dat
     )
 
 
-def rank_within(df: DataFrame, by: str, k: int | None, cols: PostingColumns = DEFAULT_COLUMNS) -> DataFrame:
+def rank_within(
+    df: DataFrame, by: str, k: int | None, cols: PostingColumns = DEFAULT_COLUMNS, stages: Stages | None = None
+) -> DataFrame:
     """Rank rows of each profession by ``by``, highest first, and keep ``k``.
 
     The limit is applied before the shuffle too, so a profession that fills the
-    table sends only ``k`` rows per task.
+    table sends only ``k`` rows per task. Without a limit ranks are counted in
+    ranges, so that no task sorts a whole profession.
     """
+    if k is None:
+        return _ranked_in_ranges(df, by, cols, stages)
     window = Window.partitionBy(cols.profession).orderBy(F.desc(by), F.asc(cols.skill))
     ranked = df.withColumn(RANK, F.row_number().over(window).cast("bigint"))
-    return ranked if k is None else ranked.where(F.col(RANK) <= k)
+    return ranked.where(F.col(RANK) <= k)
+
+
+def _ranked_in_ranges(df: DataFrame, by: str, cols: PostingColumns, stages: Stages | None) -> DataFrame:
+    """``df`` with each row's rank, from places within ranges of a sort and how many rows come before a range.
+
+    The ranges are stored at once: a second run of the sort might cut them
+    elsewhere. Their folder goes with the run ``stages`` if there is one.
+    """
+    order = [F.asc(cols.profession), F.desc(by), F.asc(cols.skill)]
+    # The increasing id's upper bits name the range, its lower ones the place in it.
+    cut = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
+    cut = cut.withColumn("_range", F.shiftright("_id", 33))
+    cut, path = staged_at(cut, "ranges")
+    if stages is not None:
+        stages.adopt(cut, path)
+    parts = cut.groupBy(cols.profession, "_range").agg(F.count("*").alias("_rows"), F.min("_id").alias("_first"))
+    ahead = Window.partitionBy(cols.profession).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per profession and range.
+    starts = parts.withColumn("_before", F.coalesce(F.sum("_rows").over(ahead), F.lit(0))).select(
+        F.col(cols.profession).alias("_profession"), F.col("_range").alias("_part"), "_first", "_before"
+    )
+    same = F.col(cols.profession).eqNullSafe(F.col("_profession")) & (F.col("_range") == F.col("_part"))
+    ranked = cut.join(starts, same).withColumn(RANK, F.col("_before") + F.col("_id") - F.col("_first") + 1)
+    return ranked.select(*df.columns, RANK)
 
 
 def evolution_matrix(
@@ -170,10 +201,11 @@ def evolution_matrix(
     levels: Sequence[str | None] | None = LEVELS,
     cols: PostingColumns = DEFAULT_COLUMNS,
     max_levels: int = MAX_LEVELS,
+    stages: Stages | None = None,
 ) -> DataFrame:
     """The matrix of all professions, ranked by Junior share in each."""
     named = share.where(F.col(cols.profession).isNotNull())
-    return rank_within(add_changes(level_pivot(named, levels, cols, max_levels)), JUNIOR, top_k, cols)
+    return rank_within(add_changes(level_pivot(named, levels, cols, max_levels)), JUNIOR, top_k, cols, stages)
 
 
 def mention_counts(df: DataFrame, cols: PostingColumns = DEFAULT_COLUMNS) -> DataFrame:

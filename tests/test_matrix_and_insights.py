@@ -1,11 +1,15 @@
 """Shares, matrix and the questions asked of it, on hand-worked rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from skilltrend.columns import DEFAULT_COLUMNS as C
 from skilltrend.operators import insights, matrix
 from skilltrend.operators.insights import ALL
+from skilltrend.operators.matrix import rank_within
+from skilltrend.operators.postings import map_levels
 
 KEYS = f"{C.serial} string, {C.profession} string, {C.level} string, {C.skill} string"
 
@@ -162,3 +166,37 @@ def test_evidence(spark):
         insights.evidence_rows(wide.drop(C.text), "p", "java")
     assert insights.row_count(wide).first()["rows"] == 6
     assert [r[0] for r in insights.sample_rows(wide, 2, [F.desc(C.serial)]).select(C.serial).collect()] == ["5", "4"]
+
+
+def test_ranks_without_a_limit(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["p", "p", "p", "q", None]), f"s{k:03d}", rng.choice([0.0, 1.5, 2.5, None])) for k in range(500)]
+    df = spark.createDataFrame(rows, f"{C.profession} string, {C.skill} string, Junior double").repartition(7)
+    by_window = rank_within(df, "Junior", 1000).collect()
+    by_ranges = rank_within(df, "Junior", None)
+    assert sorted(map(str, by_ranges.collect())) == sorted(map(str, by_window))
+    assert rank_within(df.limit(0), "Junior", None).count() == 0
+    # Windows see a profession's ranges, of which there are few, and never its rows.
+    for line in by_ranges._jdf.queryExecution().executedPlan().toString().splitlines():
+        assert "Window [" not in line or "_rows" in line
+
+
+def test_evidence_beyond_the_list(spark, monkeypatch):
+    rows = [(str(k % 40) if k % 9 else None, "p", "Senior", "java", f"t{k % 3}") for k in range(120)]
+    tagged = spark.createDataFrame(rows, f"{KEYS}, {C.title} string")
+    texts = tagged.select(C.serial).distinct().withColumn(C.text, F.concat(F.lit("text "), F.coalesce(C.serial, F.lit("none"))))
+    found = {}
+    for listed, broadcast in ((2000, 200_000), (5, 200_000), (5, 5)):
+        monkeypatch.setattr(insights, "LISTED", listed)
+        monkeypatch.setattr(insights, "BROADCAST", broadcast)
+        df = insights.evidence_rows(tagged.repartition(3), "p", "java", texts)
+        found[listed, broadcast] = sorted(map(str, df.collect()))
+        plan = df._jdf.queryExecution().analyzed().toString()
+        assert (" IN (" in plan) == (listed == 2000) and ("ResolvedHint" in plan) == (broadcast > 5)
+    assert len(set(map(tuple, found.values()))) == 1 and len(found[5, 5]) == 41
+
+
+def test_levels_from_a_table(spark):
+    df = spark.createDataFrame([("A",), ("B",), (None,)], f"{C.level} string")
+    table = spark.createDataFrame([("A", "y"), ("A", "x"), (None, "n")], "code string, name string")
+    assert sorted(str(r[0]) for r in map_levels(df, table).collect()) == ["B", "None", "x"]

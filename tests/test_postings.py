@@ -9,7 +9,8 @@ from skilltrend.columns import DEFAULT_COLUMNS as C
 from skilltrend.columns import posting_schema
 from skilltrend.functions.values import in_date_range, parse_month_first, percent_label, replace_patterns
 from skilltrend.columns import PROFESSION_RULES
-from skilltrend.operators.postings import clean_postings, level_totals
+from skilltrend.operators import postings as module
+from skilltrend.operators.postings import clean_postings, dedupe_postings, level_totals
 
 RANGE = ("2024-01-01", "2024-12-31")
 
@@ -138,5 +139,31 @@ def test_percent_label(spark):
 
 
 def test_dedupe_prunes_before_the_shuffle(spark):
-    plan = clean_postings(frame(spark, [posting("a")]))._jdf.queryExecution().executedPlan().toString()
+    plan = clean_postings(frame(spark, [posting("a")]).drop(C.scope))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_long_texts_are_neither_sorted_nor_moved(spark):
+    rows = [posting(str(k % 30), **{C.submitted: f"{k % 12 + 1}/1/2024", C.scope: f"<p>{k}</p>"}) for k in range(60)]
+    kept = dedupe_postings(frame(spark, rows))
+    lines = kept._jdf.queryExecution().executedPlan().toString().splitlines()
+    moved = [line for line in lines if ("Sort [" in line or "Exchange" in line) and C.scope in line]
+    assert not moved and any("BroadcastHashJoin" in line for line in lines)
+    best = {}
+    for row in rows:
+        month = int(row[C.submitted].split("/")[0])
+        best[row[C.serial]] = max(best.get(row[C.serial], (0, "")), (month, row[C.scope]))
+    assert {r[C.serial]: r[C.scope] for r in kept.collect()} == {key: scope for key, (_, scope) in best.items()}
+
+
+def test_wide_copies_that_tie(spark, monkeypatch):
+    rows = [posting("a", **{C.title: t}) for t in ("x", "y", "x", "x")] + [posting("b"), posting("b")]
+    rows += [posting("c", **{C.submitted: s}) for s in (None, "2/1/2024", "junk")] + [posting(None, **{C.title: t}) for t in ("p", "p", "q")]
+    rows += [posting("d", **{C.submitted: None, C.scope: None})] * 3
+    some = [dedupe_postings(frame(spark, rows).repartition(n)).collect() for n in (1, 3, 7)]
+    monkeypatch.setattr(module, "BROADCAST_KEYS", 0)
+    some.append(dedupe_postings(frame(spark, rows)).collect())
+    assert all(sorted(map(str, found)) == sorted(map(str, some[0])) for found in some)
+    assert sorted(str(r[C.serial]) for r in some[0]) == ["None", "a", "b", "c", "d"]
+    assert {r[C.serial]: r[C.submitted] for r in some[0]}["c"] == "2/1/2024"
+    assert dedupe_postings(frame(spark, [])).count() == 0

@@ -9,7 +9,8 @@ from skilltrend.columns import DEFAULT_COLUMNS as C
 from skilltrend.operators import insights
 from skilltrend.operators.extract import DictionaryExtractor
 from skilltrend.plans.checkpoints import broadcast_if_small, shared_folder, staged
-from skilltrend.plans.pipeline import analyze, tagged_with_text
+from skilltrend.plans.pipeline import analyze, read_analysis, tagged_with_text
+from skilltrend.plans.stages import MANIFEST, Stages, publish, published
 from skilltrend.sources.tables import (
     read_postings,
     read_table,
@@ -110,3 +111,66 @@ def test_end_to_end(spark, tmp_path):
         result.tagged, "SOFTWARE_ENGINEER", "java", result.postings, query="communication"
     ).collect()
     assert [r[C.serial] for r in rows] == ["2"]
+
+
+# --- Staged folders and published results --------------------------------------
+
+
+def folders(spark):
+    return set(spark._jvm.java.io.File(shared_folder(spark).removeprefix("file:")).list())
+
+
+def test_stages_go_after_their_last_reader(spark):
+    before = folders(spark)
+    with Stages(spark) as stages:
+        a = stages.put(spark.range(3), "a", readers=2)
+        b = stages.put(a.selectExpr("id + 1 AS id"), "b", after=[a])
+        assert len(stages.open_folders()) == 2
+        kept = stages.keep(a.join(b, "id"), "kept", after=[a])
+        assert [path.split("/")[-1].split("-")[0] for path in stages.open_folders()] == ["b"]
+        with pytest.raises(ValueError):
+            stages.read(a)
+    assert sorted(r[0] for r in kept.collect()) == [1, 2]
+    assert [name.split("-")[0] for name in folders(spark) - before] == ["kept"]
+    with pytest.raises(RuntimeError), Stages(spark) as stages:
+        stages.put(spark.range(3), "lost")
+        raise RuntimeError
+    assert not any(name.startswith("lost") for name in folders(spark))
+
+
+def test_published_tables_change_together(spark, tmp_path):
+    target = str(tmp_path / "results")
+    with pytest.raises(FileNotFoundError):
+        published(spark, target)
+    opened = []
+    for run in range(4):
+        df = spark.range(5).selectExpr(f"id + {run} AS n", "cast(id as string) AS s")
+        publish(spark, target, {"x": df, "y": df.limit(run)}, {"x": ["s", "n"]})
+        opened.append(published(spark, target))
+        assert opened[-1]["x"].agg(F.min("n")).first()[0] == run and opened[-1]["y"].count() == run
+        assert opened[-1]["x"].dtypes == df.dtypes
+    # The run before stays for those who read it; older ones are gone.
+    assert opened[-2]["x"].agg(F.min("n")).first()[0] == 2
+    names = sorted(p.name for p in (tmp_path / "results").iterdir() if not p.name.startswith("."))
+    assert len(names) == 3 and MANIFEST in names
+
+
+def test_analysis_leaves_its_results_only(spark, tmp_path):
+    rows = [posting(str(k), **{C.scope: f"<p>java &amp; python{k % 3}</p>", C.level: "SIX_TEN_YEARS" if k % 2 else "NO_EXPERIENCE"}) for k in range(12)]
+    rows += [posting("1", **{C.submitted: "1/1/2024"}), posting("x", **{C.level: None})]
+    phrases = spark.createDataFrame([("java", "HSKILL"), ("python1", "HSKILL"), ("python2", "HSKILL")], "phrase string, entity_group string")
+    before = folders(spark)
+    target = str(tmp_path / "analysis")
+    options = {"top_k": None, "levels": None}
+    result = analyze(frame(spark, rows), DictionaryExtractor(phrases), ("2024-01-01", "2024-12-31"), target=target, **options)
+    assert folders(spark) == before
+    again = read_analysis(spark, target)
+    assert sorted(map(str, again.matrix.collect())) == sorted(map(str, result.matrix.collect())) and again.matrix.count() == 3
+    assert {r[C.skill]: r["null"] for r in again.matrix.collect()}["java"] == 0.0
+    evidence = insights.evidence_rows(again.tagged, "SOFTWARE_ENGINEER", "java", again.postings, query="python2")
+    assert sorted(r[C.serial] for r in evidence.collect()) == ["11", "2", "5", "8"]
+    plan = insights.evidence_rows(again.tagged, "SOFTWARE_ENGINEER", "java", again.postings)._jdf.queryExecution().executedPlan().toString()
+    assert "In(" in plan.split("PushedFilters")[1] or "PushedFilters: [In(" in plan or "In(jobOpening" in plan
+    # Without a target every result has a folder, and nothing else is left.
+    analyze(frame(spark, rows), DictionaryExtractor(phrases))
+    assert sorted(name.split("-")[0] for name in folders(spark) - before) == ["matrix", "postings", "tagged", "totals"]

@@ -1,12 +1,13 @@
 """HTML, tokens, chunks and extraction."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from skilltrend.columns import DEFAULT_COLUMNS as C
-from skilltrend.functions.text import clean_token, html_to_text, split_words, word_chunks, word_ngrams
+from skilltrend.functions.text import clean_token, decode_entities, entity_table, html_to_text, split_words, word_chunks, word_ngrams
 from skilltrend.operators.extract import (
     DictionaryExtractor,
     ModelExtractor,
@@ -47,6 +48,25 @@ def test_html(spark, collapse):
     assert got == list(cases.values())
 
 
+def test_references(spark):
+    cases = {
+        "&#128;&#x80;&#129;&#0;&#xD800;&#x110000;&#12345678;": "€€\x81\ufffd\ufffd\ufffd\ufffd",
+        "&CounterClockwiseContourIntegral;&NotEqualTilde;&copysr;": "∳≂̸℗",
+        "&in &in; &copy &copyx; &apos &Copy;": "&in ∈ © &copyx; ' &Copy;",
+        "&": "&", "&;": "&;", "&&amp;&": "&&&", "& amp;": "& amp;",
+    }
+    assert evaluate(spark, decode_entities, cases) == list(cases.values())
+
+
+def test_every_name_is_found_and_the_table_is_one_literal(spark):
+    names = sorted(entity_table())
+    got = evaluate(spark, decode_entities, [f"<&{name};>" for name in names])
+    assert got == [f"<{entity_table()[name]}>" for name in names]
+    plans = spark.createDataFrame([("a",)], "x string").select(decode_entities(F.col("x")))._jdf.queryExecution()
+    cut = [plan.toString().count("str_to_map(split(") for plan in (plans.analyzed(), plans.optimizedPlan())]
+    assert cut[1] < cut[0]
+
+
 def test_html_long_tags_do_not_overflow(spark):
     page = "<p " + "a='b' " * 20000 + ">x</p>" + "<br>" * 20000 + "y"
     assert evaluate(spark, html_to_text, [page]) == ["x y"]
@@ -185,3 +205,26 @@ def test_text_stays_in_the_jvm(spark):
     plan = df.select(clean_token(F.col("x")), word_chunks(html_to_text(F.col("x"))))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "Pandas" not in text
+
+
+def test_long_phrases_by_their_rarest_pair(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(30)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 60))) for _ in range(60)]
+    long = " ".join(rng.choices(vocabulary, k=200))
+    texts += [f"x {long} y", long, long[:-3], ""]
+    found = {" ".join(t.split()[k : k + n]) for t in texts[:40] for n in (1, 2, 3, 5, 9) for k in range(0, max(0, len(t.split()) - n), 11)}
+    phrases = sorted(found | {long, "w1 w1 w1", "w2, W3 w4!"}) + [long]
+    table = spark.createDataFrame([(p, g) for p in phrases for g in ("HSKILL", "SSKILL")[: 1 + len(p) % 2]], "phrase string, entity_group string")
+    df = add_text_id(spark.createDataFrame([(t,) for t in texts], f"{C.text} string"))
+    chunks = text_chunks(distinct_texts(df), 300)
+    extractor = DictionaryExtractor(table)
+    plain = [re.sub(r"[,!]", "", p.lower()) for p in phrases]
+    ids = {r[C.text]: r[C.text_id] for r in df.collect()}
+    want = {(ids[t], p) for t in set(texts) for p in set(plain) if f" {p} " in f" {t} "}
+    got = {(r[C.text_id], r["word"]) for r in extractor(chunks).collect()}
+    assert got == want and (ids[long], long) in want
+    # The rows that chunks are broken into do not depend on the longest phrase.
+    assert "200" not in str(extractor(chunks)._jdf.queryExecution().optimizedPlan()).split("Generate")[1][:2000]
+    with pytest.raises(ValueError, match="200 words"):
+        DictionaryExtractor(table, max_words=10)(chunks)
