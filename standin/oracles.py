@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from skilltrend.columns import DEFAULT_COLUMNS as C
 from skilltrend.columns import STOP_WORDS
-from standin.queries import EVIDENCE, SEARCH, STANDIN_SYNONYMS
+from html.entities import html5, name2codepoint
+from standin.queries import DOCUMENT_EVIDENCE, DOCUMENT_SEARCH, EVIDENCE, SEARCH, STANDIN_SYNONYMS
 from standin.tables import CONTRACT_TYPES, DATES, LEVEL_CODES, STATUSES
 
 # White space as Unicode sees it, spelled out for a regex engine without (?U).
@@ -106,37 +107,65 @@ _MARKUP = (
 _MARK = "chr(64976)"
 _REF = r"'^(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);?'"
 
-HTML = f"""WITH joined AS (
-  SELECT page_id, replace(trim(regexp_replace(html, '{_MARKUP}', {_MARK}, 'g'), {_MARK}), {_MARK}, ' ') AS t
-  FROM pages),
-pieces AS (SELECT page_id, string_split(t, '&') AS p FROM joined),
-decoded AS (
-  SELECT page_id, p[1] || coalesce(array_to_string(list_transform(p[2:], lambda x:
-    CASE regexp_extract(x, {_REF}, 1)
-      WHEN 'amp' THEN '&' WHEN 'lt' THEN '<' WHEN 'gt' THEN '>' WHEN 'quot' THEN '"'
-      WHEN 'apos' THEN '''' WHEN 'nbsp' THEN chr(160) WHEN 'copy' THEN chr(169)
-      WHEN 'middot' THEN chr(183) WHEN 'eacute' THEN chr(233)
-      ELSE '&' || regexp_extract(x, {_REF}, 1) END
-    || regexp_replace(x, {_REF}, '')), ''), '') AS t
-  FROM pieces)
+# Names with their semicolon, and the common ones also without.
+_NAMES = {name: text for name, text in html5.items() if name.endswith(";")} | {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+_WINDOWS = {n: bytes([n]).decode("cp1252", "ignore") for n in range(128, 160)}
+
+
+def _chars(text: str) -> str:
+    return " || ".join(f"chr({ord(c)})" for c in text)
+
+
+ENTITIES = f"""ents AS (SELECT [{_texts(_NAMES)}] AS names, [{", ".join(map(_chars, _NAMES.values()))}] AS texts)"""
+_WINDOWS_ARMS = " ".join(f"WHEN {n} THEN {_chars(text)}" for n, text in _WINDOWS.items() if text)
+
+
+def _decoded(source: str, name: str, keep: str = "") -> str:
+    """CTEs that decode ``t`` of ``source`` into ``name``; ``keep`` are further columns, each with a comma."""
+    number = r"""CASE WHEN lower(r[2:2]) = 'x' THEN ('0x' || ltrim(r[3:], '0'))::BIGINT ELSE ltrim(r[2:], '0')::BIGINT END"""
+    return f"""{name}_cut AS (SELECT {keep} string_split(t, '&') AS p FROM {source}),
+{name}_refs AS (
+  SELECT {keep} p[1] AS head, list_transform(p[2:], lambda x: {{'x': x, 'r': regexp_extract(x, {_REF}, 1)}}) AS refs FROM {name}_cut),
+{name} AS (
+  SELECT {keep} head || coalesce(array_to_string(list_transform(refs, lambda y:
+    CASE WHEN y.r LIKE '#%' THEN (
+        CASE WHEN length(regexp_replace(y.r, '^#[xX]?0*', '')) NOT BETWEEN 1 AND 7 THEN chr(65533) ELSE (
+          CASE {number.replace("r[", "y.r[")} {_WINDOWS_ARMS}
+          ELSE CASE WHEN {number.replace("r[", "y.r[")} BETWEEN 1 AND 55295 OR {number.replace("r[", "y.r[")} BETWEEN 57344 AND 1114111
+            THEN chr(({number.replace("r[", "y.r[")})::INTEGER) ELSE chr(65533) END END) END)
+      ELSE coalesce(CASE WHEN starts_with(y.x, y.r || ';') THEN texts[list_position(names, y.r || ';')] END,
+        texts[list_position(names, y.r)], '&' || y.r) END
+    || CASE WHEN y.r = '' THEN y.x ELSE regexp_replace(y.x, {_REF}, '') END), ''), '') AS t
+  FROM {name}_refs, ents)"""
+
+
+def _plain_text(source: str, name: str, column: str, keep: str) -> str:
+    """CTEs of the text of an HTML column."""
+    return f"""{name}_joined AS (
+  SELECT {keep} replace(trim(regexp_replace({column}, '{_MARKUP}', {_MARK}, 'g'), {_MARK}), {_MARK}, ' ') AS t FROM {source}),
+{_decoded(f"{name}_joined", name, keep)}"""
+
+
+HTML = f"""WITH {ENTITIES}, {_plain_text("pages", "decoded", "html", "page_id,")}
 SELECT page_id, trim(regexp_replace(t, '[{WS}]+', ' ', 'g')) AS "{C.text}" FROM decoded"""
 
 WORDS = f"words AS (SELECT doc_id, unnest({_words('text')}) AS word FROM documents)"
 
-TEXTS = f"""texts AS (
-  SELECT DISTINCT sha256(text) AS text_id, text FROM documents WHERE text IS NOT NULL),
-split AS (SELECT text_id, {_words('text')} AS ws FROM texts),
+CHUNKS = f"""split AS (SELECT text_id, {_words('text')} AS ws FROM texts),
 chunks AS (
   SELECT text_id, ws[s + 1 : s + 300] AS ws
   FROM (SELECT text_id, ws, unnest(range(0, len(ws), 300)) AS s FROM split))"""
 
+TEXTS = f"""texts AS (
+  SELECT DISTINCT sha256(text) AS text_id, text FROM documents WHERE text IS NOT NULL),
+{CHUNKS}"""
+
 
 def _normal_words(column: str) -> str:
     return f"list_filter(list_transform({column}, lambda x: {_NORMAL.format('x')}), lambda x: x <> '')"
 
 
-DICTIONARY = f"""{TEXTS},
-grams AS (
+FOUND = f"""grams AS (
   SELECT DISTINCT text_id, unnest(list_concat(n, list_transform(range(1, len(n)), lambda i: n[i] || ' ' || n[i + 1]))) AS word
   FROM (SELECT text_id, {_normal_words('ws')} AS n FROM chunks)),
 phrases AS (
@@ -146,6 +175,20 @@ found AS (
   SELECT DISTINCT text_id, {_token('word')} AS skill
   FROM grams JOIN phrases USING (word) WHERE length(word) >= 8)"""
 
+DICTIONARY = f"{TEXTS},\n{FOUND}"
+
+LONG_PHRASES = f"""{TEXTS},
+items AS (SELECT {_normal_words(_words('text'))} AS n FROM benchmark),
+long AS (
+  SELECT DISTINCT unnest(list_concat([array_to_string(n, ' ')], flatten(list_transform(range(1, greatest(len(n) - 5, 1) + 1),
+    lambda i: list_transform([3, 4, 5, 6], lambda m: array_to_string(n[i:i + m - 1], ' ')))))) AS word
+  FROM items),
+plain AS (SELECT DISTINCT text_id, ' ' || array_to_string({_normal_words('ws')}, ' ') || ' ' AS t FROM chunks),
+found AS (
+  SELECT DISTINCT text_id, {_token('word')} AS skill FROM plain JOIN long ON contains(t, ' ' || word || ' ') WHERE word <> '')
+SELECT text_id, count(*) AS skills, sha256(string_agg(skill, '|' ORDER BY skill)) AS digest
+FROM found WHERE skill IS NOT NULL GROUP BY text_id"""
+
 _SKILL_LISTS = f"""SELECT text_id, string_agg(skill, '|' ORDER BY skill) AS "{C.raw_skills}"
 FROM found WHERE skill IS NOT NULL GROUP BY text_id"""
 
@@ -160,10 +203,11 @@ MODEL = f"""{TEXTS}, found AS (
 # characters deleted: the fewest deletions that meet are the distance. Longer
 # keys are few, so each pair gets its common subsequence row by row.
 
-SPELLINGS = f"""{WORDS}, spellings AS (
+WORD_SPELLINGS = f"""{WORDS}, spellings AS (
   SELECT DISTINCT skill FROM (SELECT {_token('word')} AS skill FROM (SELECT DISTINCT word FROM words))
-  WHERE skill IS NOT NULL),
-keyed AS (
+  WHERE skill IS NOT NULL)"""
+
+PAIRS = """keyed AS (
   SELECT skill, trim(regexp_replace(skill, '[^a-z0-9]', ' ', 'g')) AS k FROM spellings),
 keys AS (SELECT DISTINCT k FROM keyed WHERE k <> ''),
 gone0 AS (SELECT k, k AS v FROM keys WHERE length(k) <= 21),
@@ -209,8 +253,7 @@ pairs AS (
 # Every merge is an edge (earlier spelling, later spelling), and going through
 # the spellings in order picks the edges of a greedy matching. Edges that come
 # first at both their ends can be picked together, round by round.
-MERGES = f"""{SPELLINGS},
-links AS (
+MERGE_ROUNDS = """links AS (
   SELECT key_a AS ka, key_b AS kb, score FROM pairs
   UNION ALL SELECT key_b, key_a, score FROM pairs
   UNION ALL SELECT k, k, 100 FROM keyed WHERE k <> '' GROUP BY k HAVING count(*) > 1),
@@ -233,6 +276,56 @@ picked(n, a, b, chosen) AS (
       OR (a NOT IN (SELECT v FROM gone) AND b NOT IN (SELECT v FROM gone)))),
 merges AS (SELECT b AS skill, a AS canonical FROM picked WHERE chosen)"""
 
+SPELLINGS = f"{WORD_SPELLINGS},\n{PAIRS}"
+MERGES = f"{SPELLINGS},\n{MERGE_ROUNDS}"
+
+# --- From raw postings to the matrix ---
+
+RAW_DOCUMENTS = f"""raw_once AS (
+  SELECT doc_id - doc_id % 3 AS serial, CASE WHEN doc_id % 50 <> 0 THEN lang END AS profession,
+    CASE WHEN doc_id % 11 = 0 THEN 'DRAFT' ELSE '{STATUSES[0]}' END AS status,
+    CASE WHEN doc_id % 13 = 0 THEN 'INTERNSHIP' ELSE '{CONTRACT_TYPES[0]}' END AS kind,
+    DATE '2024-01-01' + (doc_id * 37 % 300)::INTEGER AS day,
+    CASE WHEN doc_id % 17 <> 0 THEN ([{_texts([*LEVEL_CODES, "INTERN"])}])[(doc_id % {len(LEVEL_CODES) + 1})::INTEGER + 1] END AS code,
+    source AS title, coalesce(html, '<p>' || text || '</p>') AS scope, doc_id
+  FROM documents LEFT JOIN pages ON doc_id = page_id),
+raw AS (SELECT * FROM raw_once UNION ALL SELECT * FROM raw_once WHERE doc_id % 10 = 0),
+copies AS (
+  SELECT * FROM raw WHERE status IN ({_texts(STATUSES)}) AND kind IN ({_texts(CONTRACT_TYPES)})
+  QUALIFY row_number() OVER (PARTITION BY serial ORDER BY day DESC) = 1)"""
+
+ANALYSIS = f"""{RAW_DOCUMENTS},
+posts AS (
+  SELECT *, {_case('code', LEVEL_CODES)} AS lvl FROM copies WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-09-30'),
+{ENTITIES}, {_plain_text("posts", "plain", "scope", "serial, profession, lvl,")},
+texts AS (SELECT DISTINCT t AS text_id, t AS text FROM plain WHERE t IS NOT NULL),
+{CHUNKS},
+{FOUND},
+spellings AS (SELECT DISTINCT skill FROM found WHERE skill IS NOT NULL),
+{PAIRS},
+{MERGE_ROUNDS},
+named AS (
+  SELECT serial, profession, lvl, coalesce(canonical, found.skill) AS w
+  FROM plain JOIN found ON text_id = t LEFT JOIN merges ON merges.skill = found.skill WHERE found.skill IS NOT NULL),
+tagged AS (
+  SELECT serial, profession, lvl, w AS skill FROM (SELECT serial, profession, lvl, {_case('w', STANDIN_SYNONYMS)} AS w FROM named)
+  WHERE w NOT IN ({_texts(STOP_WORDS)})),
+totals AS (SELECT profession, lvl, count(*) AS total FROM posts GROUP BY 1, 2),
+counts AS (SELECT profession, lvl, skill, count(DISTINCT serial) AS jobs FROM tagged GROUP BY 1, 2, 3),
+share AS (
+  SELECT counts.*, total, jobs / total * 100 AS pct FROM counts LEFT JOIN totals USING (profession, lvl) WHERE profession IS NOT NULL),
+pivoted AS (SELECT profession, skill, {_PIVOT_SUMS} FROM share GROUP BY 1, 2),
+matrix AS (
+  SELECT *, "Senior" - "Junior" AS diff,
+    CASE WHEN "Junior" = 0 THEN 100.0::DOUBLE ELSE ("Senior" - "Junior") / "Junior" * 100 END AS change,
+    row_number() OVER (PARTITION BY profession ORDER BY "Junior" DESC, skill) AS rnk
+  FROM pivoted QUALIFY rnk <= 100)"""
+
+DOCUMENT_TAGS = f"""{DICTIONARY}, evidence AS (
+  SELECT doc_id AS "{C.serial}", source AS "{C.title}", (['Junior', 'Mid-level', 'Senior'])[(doc_id % 3)::INTEGER + 1] AS "{C.level}",
+    documents.text AS "{C.text}"
+  FROM documents JOIN found ON text_id = sha256(text) WHERE lang = '{DOCUMENT_EVIDENCE[0]}' AND skill = '{DOCUMENT_EVIDENCE[1]}')"""
+
 
 def oracle_sql() -> dict[str, str]:
     keys = f'profession AS "{C.profession}", lvl AS "{C.level}"'
@@ -262,6 +355,45 @@ def oracle_sql() -> dict[str, str]:
             FROM raw WHERE profession IN ('BUILDING', 'MACHINERY')""",
         "parse_date_strings": f"""SELECT event_id, strftime(ts, '%-m/%-d/%Y') AS day_text,
             date_trunc('day', ts)::TIMESTAMP AS "{C.submitted_at}" FROM events""",
+        "typed_dates": f"""SELECT event_id, 'real' AS kind, ts::TIMESTAMP AS "{C.submitted_at}" FROM events
+            UNION ALL SELECT event_id, 'text', date_trunc('day', ts)::TIMESTAMP FROM events""",
+        "rename_column": f'SELECT n_nationkey, n_name AS "{C.profession}", n_regionkey FROM nation',
+        "dedupe_copies": f"""WITH {RAW_DOCUMENTS} SELECT doc_id, serial AS "{C.serial}", strftime(day, '%-m/%-d/%Y') AS "{C.submitted}",
+            code AS "{C.level}", sha256(scope) AS scope FROM copies""",
+        "level_table": f"""SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN o_orderpriority
+            ELSE 'L' || o_orderpriority[1:1] END AS "{C.level}" FROM orders""",
+        "published_totals": f"""WITH {SHARE} SELECT {keys}, total AS "{C.total}" FROM totals""",
+        "full_analysis": f"WITH RECURSIVE {ANALYSIS} SELECT {_MATRIX_COLUMNS} FROM matrix",
+        "ranks_of_all": f"WITH {MATRIX.replace('QUALIFY rnk <= 100', '')} SELECT {_MATRIX_COLUMNS} FROM matrix",
+        "odd_level_names": f"""WITH {POSTS}, odd AS (
+              SELECT * REPLACE (CASE WHEN lvl = '5-LOW' THEN 'rank' WHEN serial % 5 <> 0 THEN lvl END AS lvl) FROM posts),
+            totals AS (SELECT profession, lvl, count(*) AS total FROM odd GROUP BY 1, 2),
+            counts AS (SELECT profession, lvl, p_name AS skill, count(DISTINCT serial) AS jobs FROM odd
+              JOIN lineitem ON l_orderkey = serial JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3),
+            share AS (SELECT counts.*, jobs / total * 100 AS pct FROM counts LEFT JOIN totals USING (profession, lvl)),
+            pivoted AS (SELECT profession, skill, {_PIVOT_SUMS},
+              coalesce(sum(CASE WHEN lvl = 'rank' THEN pct END), 0) AS rank_level, 0.0::DOUBLE AS "null" FROM share GROUP BY 1, 2)
+            SELECT profession AS "{C.profession}", skill AS "{C.skill}", "Junior", "Mid-level", "Senior", rank_level, "null",
+              "Senior" - "Junior" AS "Junior_to_Senior_Diff",
+              CASE WHEN "Junior" = 0 THEN 100.0::DOUBLE ELSE ("Senior" - "Junior") / "Junior" * 100 END AS "Total_Rel_Change_Pct",
+              row_number() OVER (PARTITION BY profession ORDER BY "Junior" DESC, skill) AS rank
+            FROM pivoted QUALIFY rank <= 100""",
+        "entity_references": f"""WITH {ENTITIES}, picked AS (SELECT [{_texts(sorted(n[:-1] for n in html5 if n.endswith(";"))[::9])}] AS picks),
+            written AS (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN ';' ELSE ' ' END AS mark,
+              picks[event_id * 7 % len(picks) + 1] AS name FROM events, picked),
+            marked AS (SELECT event_id, 'a &' || name || mark || '&#' || (event_id * 37 % 70000) || mark || '&#x'
+              || to_hex(event_id % 1200000) || '; & &amp &nosuch; &lt;b&gt;' AS t FROM written),
+            {_decoded("marked", "decoded", "event_id,")} SELECT event_id, t AS "{C.text}" FROM decoded""",
+        "long_phrases": f"WITH {LONG_PHRASES}",
+        "evidence_full": f"""WITH {DOCUMENT_TAGS} SELECT * FROM evidence
+            WHERE regexp_matches("{C.title}", '(?i){DOCUMENT_SEARCH}') OR regexp_matches("{C.text}", '(?i){DOCUMENT_SEARCH}')""",
+        "evidence_of_level": f"""WITH {DOCUMENT_TAGS} SELECT "{C.serial}", "{C.level}", part FROM evidence, (SELECT unnest([0, 1, 2]) AS part)
+            WHERE part > 0 OR "{C.level}" = 'Senior'""",
+        "evidence_sample": f"""WITH {DOCUMENT_TAGS} SELECT "{C.serial}", "{C.title}", "{C.level}" FROM evidence ORDER BY 1 LIMIT 5""",
+        "empty_results": f"""WITH {MATRIX} SELECT profession AS "{C.profession}", unnest(['gatekeepers', 'bridge', 'grown']) AS kind,
+              unnest([count(*) FILTER (diff < -1.5) = 0, count(*) FILTER ("Mid-level" > "Junior" AND "Mid-level" > "Senior") = 0,
+                      count(*) FILTER (diff > 0.6) = 0]) AS empty FROM matrix GROUP BY profession""",
+        "local_rows": f"""WITH {SHARE} SELECT {keys}, total AS "{C.total}" FROM totals ORDER BY total DESC, profession, lvl LIMIT 7""",
         "date_range_filter": f"""SELECT o_orderkey, o_orderdate FROM orders
             WHERE o_orderdate BETWEEN TIMESTAMP '{DATES[0]}' AND TIMESTAMP '{DATES[1]}'""",
         "dedupe_postings": """SELECT o_custkey, o_orderkey, o_orderdate, o_orderstatus FROM orders

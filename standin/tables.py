@@ -61,6 +61,31 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as raw postings, pages as their HTML.
+
+    Three documents in a row are copies of one posting with dates of their own,
+    every tenth row comes twice, and levels may be null or unknown.
+    """
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    doc_id = F.col("doc_id")
+    codes = F.array(*map(F.lit, [*LEVEL_CODES, "INTERN"]))
+    level = F.when(doc_id % 17 != 0, F.element_at(codes, (doc_id % (len(LEVEL_CODES) + 1) + 1).cast("int")))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (doc_id * 37 % 300).cast("int"))
+    raw = docs.join(pages, doc_id == F.col("page_id"), "left").select(
+        (doc_id - doc_id % 3).alias(C.serial),
+        F.when(doc_id % 50 != 0, F.col("lang")).alias(C.raw_profession),
+        F.when(doc_id % 11 == 0, "DRAFT").otherwise(STATUSES[0]).alias(C.status),
+        F.when(doc_id % 13 == 0, "INTERNSHIP").otherwise(CONTRACT_TYPES[0]).alias(C.contract_type),
+        F.date_format(day, "M/d/yyyy").alias(C.submitted),
+        level.alias(C.level),
+        F.col("source").alias(C.title),
+        F.coalesce(F.col("html"), F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>"))).alias(C.scope),
+        doc_id,
+    )
+    return raw.unionAll(raw.where(doc_id % 10 == 0))
+
+
 def skill_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(serial, skill) for every line item."""
     return (
