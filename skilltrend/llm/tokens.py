@@ -40,6 +40,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+_encoders: dict[tuple[str, bool], TextEncoder] = {}
+
+
+def worker_encoder(path: str, drops_space: bool) -> TextEncoder:
+    """The encoder of this Python worker, which later tasks find again with what it remembers."""
+    key = path, drops_space
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = TextEncoder(path, drops_space)
+    return _encoders[key]
+
+
 class TextEncoder(dict):
     """Encodes texts to little-endian unsigned 32-bit ids.
 
