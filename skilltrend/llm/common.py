@@ -109,3 +109,55 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     for k in range(length):
         total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(total)])
     return np.unique(total)
+
+
+#: Bits of a bitmap of hashes: 16 MB, whatever the corpus.
+BITS = 27
+
+
+def bitmap_of(hashes: DataFrame, column: str) -> np.ndarray:
+    """The first ``BITS`` bits of the hashes (long) in ``column``, as a bitmap of fixed size.
+
+    Hashes that share these bits let each other pass: too many, never too few.
+    """
+    place = F.shiftrightunsigned(column, 64 - BITS) + 1
+    maps = hashes.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    bitmap = np.zeros(1 << (BITS - 3), np.uint8)
+    for row in maps.toLocalIterator():  # 4,096 rows of 4 KB at most
+        own = np.frombuffer(row["bits"], np.uint8)
+        bitmap[(row["bucket"] - 1) * len(own) :][: len(own)] = own
+    return bitmap
+
+
+def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = hashes >> np.uint64(64 - BITS)
+    return (bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def repeated_hashes(rows: DataFrame, hashes_of: Callable[[bytes], np.ndarray], at_once: int = 1 << 21) -> DataFrame:
+    """``hash`` of those that the texts of ``rows`` give twice or more.
+
+    Tasks fold their own before the shuffle, ``at_once`` at a time.
+    """
+    out = pa.schema([("hash", pa.int64()), ("n", pa.int32())])
+
+    def fold(held: list[np.ndarray]) -> pa.RecordBatch:
+        found = np.sort(np.concatenate(held))
+        starts = np.flatnonzero(np.diff(found, prepend=~found[:1]))
+        counts = np.minimum(np.diff(starts, append=len(found)), 2)
+        return pa.RecordBatch.from_arrays([pa.array(found[starts].view(np.int64)), pa.array(counts.astype(np.int32))], schema=out)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, number = [], 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held.append(hashes_of(text))
+                number += len(held[-1])
+                if number >= at_once:
+                    yield fold(held)
+                    held, number = [], 0
+        if number:
+            yield fold(held)
+
+    counts = rows.select("text").mapInArrow(counted, "hash long, n int")
+    return counts.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")

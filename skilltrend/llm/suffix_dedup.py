@@ -18,10 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skilltrend.llm.common import map_rows, mixed, texts
+from skilltrend.llm.common import bitmap_of, in_bitmap, map_rows, mixed, repeated_hashes, texts
 from skilltrend.plans.checkpoints import staged
 
 LENGTH = 200
@@ -29,7 +30,7 @@ LENGTH = 200
 STRIDE = 1 << 17
 #: Contexts that one suffix array holds, and contexts of an anchor from which its
 #: windows are counted one by one instead, over all tasks.
-TOGETHER, CROWDED = 1000, 40_000
+TOGETHER, CROWDED = 1000, 8000
 
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
 
@@ -219,12 +220,17 @@ def _checksum(text: bytes) -> int:
     return zlib.crc32(text) >> 1
 
 
-def _occurrences(length: int):
+def _occurrences(length: int, sent: Broadcast):
+    """The occurrences of all anchors that come twice, and of few others."""
+
     def occurrences(rows: Iterator[tuple]) -> Iterator[tuple]:
+        bitmap = sent.value
         for doc_id, text in rows:
             if len(text) < length:
                 continue
             places, hashes = anchors(text, length)
+            several = in_bitmap(bitmap, hashes)
+            places, hashes = places[several], hashes[several]
             high = _checksum(text) << 32
             for place, anchor in zip(places.tolist(), hashes.view(np.int64).tolist()):
                 start, end = reach(place, len(text), length)
@@ -295,10 +301,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
     rows = texts(docs, id_column, text_column)
     long, name = pa.int64(), "anchor long, context long"
     out = pa.schema([("anchor", long), ("context", long), ("doc_id", long), ("at", long), ("right", pa.int32())])
-    found = map_rows(rows, _occurrences(length), f"{name}, doc_id long, at long, right int", out)
-    twice = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    # Only anchors that occur twice go on.
-    hits = staged(found.join(twice, "anchor"), "anchors")
+    twice = repeated_hashes(rows, lambda text: anchors(text, length)[1])
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap_of(twice, "hash"))
+    # An anchor without company that shares its bits with another one does no harm below.
+    hits = staged(map_rows(rows, _occurrences(length, sent), f"{name}, doc_id long, at long, right int", out), "anchors")
+    sent.destroy()
 
     place = F.col("at").bitwiseAND(_LOW)
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", place.alias("place"), "at")
@@ -363,7 +370,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fa
     input. With ``keep_first`` the first copy of each string stays. Texts are
     UTF-8 bytes, null is empty, and texts shorter than ``length`` stay whole.
     Rows that repeat id and text are copies of each other; rows that repeat an
-    id with other texts are told apart. Further columns are ignored.
+    id with other texts are told apart. Further columns are ignored and an empty
+    table gives no rows.
     """
     spans = repeated_spans(docs, length, keep_first, id_column, text_column).withColumnRenamed("doc_id", "own_id")
     rows = texts(docs, id_column, text_column).withColumn("sum", F.shiftright(F.crc32("text"), 1))
