@@ -43,9 +43,14 @@ HEADLINE = [
     "evidence_rows",
     "evidence_search",
     "top_emerging",
+    "dedupe_copies",
+    "entity_references",
+    "long_phrases",
+    "evidence_full",
+    "full_analysis",
 ]
 # Queries that run many jobs of their own are timed once.
-SLOW = {"similarity_pairs", "fuzzy_groups", "apply_spelling_map"}
+SLOW = {"similarity_pairs", "fuzzy_groups", "apply_spelling_map", "full_analysis"}
 
 
 def main() -> None:

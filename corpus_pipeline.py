@@ -20,23 +20,49 @@ from skilltrend.plans.checkpoints import staged
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the machine, fitted on labelled rows, predicts toxic.
+
+    Null and empty texts are scored by the constant term alone; repeated rows stay or
+    go together; without any label in the table nothing is learnt and all rows score 0.5.
+    All columns stay, an empty table gives none.
+    """
     labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
     return without_toxic(docs, fit_toxicity(docs, labels))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one of the documents whose texts are equal but for white space.
+
+    Null counts as empty, so one row without text stays; of repeated rows one stays.
+    All columns stay, an empty table gives none.
+    """
     return without_exact_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one of each component of documents that share 0.8 of their five-word shingles.
+
+    Texts without words are linked with nothing and stay; rows that repeat an id stay or
+    go together. All columns stay, an empty table gives none.
+    """
     return without_near_duplicates(docs, words=5, percent=80)
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that copy a benchmark item or a part of one.
+
+    Null and empty texts copy nothing and stay; repeated rows stay or go together.
+    All columns stay, an empty table or benchmark drops nothing.
+    """
     return without_copies(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the token ids of all documents into sequences: one row per piece.
+
+    A null or empty text is one piece, its end id; repeated rows and rows with a null id
+    are packed one by one. Further columns stay behind, an empty table gives none.
+    """
     return packed_sequences(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
