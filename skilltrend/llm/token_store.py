@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skilltrend.llm.common import texts
-from skilltrend.llm.tokens import TextEncoder
+from skilltrend.llm.tokens import worker_encoder
 from skilltrend.plans.checkpoints import broadcast_if_small
 
 #: Bytes of a row group and of a page.
@@ -53,7 +53,7 @@ def write_tokens(
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = TextEncoder(tokenizer, drops_space), np.array([end_id], "<u4").tobytes()
+        encoder, end = worker_encoder(tokenizer, drops_space), np.array([end_id], "<u4").tobytes()
         chunk, start = TaskContext.get().partitionId(), 0
         doc_ids: list[int] = []
         parts: list[bytes] = []

@@ -15,7 +15,7 @@ import struct
 from functools import cache
 
 #: Stretches of one generation of a worker's memory, of which it has two, and their longest.
-STRETCHES, LONGEST = 250_000, 48
+STRETCHES, LONGEST = 400_000, 48
 
 # Unicode's white space, as the tokenizers' patterns know it, and Latin letters but the dotted I, which becomes two in lower case.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -27,6 +27,8 @@ _WITHOUT_SPACE = re.compile(rf"[{_LETTERS}]++{_ENDS}|[^{_SPACE}]++")
 # Where lower case goes character by character and texts are composed already.
 _BEYOND_LATIN = re.compile("[\u0130\u0250-\U0010ffff]")
 _PLAIN = re.compile(rf" ?[{_LETTERS}]+")
+# Python parts words at these, too; the tokenizers' patterns do not.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 @cache
@@ -80,8 +82,13 @@ class TextEncoder(dict):
     def __missing__(self, stretch: str) -> bytes:
         found = self._older.get(stretch)
         if found is None:
-            ids = self._ids(stretch)
-            found = struct.pack(f"<{len(ids)}I", *ids)
+            # What stands between white space may be words and punctuation, each known before.
+            parts = self._pattern.findall(stretch) if self._drops_space else (stretch,)
+            if len(parts) > 1:
+                found = b"".join(map(self.__getitem__, parts))
+            else:
+                ids = self._ids(stretch)
+                found = struct.pack(f"<{len(ids)}I", *ids)
         if len(stretch) <= LONGEST:
             if len(self) >= STRETCHES:
                 # What is still in use comes back from the older generation.
@@ -96,4 +103,6 @@ class TextEncoder(dict):
         # text, capitals need no room in the memory. Special tokens keep theirs.
         if self._drops_space and "<|" not in line and not _BEYOND_LATIN.search(line):
             line = line.lower()
+            if not _SEPARATORS.search(line):
+                return b"".join(map(self.__getitem__, line.split()))
         return b"".join(map(self.__getitem__, self._pattern.findall(line)))
