@@ -24,6 +24,8 @@ from skilltrend.llm.common import map_rows, texts
 BUCKETS = 1 << 14
 #: Texts of each language that a fit may use.
 SAMPLE = 800
+#: Languages that a model may hold.
+LANGUAGES = 1000
 CENTROIDS, TURNS = 4, 8
 #: Share of a centroid's own texts that lie beyond its radius, and some leeway.
 BEYOND, LEEWAY = 0.005, 0.9
@@ -111,13 +113,20 @@ def fit_language(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """Centroids of the languages in ``docs``, from about ``sample`` texts of each, chosen by a hash of id and text.
 
     Null languages, null texts and texts without a letter teach nothing. With
-    nothing to learn from, every text is unknown.
+    nothing to learn from, an empty table included, every text is unknown. Rows
+    that repeat teach each, or none of them does. More than ``LANGUAGES``
+    languages raise.
     """
     known = docs.where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
     totals = known.groupBy(F.col(lang_column).alias("lang")).agg(F.count("*").alias("n"))
     rows = known.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary").alias("text"), F.col(lang_column).alias("lang"))
-    rows = rows.join(totals, "lang")
-    chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.lit(1_000_000) * F.lit(sample) / F.col("n")
+    # One row per language; their shares go into the filter, so that the sample
+    # is cut where the texts are read and none of them is moved.
+    shares = {row["lang"]: 1_000_000 * sample / row["n"] for row in totals.limit(LANGUAGES + 1).collect()}
+    if len(shares) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages: is {lang_column} the right column?")
+    share = F.create_map(*(F.lit(part) for item in shares.items() for part in item)) if shares else F.create_map(F.lit(""), F.lit(0.0))
+    chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share[F.col("lang")]
     out = pa.schema([("lang", pa.string()), ("used", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
     found = map_rows(rows.where(chosen).select("doc_id", "text", "lang"), _counted, "lang string, used array<int>, counts array<int>", out, 200)
     by_language: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
