@@ -1,7 +1,7 @@
 """Chat formatting of unlike layouts, with built-in functions only.
 
 A layout is recognised by the hash of the nested field paths that it needs, and
-each row goes to the one whose fields it fills, as a table may hold several; each
+each row's fields go to those it fills, as a table may hold several; each
 known layout has a declarative mapping to canonical turns (``conv_id``, ``turn``,
 ``role``, ``text``). Turns are written with control strings around them. Control
 strings inside texts are escaped: a run ``<``, tildes, ``|`` gets one tilde more,
@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,11 +65,11 @@ class Layout:
     #: Role names that the layout uses for the canonical ones.
     roles: tuple[tuple[str, str], ...] = ()
 
-    def filled(self, df: DataFrame) -> list[Column]:
+    def filled(self, df: DataFrame) -> dict[str, Column]:
         """For each column but the id, whether a row has something there."""
         names = dict.fromkeys(path.split(".")[0].removesuffix("[]") for path in self.paths if path != "conv_id")
         lists = {f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)}
-        return [F.coalesce(F.size(n) > 0, F.lit(False)) if n in lists else F.col(n).isNotNull() for n in names]
+        return {n: F.coalesce(F.size(n) > 0, F.lit(False)) if n in lists else F.col(n).isNotNull() for n in names}
 
 
 #: Role names that other layouts use for the canonical ones.
@@ -78,6 +79,7 @@ ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assi
 def layouts() -> list[Layout]:
     """The known layouts, those with more fields first."""
     asked = F.concat_ws("\n\n", F.nullif(F.col("instruction"), F.lit("")), F.nullif(F.col("input"), F.lit("")))
+    asked = F.when(F.col("instruction").isNotNull() | F.col("input").isNotNull(), asked)
     known = [
         Layout("turn rows", ("conv_id", "turn", "role", "text"), lambda df: df.select("conv_id", "turn", "role", "text")),
         Layout("messages", ("conv_id", "messages[].role", "messages[].content"), _listed("messages", "role", "content"), tuple(ROLES.items())),
@@ -95,11 +97,13 @@ def canonical_turns(df: DataFrame, roles: dict[str, str] | None = None) -> DataF
     """``conv_id``, ``turn``, ``role``, ``text`` of a table in any known layouts.
 
     A layout is there if the fingerprint of those of the table's field paths that
-    it names is its own; further fields are ignored. Each row goes to one of the
-    layouts there: to one that it fills wholly before one that it fills in part,
-    then to the one with most filled and fewest other fields. A row that fills no field of any,
-    empty lists included, gives one turn without number, role and text, so no
-    row disappears. ``roles`` maps role names of all layouts; by default lists of
+    it names is its own; further fields are ignored. Each filled field of a row
+    goes to one of the layouts there that name it: to one that the row fills
+    wholly before one that it fills in part, then to the one with most filled and
+    fewest other fields. So a row that fills two layouts gives the turns of both,
+    the better one's first, and no text is given twice or lost. A row that fills
+    no field of any, empty lists included, gives one turn without number, role
+    and text, so no row disappears. ``roles`` maps role names of all layouts; by default lists of
     messages get ``ROLES`` and others keep their names. With no known layout it raises.
     """
     paths = field_paths(df.schema)
@@ -123,18 +127,39 @@ def canonical_turns(df: DataFrame, roles: dict[str, str] | None = None) -> DataF
 
     if [layout.name for layout in there] == ["turn rows"]:
         return canonical(there[0].turns(df), named(there[0]))
-    scores = []
+    scores, owners = [], {}
     for k, layout in enumerate(there):
         filled = layout.filled(df)
-        number, whole = sum((f.cast("int") for f in filled), F.lit(0)), F.lit(True)
-        for f in filled:
-            whole = whole & f
+        number, whole = F.lit(0), F.lit(True)
+        for own in filled.values():
+            number, whole = number + own.cast("int"), whole & own
         scores.append(F.when(number > 0, whole.cast("int") * 10_000 + number * 100 + k).otherwise(F.lit(0)))
-    best = scores[0] if len(scores) == 1 else F.greatest(*scores)
-    empty = df.where(best == 0).select("conv_id", *(F.lit(None).cast(t).alias(n) for n, t in (("turn", "long"), ("role", "string"), ("text", "string"))))
+        for name, own in filled.items():
+            owners.setdefault(name, []).append((k, own))
+
+    def most(parts: list[Column]) -> Column:
+        return F.greatest(*parts) if len(parts) > 1 else parts[0]
+
+    # For each layout, its columns and whether they go to it.
+    taken = []
+    for k, layout in enumerate(there):
+        best = {name: most([scores[j] for j, _ in owners[name]]) for name in layout.filled(df)}
+        taken.append({name: own & (scores[k] == best[name]) for name, own in layout.filled(df).items()})
+    used = [reduce(Column.__or__, own.values()) for own in taken]
+    empty = df.where(most(scores) == 0).select("conv_id", *(F.lit(None).cast(t).alias(n) for n, t in (("turn", "long"), ("role", "string"), ("text", "string"))))
     out = canonical(empty, {})
-    for layout, score in zip(there, scores):
-        out = out.union(canonical(layout.turns(df.where((best > 0) & (score == best))), named(layout)))
+    for k, layout in enumerate(there):
+        # Turns of a row's second layout come after those of its first.
+        ahead = reduce(Column.__add__, ((some & (score > scores[k])).cast("long") for score, some in zip(scores, used)))
+        own = df.where(used[k]).withColumns(
+            {
+                **{name: F.when(column, F.col(name)) for name, column in taken[k].items()},
+                "conv_id": F.struct(F.col("conv_id").alias("id"), (ahead * F.lit(1 << 32)).alias("ahead")),
+            }
+        )
+        turns = layout.turns(own)
+        turns = turns.withColumns({"turn": F.col("turn").cast("long") + F.col("conv_id.ahead"), "conv_id": F.col("conv_id.id")})
+        out = out.union(canonical(turns, named(layout)))
     return out
 
 
