@@ -2,20 +2,22 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from skilltrend.llm import chat, packing
 from skilltrend.llm.common import tokenizer_path
-from skilltrend.llm.decontaminate import aligned, benchmark_copies, contamination, without_copies
-from skilltrend.llm.language import UNKNOWN, fit_language, predict_language
+from skilltrend.llm.decontaminate import aligned, benchmark_copies, contamination, without_copies, words_of
+from skilltrend.llm.language import UNKNOWN, fit_language, predict_language, term_counts
 from skilltrend.llm.packing import best_fit, lower_bound, packed_sequences
 from skilltrend.llm.token_store import read_tokens, with_checksums, write_tokens
 from skilltrend.llm.tokens import TextEncoder
-from skilltrend.llm.toxicity import BUCKETS, Terms, fit_machine, fit_toxicity, score_toxicity, without_toxic
+from skilltrend.llm.toxicity import BUCKETS, FactorizationMachine, Terms, fit_machine, fit_toxicity, score_toxicity, telling_terms, without_toxic
 
 SCHEMA = "doc_id long, text string, lang string, score int, kept string"
 
@@ -46,6 +48,32 @@ def test_machine_learns_a_pair():
     assert (model.factors[1] * model.factors[2]).sum() > 0.1
 
 
+def test_machine_learns_a_pair_that_is_neutral_alone():
+    # Toxic is what has both terms or neither, so either one alone tells nothing.
+    rng = np.random.default_rng(2)
+    rows, labels = [], []
+    for _ in range(6000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        noise = 100 + rng.integers(0, 3000, 25)
+        rows.append(np.unique(np.r_[0, [1] * a, [2] * b, noise]).astype(np.int64))
+        labels.append(float(a == b))
+    labels = np.array(labels)
+    assert telling_terms(rows[:5000], labels[:5000])[[1, 2]].all()
+    model = fit_machine(rows[:5000], labels[:5000], np.ones(5000))
+    right = [(model.score(set(r.tolist())) >= 0.5) == bool(y) for r, y in zip(rows[5000:], labels[5000:])]
+    assert np.mean(right) > 0.95
+
+
+def test_margins_are_the_sums_of_weights_and_pairs():
+    rng = np.random.default_rng(3)
+    model = FactorizationMachine(rng.normal(size=50).astype(np.float32), rng.normal(size=(50, 4)).astype(np.float32))
+    for _ in range(50):
+        terms = np.unique(rng.integers(0, 50, 12))
+        plain = sum(float(model.weights[i]) for i in terms)
+        plain += sum(float(model.factors[i] @ model.factors[j]) for k, i in enumerate(terms) for j in terms[k + 1 :])
+        assert abs(float(model.margins(terms, np.zeros(1, np.int64))[0]) - plain) < 1e-3
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     rows = [(k, " ".join(rng.choices(["the", "of", "and", "is", "on"], k=30)) + (" Stupid idiot" if k % 4 == 0 else "")) for k in range(200)]
@@ -89,6 +117,36 @@ def test_language(spark):
     assert {r["lang_pred"] for r in predict_language(table(spark, EDGE), none).collect()} == {UNKNOWN}
 
 
+def plain_terms(text):
+    """Counts of letter runs of one to three, words parted by single blanks."""
+    line = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+    found = {}
+    for size in (1, 2, 3):
+        for k in range(len(line) - size + 1):
+            found[line[k : k + size]] = found.get(line[k : k + size], 0) + 1
+    return found
+
+
+def test_nearest_centroid_is_a_plain_cosine(spark):
+    rng, words = random.Random(4), {"en": ["the", "thing", "which"], "de": ["der", "schön", "nicht"], "fr": ["été", "que", "eau"]}
+    rows = [(k, " ".join(rng.choices(words[lang], k=12)), lang) for k, lang in enumerate(["en", "de", "fr"] * 30)]
+    model = fit_language(table(spark, rows))
+    for text in ["the schön eau", "Which thing, 7 der", "x", "été" * 50_000, "nicht-nicht QUE"]:
+        used, counts = term_counts(text.encode())
+        assert counts.sum() == sum(plain_terms(text).values())
+        vector = np.zeros(len(model.idf))
+        vector[used] = (1 + np.log(counts)) * model.idf[used]
+        vector /= np.linalg.norm(vector)
+        # The matrix holds centroids times idf; a centroid itself has length one.
+        plain = [float(vector @ (model.matrix[:, c] / model.idf)) for c in range(len(model.owners))]
+        lang, score, rejected = model.nearest(text.encode())
+        best = int(np.argmax(plain))
+        assert lang == model.languages[model.owners[best]] and abs(score - min(1, max(0, plain[best]))) < 1e-4
+        assert rejected == (plain[best] < model.radii[best])
+    assert all(abs(np.linalg.norm(model.matrix[:, c] / model.idf) - 1) < 1e-3 for c in range(len(model.owners)))
+    assert predict_language(table(spark, []), model).count() == 0
+
+
 # --- Decontamination ---------------------------------------------------------
 
 
@@ -209,6 +267,10 @@ def test_several_layouts_in_one_table(spark):
         (6, None, None, "only asked", None, None, None),
         (7, [], None, None, None, None, None),
         (8, None, None, None, None, None, None),
+        # Two layouts in one row, whole or in part: nothing is lost or said twice.
+        (9, [("user", "q"), ("assistant", "a")], None, "q2", "a2", None, None),
+        (10, [("user", "q")], None, None, "left", None, None),
+        (11, None, None, "q", "a", "other", "s"),
     ]
     got = {}
     for r in chat.canonical_turns(spark.createDataFrame(rows, schema)).orderBy("conv_id", "turn").collect():
@@ -218,6 +280,21 @@ def test_several_layouts_in_one_table(spark):
     assert got[5] == [(0, "system", "s"), (1, "user", "q"), (2, "assistant", "a")]
     assert got[6] == [(0, "user", "only asked")]
     assert got[7] == got[8] == [(None, "", "")]
+    said = {k: [turn[1:] for turn in got[k]] for k in (9, 10, 11)}
+    assert sorted(said[9][:2]) == sorted(plain_said := [("user", "q"), ("assistant", "a")]) or said[9][2:] == plain_said
+    assert sorted(said[9]) == sorted([*plain_said, ("user", "q2"), ("assistant", "a2")])
+    assert said[10] == [("user", "q"), ("assistant", "left")]
+    assert said[11] == [("system", "s"), ("user", "q"), ("assistant", "a"), ("assistant", "other")]
+
+
+def test_words_by_bytes_are_the_words_of_the_pattern():
+    rng = random.Random(12)
+    letters = ["a", "B", "1", "_", "-", " ", "\n", "\x1c", "\x00", "é", "İ", "ß", "日", "٣", "‿", "—", "\xa0", "\u2028", "²", "\ufffd"]
+    for size in (6, 10, 14, 20):
+        for _ in range(400):
+            text = "".join(rng.choices(letters[:size], k=rng.randint(0, 12)))
+            assert [w.decode() for w in words_of(text.encode())] == re.findall(r"[^\W_]+", text.lower())
+    assert words_of(b"a\xff\xc3b") == [b"a", b"b"]
 
 
 # --- Tokens ------------------------------------------------------------------
@@ -292,4 +369,15 @@ def test_packing(spark, monkeypatch, part):
         total += int(own["length"].sum())
     assert out["doc_id"].isna().sum() == 1 and out["doc_id"].nunique() == 150
     assert out["sequence_id"].nunique() <= -(-total // 128) + 3
+    # Every sequence that wastes room is either in a certified part or reported.
+    used, bound = packing.certificate(spark.createDataFrame(out[["length", "sequence_id"]]), 128).first()
+    assert used == out["sequence_id"].nunique() and bound <= used
+    assert (used == bound) or part == 15 or not out["certified"].all()
+    plain = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    texts = dict(rows)
+    for doc_id, own in out[out["doc_id"] > 5].groupby("doc_id"):
+        ids = np.array([*plain.encode(texts[doc_id] or "", add_special_tokens=False).ids, 2], "<u4")
+        own = own.sort_values("piece")
+        assert own["piece"].tolist() == list(range(len(own))) and own["start"].tolist() == np.r_[0, own["length"].cumsum()[:-1]].tolist()
+        assert own["ids_crc32"].tolist() == [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(own["start"], own["length"])]
     assert packed_sequences(table(spark, []), tokenizer_path("byte_bpe_50k.json")).count() == 0
