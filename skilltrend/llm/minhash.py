@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from skilltrend.llm.common import WordHashes, free_name, map_rows, mixed, shingle_hashes, texts
 from skilltrend.operators.components import components
 from skilltrend.plans.checkpoints import staged
+from skilltrend.plans.stages import Stages
 
 SLOTS, CHUNK = 40, 5
 #: Signature distance up to which the keys meet every pair.
@@ -154,7 +155,7 @@ def _near_labels(farthest: int):
     return joined
 
 
-def families(classes: DataFrame, keys: DataFrame, farthest: int) -> DataFrame:
+def families(classes: DataFrame, keys: DataFrame, farthest: int, stages: Stages) -> DataFrame:
     """``label`` and ``family`` for each label that must be compared with others.
 
     Buckets of one label are done. In others, near signatures join labels to a
@@ -162,12 +163,12 @@ def families(classes: DataFrame, keys: DataFrame, farthest: int) -> DataFrame:
     """
     mixed_keys = keys.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("hi"), F.count("*").alias("n"))
     mixed_keys = mixed_keys.where("least <> hi").select("key", "least", "n")
-    rows = staged(keys.join(mixed_keys, "key"), "mixed")
+    rows = stages.put(keys.join(mixed_keys, "key"), "mixed")
     large = rows.where(F.col("n") > BUCKET).where("label <> least").select(F.col("least").alias("a"), F.col("label").alias("b")).distinct()
     small = rows.where(F.col("n") <= BUCKET).join(classes.select("node", "slots"), "node").select("key", "label", "slots")
     small = small.repartition("key").sortWithinPartitions("key")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    joined = components(large.union(map_rows(small, _near_labels(farthest), "a long, b long", out)))
+    joined = components(large.union(map_rows(small, _near_labels(farthest), "a long, b long", out)), stages=stages)
     roots = joined.select(F.col("root").alias("label"), F.col("root").alias("family")).distinct()
     return joined.select(F.col("node").alias("label"), F.col("root").alias("family")).union(roots)
 
@@ -217,7 +218,7 @@ def _block_links(words: int, percent: int):
     return links
 
 
-def links_within(members: DataFrame, words: int, percent: int) -> DataFrame:
+def links_within(members: DataFrame, words: int, percent: int, stages: Stages) -> DataFrame:
     """Links between different labels of a family; ``members`` has ``family``, ``label``, ``node``, ``text``.
 
     A label of at least ``BLOCK`` rows has blocks of its own, which need not be
@@ -234,7 +235,7 @@ def links_within(members: DataFrame, words: int, percent: int) -> DataFrame:
     dealt = members.join(placed, ["family", "label"]).withColumn(
         "part", F.pmod(F.when(F.col("owner") < 0, F.xxhash64("label")).otherwise(F.xxhash64("node")), "parts")
     )
-    dealt = staged(dealt.select("family", F.concat_ws(":", "owner", "part").alias("block"), "owner", "node", "label", "text"), "blocks")
+    dealt = stages.put(dealt.select("family", F.concat_ws(":", "owner", "part").alias("block"), "owner", "node", "label", "text"), "blocks")
     blocks = dealt.select("family", "block", "owner").distinct()
     left, right = (blocks.select("family", F.col("block").alias(n), F.col("owner").alias(f"{n}_owner")) for n in ("i", "j"))
     pairs = left.join(right, "family").where("i <= j and (i_owner <> j_owner or i_owner < 0)").select("family", "i", "j")
@@ -266,13 +267,13 @@ def _confirm(words: int, percent: int):
     return confirm
 
 
-def confirmed(pairs: DataFrame, bodies: DataFrame, words: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, bodies: DataFrame, words: int, percent: int, stages: Stages) -> DataFrame:
     """The ``pairs`` (``a``, ``b``) whose complete sets are similar; ``bodies`` has ``node`` and ``text``.
 
     A leader with many partners is split into shares, each with a copy of its text.
     """
     shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / LEADER_SHARE).alias("shares"))
-    dealt = staged(pairs.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), "shares").alias("share"), "b"), "pairs")
+    dealt = stages.put(pairs.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), "shares").alias("share"), "b"), "pairs")
     members = dealt.join(bodies.withColumnRenamed("node", "b"), "b").select("a", "share", "b", "text")
     heads = dealt.select("a", "share").distinct().join(bodies.withColumnRenamed("node", "a"), "a")
     rows = heads.select("a", "share", F.lit(None).cast("long").alias("b"), "text").union(members)
@@ -288,26 +289,29 @@ def linked(
     percent: int,
     keys_of: Callable[[np.ndarray], np.ndarray],
     farthest: int,
+    stages: Stages | None = None,
 ) -> DataFrame:
     """``node`` and ``root`` of every class in a component of linked classes that is not its root.
 
     ``classes`` has ``node``, ``slots`` and what ``fetch`` needs to find the
-    texts (``node``, ``text``) of some of them.
+    texts (``node``, ``text``) of some of them. The result's folder goes with
+    the run ``stages`` if there is one; all others are gone on return.
     """
-    first = staged(leader_pairs(keyed(classes.withColumn("label", F.col("node")), keys_of)), "leaders")
-    met = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
-    met = staged(classes.join(met, "node"), "met")
-    bodies = staged(fetch(met), "bodies")
-    links = staged(confirmed(first, bodies, words, percent), "links")
-    labels = components(links)
-    labelled = met.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).select("node", "slots", "label")
-    labelled = staged(labelled, "labelled")
-    found = families(labelled, keyed(labelled, keys_of), farthest)
-    apart = labelled.join(found, "label").select("family", "label", "node")
-    apart = staged(apart.join(bodies, "node").select("family", "label", "node", "text"), "apart")
-    if apart.isEmpty():
-        return labels
-    return components(links.union(staged(links_within(apart, words, percent), "links")))
+    with Stages(classes.sparkSession) as own:
+        first = own.put(leader_pairs(keyed(classes.withColumn("label", F.col("node")), keys_of)), "leaders")
+        met = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
+        met = own.put(classes.join(met, "node"), "met", readers=2)
+        bodies = own.put(fetch(met), "bodies", after=[met])
+        links = own.put(confirmed(first, bodies, words, percent, own), "links")
+        labels = components(links, stages=own)
+        labelled = met.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).select("node", "slots", "label")
+        labelled = own.put(labelled, "labelled", after=[met])
+        found = families(labelled, keyed(labelled, keys_of), farthest, own)
+        apart = labelled.join(found, "label").select("family", "label", "node")
+        apart = own.put(apart.join(bodies, "node").select("family", "label", "node", "text"), "apart")
+        if not apart.isEmpty():
+            labels = components(links.union(own.put(links_within(apart, words, percent, own), "links")), stages=own)
+        return own.keep(labels, "near-labels") if stages is None else stages.put(labels, "near-labels")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

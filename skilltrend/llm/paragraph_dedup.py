@@ -20,12 +20,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skilltrend.llm.common import WordHashes, free_name, map_rows, mixed, shingle_hashes, texts
-from skilltrend.llm.minhash import linked, signature
-from skilltrend.plans.checkpoints import staged
+from skilltrend.llm.common import WordHashes, bitmap_of, free_name, in_bitmap, map_rows, mixed, repeated_hashes, texts
+from skilltrend.llm.minhash import _ODD, _SHIFT, linked
+from skilltrend.plans.stages import Stages
 
 WORDS, PERCENT = 5, 80
 #: Words of the shortest paragraph that counts; shorter lines are alike by chance.
@@ -40,6 +41,8 @@ LAST = 2**63 - 1
 MISSED, MOST_SLOTS = 1e-4, 40
 #: Texts that a task remembers having signed.
 SIGNED = 200_000
+#: Words that are signed at once, and rows held for it.
+SIGNED_WORDS, SIGNED_ROWS = 1 << 16, 20_000
 
 
 def tuned_bands(percent: int, missed: float = MISSED, most_slots: int = MOST_SLOTS) -> tuple[int, int]:
@@ -76,21 +79,52 @@ def paragraphs(text: bytes) -> Iterator[tuple[int, int, int, list[bytes]]]:
         start += len(line) + 1
 
 
+def _signatures(lines: list[np.ndarray], slots: int) -> list[bytes]:
+    """The signature of the shingles of each line, all lines at once; each has ``WORDS`` words at least."""
+    words = np.concatenate(lines)
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines)) - WORDS + 1
+    total = np.full(len(words) - WORDS + 1, np.uint64(WORDS))
+    for k in range(WORDS):
+        total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(total)])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    # Runs over the end of a line are left out; each line has as many as words less four.
+    total = total[np.arange(ends[-1]) + np.repeat(np.arange(len(lines)) * (WORDS - 1), sizes)]
+    low = np.empty((len(lines), slots), np.uint64)
+    for slot in range(slots):
+        low[:, slot] = np.minimum.reduceat(total * _ODD[slot] + _SHIFT[slot], starts)
+    return [row.tobytes() for row in (mixed(low) >> np.uint64(48)).astype(np.uint16)]
+
+
 def _listed(slots: int):
     def listed(rows: Iterator[tuple]) -> Iterator[tuple]:
         hashes, signed = WordHashes(), set()
+        held: list[tuple] = []
+        new: list[tuple[int, np.ndarray]] = []  # place in ``held`` and words of lines not signed yet
+        words_held = 0
+
+        def settled() -> Iterator[tuple]:
+            signatures = _signatures([own for _, own in new], slots) if new else []
+            by_place = dict(zip((k for k, _ in new), signatures))
+            for k, row in enumerate(held):
+                yield *row, by_place.get(k)
+
         for doc_id, text in rows:
-            yield doc_id, DOCUMENT, 0, 0, len(text), None, None
+            held.append((doc_id, DOCUMENT, 0, 0, len(text), None))
             for number, start, end, words in paragraphs(text):
                 own = hashes.of(words)
                 body = xxhash.xxh3_128_digest(own.tobytes())
-                if body in signed:
-                    yield doc_id, number, start, end, len(words), body, None
-                    continue
-                if len(signed) >= SIGNED:
-                    signed.clear()
-                signed.add(body)
-                yield doc_id, number, start, end, len(words), body, signature(shingle_hashes(own, WORDS), slots).tobytes()
+                if body not in signed:
+                    if len(signed) >= SIGNED:
+                        signed.clear()
+                    signed.add(body)
+                    new.append((len(held), own))
+                    words_held += len(own)
+                held.append((doc_id, number, start, end, len(words), body))
+                if words_held >= SIGNED_WORDS or len(held) >= SIGNED_ROWS:
+                    yield from settled()
+                    held, new, words_held = [], [], 0
+        yield from settled()
 
     return listed
 
@@ -137,14 +171,30 @@ def _checksum(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text) - 2**63
 
 
-def _anchored(rows: Iterator[tuple]) -> Iterator[tuple]:
-    hashes = WordHashes()
-    for doc_id, text in rows:
-        words = hashes.of(text.lower().split())
-        if len(words) >= PASSAGE:
-            own, id_ = _checksum(text), LAST if doc_id is None else doc_id
-            for anchor, context, at, number in zip(*(x.tolist() for x in stretches(words))):
-                yield anchor, context, id_, own, at, number
+#: Hashes of words that a worker remembers from one text to the next.
+_words = WordHashes()
+
+
+def _anchors(text: bytes) -> np.ndarray:
+    words = text.lower().split()
+    return stretches(_words.of(words))[0].view(np.uint64) if len(words) >= PASSAGE else np.empty(0, np.uint64)
+
+
+def _anchored(sent: Broadcast):
+    """The stretches of anchors that come twice, and of few others."""
+
+    def anchored(rows: Iterator[tuple]) -> Iterator[tuple]:
+        hashes = WordHashes()
+        for doc_id, text in rows:
+            words = text.lower().split()
+            if len(words) >= PASSAGE:
+                own, id_ = _checksum(text), LAST if doc_id is None else doc_id
+                found = stretches(hashes.of(words))
+                several = in_bitmap(sent.value, found[0].view(np.uint64))
+                for anchor, context, at, number in zip(*(x[several].tolist() for x in found)):
+                    yield anchor, context, id_, own, at, number
+
+    return anchored
 
 
 def _windows(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -189,7 +239,7 @@ def _sources(span: dict) -> Iterator[tuple[int, int]]:
         yield k, known.get(k, span["source"])
 
 
-def repeated_passages(rows: DataFrame, lines: DataFrame) -> DataFrame:
+def repeated_passages(rows: DataFrame, lines: DataFrame, stages: Stages) -> DataFrame:
     """``doc_id``, ``start``, ``end``, ``size``, ``source`` of the words that lie in a later copy of a window of ``PASSAGE`` words.
 
     ``rows`` has ``doc_id`` and ``text``; words that lie in ``lines`` (``doc_id``,
@@ -198,12 +248,14 @@ def repeated_passages(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """
     name = "anchor long, context long, own_id long, own long, at long"
     out = [(n.split()[0], pa.int64()) for n in name.split(", ")]
-    found = staged(map_rows(rows, _anchored, f"{name}, number int", pa.schema([*out, ("number", pa.int32())])), "stretches")
-    twice = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    hits = staged(found.join(twice, "anchor"), "anchors")
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap_of(repeated_hashes(rows, _anchors), "hash"))
+    # A stretch without company that shares its bits with another one does no harm below.
+    hits = map_rows(rows, _anchored(sent), f"{name}, number int", pa.schema([*out, ("number", pa.int32())]))
+    hits = stages.put(hits, "stretches")
+    sent.destroy()
 
     contexts = hits.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("own_id", "own", "at", "number")).alias("first"))
-    contexts = staged(contexts, "contexts")
+    contexts = stages.put(contexts, "contexts")
     several = contexts.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1").select("anchor")
     wanted = contexts.join(several, "anchor").groupBy("first.own_id", "first.own").agg(
         F.collect_list(F.struct("anchor", "context", "first.at", "first.number")).alias("wanted")
@@ -212,7 +264,7 @@ def repeated_passages(rows: DataFrame, lines: DataFrame) -> DataFrame:
     # A list is no longer than its document has words.
     needed = rows.join(wanted, own_id == F.col("own_id")).select("text", "own_id", "own", "wanted")
     shape = pa.schema([*out, ("keys", pa.list_(pa.int64()))])
-    windows = staged(map_rows(needed, _windows, f"{name}, keys array<long>", shape, 2000), "windows")
+    windows = stages.put(map_rows(needed, _windows, f"{name}, keys array<long>", shape, 2000), "windows")
     windows = windows.select("anchor", "context", "own_id", "own", "at", F.posexplode("keys").alias("place", "key"))
     windows = windows.withColumn("copy", F.struct("own_id", "own", F.col("at") + F.col("place")))
     least = windows.groupBy("anchor", "key").agg(F.min("copy").alias("least"), F.max("copy").alias("most")).where("least <> most")
@@ -246,48 +298,52 @@ def paragraph_duplicates(docs: DataFrame, percent: int = PERCENT, id_column: str
     row bytes. Null and empty texts have no paragraphs. Null ids come last;
     rows that repeat an id count as one document. An empty table gives none.
     """
+    spark = docs.sparkSession
     bands, rows_of_band = tuned_bands(percent)
     rows = texts(docs, id_column, text_column)
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     out = pa.schema(list(zip(("doc_id", "paragraph", "start", "end", "size", "body", "slots"), kinds)))
     schema = "doc_id long, paragraph int, start long, end long, size long, body binary, slots binary"
-    listed = staged(map_rows(rows, _listed(bands * rows_of_band), schema, out, 5000), "paragraphs")
-
-    place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.col("paragraph"))
-    classes = listed.where("body is not null").groupBy("body").agg(F.min(place).alias("at"), F.max("slots").alias("slots"))
-    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    columns = ["doc_id", "paragraph", "start", "end", "size"]
+    place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.col("paragraph"))
 
     def fetch(met: DataFrame) -> DataFrame:
         wanted = met.groupBy(F.col("at.id").alias("own_id")).agg(F.collect_list(F.struct("body", "node")).alias("wanted"))
         # A list is no longer than its document has paragraphs.
-        found = rows.join(wanted, F.coalesce("doc_id", F.lit(2**63 - 1)) == F.col("own_id")).select("text", "wanted")
+        found = rows.join(wanted, F.coalesce("doc_id", F.lit(LAST)) == F.col("own_id")).select("text", "wanted")
         return map_rows(found, _picked, "node long, text binary", pa.schema([("node", pa.int64()), ("text", pa.binary())]), 2000)
 
-    farthest = int(bands * rows_of_band * 0.65)
-    labels = linked(classes, fetch, WORDS, percent, band_keys(bands, rows_of_band), farthest)
-    rooted = classes.join(labels, "node", "left").select("body", "at", F.coalesce("root", "node").alias("root"))
-    first = rooted.groupBy("root").agg(F.min("at").alias("first"))
-    found = rooted.join(first, "root").select("body", "first")
-    columns = ["doc_id", "paragraph", "start", "end", "size"]
-    lines = staged(listed.where("body is not null").join(found, "body").select(
-        *columns,
-        F.nullif(F.col("first.id"), F.lit(2**63 - 1)).alias("first_id"),
-        F.col("first.paragraph").alias("first_paragraph"),
-        (place != F.col("first")).alias("removed"),
-    ), "lines")
-    passages = repeated_passages(rows, lines.where("removed")).select(
-        "doc_id",
-        F.lit(PASSAGES).alias("paragraph"),
-        "start",
-        "end",
-        "size",
-        F.nullif(F.col("source"), F.lit(LAST)).alias("first_id"),
-        F.lit(None).cast("int").alias("first_paragraph"),
-        F.lit(True).alias("removed"),
-    )
-    own = listed.where("body is null").select(
-        *columns, F.lit(None).cast("long").alias("first_id"), F.lit(None).cast("int").alias("first_paragraph"), F.lit(False).alias("removed")
-    )
+    with Stages(spark) as stages:
+        listed = stages.put(map_rows(rows, _listed(bands * rows_of_band), schema, out, 5000), "paragraphs", readers=3)
+        classes = listed.where("body is not null").groupBy("body").agg(F.min(place).alias("at"), F.max("slots").alias("slots"))
+        classes = stages.put(classes.withColumn("node", F.monotonically_increasing_id()), "classes", readers=1, after=[listed])
+        farthest = int(bands * rows_of_band * 0.65)
+        labels = linked(classes, fetch, WORDS, percent, band_keys(bands, rows_of_band), farthest, stages)
+        rooted = classes.join(labels, "node", "left").select("body", "at", F.coalesce("root", "node").alias("root"))
+        first = rooted.groupBy("root").agg(F.min("at").alias("first"))
+        found = rooted.join(first, "root").select("body", "first")
+        lines = listed.where("body is not null").join(found, "body").select(
+            *columns,
+            F.nullif(F.col("first.id"), F.lit(LAST)).alias("first_id"),
+            F.col("first.paragraph").alias("first_paragraph"),
+            (place != F.col("first")).alias("removed"),
+        )
+        lines = stages.keep(lines, "lines", after=[listed, classes])
+        own = listed.where("body is null").select(
+            *columns, F.lit(None).cast("long").alias("first_id"), F.lit(None).cast("int").alias("first_paragraph"), F.lit(False).alias("removed")
+        )
+        own = stages.keep(own, "whole-documents", after=[listed])
+        passages = repeated_passages(rows, lines.where("removed"), stages).select(
+            "doc_id",
+            F.lit(PASSAGES).alias("paragraph"),
+            "start",
+            "end",
+            "size",
+            F.nullif(F.col("source"), F.lit(LAST)).alias("first_id"),
+            F.lit(None).cast("int").alias("first_paragraph"),
+            F.lit(True).alias("removed"),
+        )
+        passages = stages.keep(passages, "passages")
     return own.union(lines).union(passages)
 
 
