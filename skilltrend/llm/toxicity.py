@@ -29,6 +29,10 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
 #: Terms get weights if so many rows of the sample hold them, and if their shares
 #: of toxic and other rows differ by so many standard errors.
 LEAST_ROWS, TELLING = 3, 3.5
+#: Of terms that tell nothing alone, the most frequent ones whose pairs are looked
+#: at, and by how many standard errors a pair's shares must differ; there are half
+#: a million pairs, so chance alone reaches five.
+PAIRED, PAIR_TELLING = 1000, 7.0
 EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.1, 1e-4
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -81,8 +85,9 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 def telling_terms(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Which buckets get weights: those whose share of toxic rows differs from that of the others.
 
-    All other terms are noise, of which a long text holds thousands. The
-    constant term stays.
+    So do terms that tell nothing alone but in company: two that stand together
+    in another share of toxic rows than of others. All other terms are noise, of
+    which a long text holds thousands. The constant term stays.
     """
     n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
     toxic = np.bincount(np.concatenate([r for r, y in zip(rows, labels) if y] or [np.zeros(0, int)]), minlength=BUCKETS)
@@ -91,9 +96,35 @@ def telling_terms(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     error = np.sqrt(np.maximum(overall * (1 - overall), 1e-12) * (1 / n1 + 1 / n0))
     kept = (toxic + clean >= LEAST_ROWS) & (np.abs(toxic / n1 - clean / n0) >= TELLING * error)
     kept[0] = True
+    kept[_telling_pairs(rows, labels, np.where(kept, 0, toxic + clean))] = True
     return kept
 
 
+def _telling_pairs(rows: list[np.ndarray], labels: np.ndarray, uses: np.ndarray) -> np.ndarray:
+    """Terms, of the ``PAIRED`` ones with most ``uses``, that have a telling partner among them."""
+    terms = np.argsort(-uses, kind="stable")[:PAIRED]
+    terms = np.sort(terms[uses[terms] >= LEAST_ROWS])
+    place = np.full(BUCKETS, -1)
+    place[terms] = np.arange(len(terms))
+    shares, sizes = [], []
+    for label in (1, 0):
+        own = [place[r] for r, y in zip(rows, labels) if y == label]
+        both = np.zeros((len(terms), len(terms)), np.float32)
+        for start in range(0, len(own), 1000):
+            part = own[start : start + 1000]
+            holds = np.zeros((len(part), len(terms) + 1), np.float32)
+            holds[np.repeat(np.arange(len(part)), [len(r) for r in part]), np.concatenate(part)] = 1  # the last column takes all others
+            both += holds[:, :-1].T @ holds[:, :-1]
+        sizes.append(max(1, len(own)))
+        shares.append(both / sizes[-1])
+    overall = (shares[0] * sizes[0] + shares[1] * sizes[1]) / sum(sizes)
+    error = np.sqrt(np.maximum(overall * (1 - overall), 1e-12) * (1 / sizes[0] + 1 / sizes[1]))
+    telling = np.abs(shares[0] - shares[1]) >= PAIR_TELLING * error
+    telling &= overall * sum(sizes) >= LEAST_ROWS
+    np.fill_diagonal(telling, False)
+    return terms[telling.any(axis=1)]
+
+
 def fit_machine(rows: list[np.ndarray], labels: np.ndarray, row_weights: np.ndarray, seed: int = 7) -> FactorizationMachine:
     """Logistic loss with weight decay, by AdaGrad over shuffled batches."""
     rng = np.random.default_rng(seed)
@@ -135,7 +166,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
     """A machine fitted on the labelled rows of ``docs``.
 
     At most about ``SAMPLE_TOXIC`` + ``SAMPLE_CLEAN`` rows are used, chosen by a hash of their
-    id and weighted back to the share of their label. Null labels are ignored;
+    id and weighted back to the share of their label (an id that repeats brings all its rows). Null labels are ignored;
     an id with several labels counts as toxic if one says so. With no labels
     every text scores 0.5.
     """
