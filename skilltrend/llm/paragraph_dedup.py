@@ -33,6 +33,8 @@ WORDS, PERCENT = 5, 80
 LEAST_WORDS = 8
 #: Words of the shortest passage that counts wherever it stands, and of its anchor.
 PASSAGE, ANCHOR = 51, 16
+#: Windows whose anchors are found at once, and bits of a place among them.
+STRETCH, PLACE_BITS = 1 << 18, 20
 #: In place of a line's number: a document's own row, and a passage.
 DOCUMENT, PASSAGES = -1, -2
 #: Stands for a null id, which comes last.
@@ -150,15 +152,24 @@ def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return total
 
 
-def stretches(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, context, first window and number of windows of each run of windows with the same anchor."""
-    runs, windows = run_hashes(words, ANCHOR), run_hashes(words, PASSAGE)
-    at, length, width = np.arange(len(runs)), 1, PASSAGE - ANCHOR + 1
+def _least_places(runs: np.ndarray) -> np.ndarray:
+    """Place of the least run in each window, the leftmost of equal ones, so that the choice depends on the window only.
+
+    Hashes are compared by their first bits; the place takes the others.
+    """
+    place = np.uint64((1 << PLACE_BITS) - 1)
+    least, length, width = (runs & ~place) | np.arange(len(runs), dtype=np.uint64), 1, PASSAGE - ANCHOR + 1
     while length < width:
         step = min(length, width - length)
-        # Of equal runs the leftmost counts, so that the choice depends on the window only.
-        at = np.where(runs[at[step:]] < runs[at[:-step]], at[step:], at[:-step])
+        least = np.minimum(least[:-step], least[step:])
         length += step
+    return (least & place).astype(np.int64)
+
+
+def stretches(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, context, first window and number of windows of each run of windows with the same anchor."""
+    runs, windows = run_hashes(words, ANCHOR), run_hashes(words, PASSAGE)
+    at = np.concatenate([_least_places(runs[k : k + STRETCH + PASSAGE - ANCHOR]) + k for k in range(0, len(windows), STRETCH)])
     first = np.flatnonzero(np.diff(at, prepend=-1))
     number = np.diff(np.r_[first, len(at)])
     # The first and the last window overlap, so they tell all words between.
