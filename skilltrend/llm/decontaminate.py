@@ -39,20 +39,33 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 COPIED_WORDS, EDITED = 13, 4
 
 _WORD = re.compile(r"[^\W_]+")
+# What ends a word and is not ASCII; without any, bytes tell the words.
+_ODD_BREAK = re.compile(r"[^\x00-\x7f\w]")
+_BREAKS = bytes(b if b > 127 or chr(b).isalnum() else 0x20 for b in range(256))
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """The words of a text: runs of letters and digits in lower case."""
+    if text.isascii():
+        return text.lower().translate(_BREAKS).split()
+    lowered = text.decode("utf-8", "replace").lower()
+    if _ODD_BREAK.search(lowered):
+        return [word.encode() for word in _WORD.findall(lowered)]
+    return lowered.encode().translate(_BREAKS).split()
 
 
 class Vocabulary(dict):
     """Hashes of the words of one block of items; every other word is 0."""
 
     def add(self, text: bytes) -> np.ndarray:
-        words = _WORD.findall(text.decode("utf-8", "replace").lower())
+        words = words_of(text)
         for word in words:
             if word not in self:
-                self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) or 1
+                self[word] = xxhash.xxh3_64_intdigest(word) or 1
         return np.array([self[word] for word in words], np.uint64)
 
     def of(self, text: bytes) -> np.ndarray:
-        words = _WORD.findall(text.decode("utf-8", "replace").lower())
+        words = words_of(text)
         return np.fromiter(map(self.get, words, repeat(0)), np.uint64, len(words))
 
 
