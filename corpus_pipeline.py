@@ -33,7 +33,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one of the documents whose texts are equal but for white space.
 
-    Null counts as empty, so one row without text stays; of repeated rows one stays.
+    Null counts as empty, so one row without text stays; rows that repeat an id stay or
+    go together.
     All columns stay, an empty table gives none.
     """
     return without_exact_duplicates(docs)
