@@ -22,7 +22,6 @@ from skilltrend.operators.extract import (
     Extractor,
     add_clean_text,
     add_text_id,
-    attach_skills,
     distinct_texts,
     explode_skills,
     extract_skills,
