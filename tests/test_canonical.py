@@ -204,6 +204,28 @@ def test_dense_family(spark, monkeypatch, task_rows, round_rows, levels):
     assert len(rounds) <= (0 if task_rows else -(-size // round_rows))
 
 
+def test_sparse_component_settles_all_over(spark, monkeypatch):
+    # One component with few links a spelling, some of one key: most turns wait for few others.
+    rng = random.Random(12)
+    names = [f"n{k:05d}" for k in range(300)]
+    key = {name: name if k % 10 else names[k // 20 * 20] for k, name in enumerate(names)}
+    keys = sorted(set(key.values()))
+    pairs = {tuple(sorted((keys[k], keys[rng.randrange(k)]))) for k in range(1, len(keys))}
+    pairs |= {tuple(sorted(rng.sample(keys, 2))) for _ in range(150)}
+    links = {pair: rng.choice([93.0, 95.0]) for pair in pairs}
+    scores = {(a, b): 100.0 if key[a] == key[b] else links.get(tuple(sorted((key[a], key[b])))) for a, b in itertools.combinations(names, 2)}
+    scores = {pair: score for pair, score in scores.items() if score}
+    blocks = []
+    settle = canonical._settle_round
+    monkeypatch.setattr(canonical, "_settle_round", lambda rows: blocks.append(1) or settle(rows))
+    words = spark.createDataFrame([(n, key[n]) for n in names], "skill string, key string")
+    table = spark.createDataFrame([(a, b, s) for (a, b), s in links.items()], "key_a string, key_b string, score double")
+    got = dict(tuple(r) for r in merge_spellings(words, table, 40, 2).collect())
+    assert got == plain_merges(names, scores)
+    # Blocks of two spellings alone would take over fifty rounds.
+    assert len(blocks) <= 3
+
+
 def test_nothing_is_left_but_the_map(spark):
     folder = spark._jvm.java.io.File(shared_folder(spark).removeprefix("file:"))
     before = set(folder.list())
