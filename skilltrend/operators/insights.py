@@ -12,6 +12,7 @@ from skilltrend.columns import DEFAULT_COLUMNS, LEVELS, PostingColumns
 from skilltrend.functions.values import percent_label
 from skilltrend.operators.matrix import DIFF, JUNIOR, MID, RANK, SENIOR, rank_within
 from skilltrend.operators.postings import one_row_per_key
+from skilltrend.plans.checkpoints import staged
 
 ALL = "All"
 #: Postings whose keys go into the scan of the texts as a list, and those whose rows are broadcast.
@@ -98,9 +99,10 @@ def evidence_rows(
 
     Where the tagged table has no text column, texts come from ``postings``,
     which hold them once per posting and not once per skill. The level is cut
-    before, and the hits are counted: the keys of a few are pushed into the scan
-    of the texts, where sorted files skip all other row groups; more are
+    before, and the hits are staged and counted: the keys of a few are pushed into
+    the scan of the texts, where sorted files skip all other row groups; more are
     broadcast, so that no text is moved; beyond that both sides are shuffled.
+    Staged hits make the tagged rows once, however dear these are.
     Of copies of a key the first by title and level is shown.
     """
     wanted = tagged.where(
@@ -112,7 +114,7 @@ def evidence_rows(
         return search_text(filter_level(evidence, level, cols), query, literal, cols)
     if postings is None:
         raise ValueError("tagged rows carry no text: pass the postings that do")
-    hits = filter_level(one_row_per_key(wanted.select(*names), [cols.serial], []), level, cols)
+    hits = staged(filter_level(one_row_per_key(wanted.select(*names), [cols.serial], []), level, cols), "hits")
     texts = postings.select(F.col(cols.serial).alias("_serial"), cols.text)
     found = [row[0] for row in hits.select(cols.serial).limit(LISTED + 1).collect()]
     if len(found) <= LISTED:

@@ -315,11 +315,11 @@ def step_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_tags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Documents as postings with levels, and their skills without the texts."""
+    """Documents as postings with levels, and their skills without the texts, which are stored as an analysis stores them."""
     level = F.element_at(F.array(*map(F.lit, matrix.LEVELS)), (F.col(C.serial) % 3 + 1).cast("int"))
     docs = t.document_postings(spark, sf_dir).withColumn(C.level, level)
     skills = explode_skills(dictionary_skills(spark, sf_dir)).withColumnRenamed(C.raw_skills, C.skill)
-    return docs, docs.drop(C.text).join(skills, C.text_id)
+    return docs, staged(docs.drop(C.text).join(skills, C.text_id), "tagged")
 
 
 def evidence_full(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,6 +196,24 @@ def test_evidence_beyond_the_list(spark, monkeypatch):
     assert len(set(map(tuple, found.values()))) == 1 and len(found[5, 5]) == 41
 
 
+@pytest.mark.parametrize("listed, broadcast", [(2000, 200_000), (5, 200_000), (5, 5)])
+def test_evidence_makes_dear_tags_once(spark, monkeypatch, listed, broadcast):
+    monkeypatch.setattr(insights, "LISTED", listed)
+    monkeypatch.setattr(insights, "BROADCAST", broadcast)
+    rows = [(str(k), "p", "Senior", "java", "t") for k in range(30)]
+    made = spark.sparkContext.accumulator(0)
+
+    def dear(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    df = spark.createDataFrame(rows, f"{KEYS}, {C.title} string")
+    texts = df.select(C.serial).withColumn(C.text, F.lit("text"))
+    assert len(insights.evidence_rows(df.mapInPandas(dear, df.schema), "p", "java", texts).collect()) == 30
+    assert made.value == 30
+
+
 def test_levels_from_a_table(spark):
     df = spark.createDataFrame([("A",), ("B",), (None,)], f"{C.level} string")
     table = spark.createDataFrame([("A", "y"), ("A", "x"), (None, "n")], "code string, name string")
