@@ -139,6 +139,19 @@ def test_long_keys_equal_brute_force(spark, threshold):
     assert got == want and any(len(b) > 25 >= len(a) for a, b in want) and any(len(a) > 60 for a, _ in want)
 
 
+def test_short_keys_meet_only_where_similar(spark):
+    # All share syllables, and so pieces; few are similar.
+    rng = random.Random(8)
+    keys = sorted({"".join(rng.choices(["an", "er", "ing", "tion", "é"], k=rng.randrange(2, 7))) for _ in range(400)})
+    keys = [key for key in keys if len(key) <= 17]
+    df = as_column(spark, keys, "key")
+    assert not canonical._first_blocks(df, 92, 60)[0].where("distance <= 2").count()
+    got = {(r[0], r[1]) for r in canonical._short_pairs(df, 92).collect()}
+    ordered = sorted(keys, key=lambda key: (len(key), key))
+    want = {(a, b) for a, b in itertools.combinations(ordered, 2) if 200 * common_subsequence(a, b) >= 91.5 * (len(a) + len(b))}
+    assert got == want and want
+
+
 def test_rows_of_a_very_long_key(spark):
     rng = random.Random(9)
     long = "".join(rng.choices("abcdefghij ", k=5000))
