@@ -20,8 +20,7 @@ from skilltrend.columns import (
 from skilltrend.functions.text import (
     clean_tokens,
     html_to_text,
-    normal_word,
-    split_words,
+    normal_words,
     word_chunks,
     word_ngrams,
 )
@@ -90,13 +89,13 @@ class DictionaryExtractor:
     cols: PostingColumns = DEFAULT_COLUMNS
 
     def __call__(self, chunks: DataFrame) -> DataFrame:
-        table = self.phrases.select(_normal_words(F.col("phrase")).alias("_words"), "entity_group")
+        table = self.phrases.select(normal_words(F.col("phrase")).alias("_words"), "entity_group")
         table = table.where(F.size("_words") > 0).distinct()
         longest = table.agg(F.max(F.size("_words"))).first()[0] or 1
         if self.max_words is not None and longest > self.max_words:
             raise ValueError(f"a phrase has {longest} words, more than max_words={self.max_words}")
         keys = [self.cols.text_id, "chunk_no"]
-        words = chunks.select(*keys, _normal_words(F.col("chunk")).alias("_words"))
+        words = chunks.select(*keys, normal_words(F.col("chunk")).alias("_words"))
         runs = words.select(*keys, F.explode(once(F.col("_words"), lambda w: word_ngrams(w, min(RUN_WORDS, longest)))).alias("_run"))
         whole = F.array_join("_words", " ")
         short = table.where(F.size("_words") <= RUN_WORDS).select(whole.alias("_run"), whole.alias("word"), "entity_group")
@@ -107,7 +106,8 @@ class DictionaryExtractor:
         candidates = runs.join(indexed, "_run").select(*keys, "entity_group", "word")
         padded = F.concat(F.lit(" "), whole, F.lit(" "))
         holds = F.contains(F.col("_text"), F.concat(F.lit(" "), F.col("word"), F.lit(" ")))
-        texts = words.where(F.size("_words") > RUN_WORDS).select(*keys, padded.alias("_text"))
+        # Never null, and no filter on the words: a test on either would make them once more.
+        texts = words.select(*keys, F.coalesce(padded, F.lit("")).alias("_text"))
         return found.unionAll(candidates.join(texts, keys).where(holds).select(self.cols.text_id, "entity_group", "word"))
 
 
@@ -123,10 +123,6 @@ def _by_rarest_pair(phrases: DataFrame) -> DataFrame:
     return rarest.select("word", F.col("_rarest._run").alias("_run")).join(named, "word")
 
 
-def _normal_words(text: Column) -> Column:
-    return F.array_remove(F.transform(split_words(text), normal_word), "")
-
-
 _loaded: dict[str, Model] = {}
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skilltrend.columns import DEFAULT_COLUMNS as C
-from skilltrend.functions.text import clean_token, decode_entities, entity_table, html_to_text, split_words, word_chunks, word_ngrams
+from skilltrend.functions.text import clean_token, decode_entities, entity_table, html_to_text, normal_word, normal_words, split_words, word_chunks, word_ngrams
 from skilltrend.operators.extract import (
     DictionaryExtractor,
     ModelExtractor,
@@ -228,3 +228,12 @@ def test_long_phrases_by_their_rarest_pair(spark):
     assert "200" not in str(extractor(chunks)._jdf.queryExecution().optimizedPlan()).split("Generate")[1][:2000]
     with pytest.raises(ValueError, match="200 words"):
         DictionaryExtractor(table, max_words=10)(chunks)
+
+
+def test_words_of_a_text_at_once(spark):
+    rng = random.Random(3)
+    signs = "aB.,-+#!(ΣσİéЖ9_ \t\n\u2003\x1c\x85'\U0001d538"
+    texts = ["".join(rng.choices(signs, k=rng.randrange(25))) for _ in range(3000)] + [None, "", " . ", "(.)a", "-.+#."]
+    df = spark.createDataFrame([(text,) for text in texts], "t string")
+    one_by_one = F.array_remove(F.transform(split_words(F.col("t")), normal_word), "")
+    assert not df.where(~one_by_one.eqNullSafe(normal_words(F.col("t")))).count()
