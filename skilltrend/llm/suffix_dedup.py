@@ -301,7 +301,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
     rows = texts(docs, id_column, text_column)
     long, name = pa.int64(), "anchor long, context long"
     out = pa.schema([("anchor", long), ("context", long), ("doc_id", long), ("at", long), ("right", pa.int32())])
-    twice = repeated_hashes(rows, lambda text: anchors(text, length)[1])
+    twice = repeated_hashes(rows, lambda texts: np.concatenate([anchors(text, length)[1] for text in texts]))
     sent = docs.sparkSession.sparkContext.broadcast(bitmap_of(twice, "hash"))
     # An anchor without company that shares its bits with another one does no harm below.
     hits = staged(map_rows(rows, _occurrences(length, sent), f"{name}, doc_id long, at long, right int", out), "anchors")

@@ -1,17 +1,20 @@
 """Exact, near, byte-string and paragraph duplicates against plain restatements."""
 
 import hashlib
+import os
 import random
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from skilltrend.llm import exact_dedup, minhash, suffix_dedup
+from skilltrend.llm import common, exact_dedup, minhash, suffix_dedup
 from skilltrend.llm.exact_dedup import exact_duplicates, grace, without_exact_duplicates
 from skilltrend.llm.minhash import near_duplicates, similar, without_near_duplicates
 from skilltrend.llm.paragraph_dedup import document_digest, paragraph_duplicates, tuned_bands, without_paragraphs
 from skilltrend.llm.suffix_dedup import SuffixOrder, longest_factors, without_repeats
+from skilltrend.plans.checkpoints import staged
 
 # Names that the operators use inside, too.
 CLASHING = "body string, node int, kept string, label string, key int, spans string, _kept int"
@@ -281,6 +284,32 @@ def test_passages_inside_and_over_lines(spark):
         assert cut[doc_id].count("\n") == text.count("\n")
 
 
+def test_staged_leaves_no_shuffle_files(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {os.path.basename(f) for f in manager.getAllFiles().mkString("\n").split("\n")}
+    made = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    before = files()
+    counts = staged(made, "counts")
+    assert not {name for name in files() - before if name.startswith("shuffle_")}
+    assert counts.count() == 10
+
+
+def test_words_of_many_texts_at_once(monkeypatch):
+    monkeypatch.setattr(common, "BUNDLE", 100)
+    rng = random.Random(6)
+    parts = ["a", "A", "b\0", "é", "É", " ", "\n", "\t\r\x0b\x0c", "long" * 20, "Long" * 20 + "x", "\x1c", "\x85"]
+    data = ["".join(rng.choices(parts, k=rng.randint(0, 60))).encode() for _ in range(60)] + [b""]
+    words, by_word = common.words_of(data), {}
+    for k, text in enumerate(data):
+        own = slice(words.bounds[k], words.bounds[k + 1])
+        found = [text[a - words.offsets[k] : b - words.offsets[k]].lower() for a, b in zip(words.starts[own], words.ends[own])]
+        assert found == text.lower().split()
+        for word, value in zip(found, words.hashes[own].tolist()):
+            assert by_word.setdefault(word, value) == value
+    assert len(set(by_word.values())) == len(by_word) > 30
+    assert not len(common.words_of([]).hashes)
+
+
 def test_bands_reach_the_recall():
     for percent in (50, 80, 95):
         bands, rows = tuned_bands(percent, most_slots=200)
