@@ -12,6 +12,7 @@ longest match with an earlier and with a later context.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -22,12 +23,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skilltrend.llm.common import bitmap_of, in_bitmap, map_rows, mixed, repeated_hashes, texts
-from skilltrend.plans.checkpoints import staged
+from skilltrend.llm.common import bitmap_of, in_bitmap, likely, map_bundles, map_rows, mixed, repeated_hashes, texts
+from skilltrend.plans.stages import Stages
 
 LENGTH = 200
-#: Bytes of a text whose windows are looked at at once.
-STRIDE = 1 << 17
+#: Bytes of texts whose windows are looked at at once.
+STRIDE = 1 << 16
 #: Contexts that one suffix array holds, and contexts of an anchor from which its
 #: windows are counted one by one instead, over all tasks.
 TOGETHER, CROWDED = 1000, 8000
@@ -46,32 +47,39 @@ def _sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
     return pick(values[: len(values) - rest], values[rest:]) if rest else values
 
 
+@functools.lru_cache(2)
+def _powers(size: int) -> list[np.ndarray]:
+    """Powers, from 0 on, of an odd number and of its inverse."""
+    odd = 0x9E3779B97F4A7C15
+    return [np.cumprod(np.r_[np.uint64(1), np.full(size, base, np.uint64)]) for base in (odd, pow(odd, -1, 1 << 64))]
+
+
 def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A hash of each run of ``gram`` bytes, from runs of powers of two."""
-    values, size, total, done = _BYTE[data], 1, None, 0
-    while True:
-        factor = mixed(np.array([size], np.uint64))[0] | np.uint64(1)
-        if gram & size:
-            total = values if total is None else total[: len(values) - done] * factor + values[done:]
-            done += size
-        if 2 * size > gram:
-            return mixed(total)
-        values = values[: len(values) - size] * factor + values[size:]
-        size *= 2
+    """A hash, never 0, of each run of ``gram`` bytes, from the sums of all bytes before its ends."""
+    powers, inverses = _powers(STRIDE + 2 * gram)
+    total = np.r_[np.uint64(0), np.cumsum(_BYTE[data] * inverses[: len(data)])]
+    runs = mixed((total[gram:] - total[: len(total) - gram]) * powers[: len(data) - gram + 1])
+    return np.maximum(runs, np.uint64(1))
 
 
-def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the runs that windows of the text pick; all of equal least hashes are picked."""
-    data, width = np.frombuffer(text, np.uint8), length - gram_size(length) + 1
+def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the runs that windows of the texts pick; all of equal least hashes are picked.
+
+    Places count the bytes of all texts, one after the other; no window reaches over the end of its text.
+    """
+    data, width = np.frombuffer(b"".join(texts), np.uint8), length - gram_size(length) + 1
+    ends = np.cumsum([len(t) for t in texts])
     places, hashes = [], []
     windows = len(data) - length + 1
     for start in range(0, max(0, windows), STRIDE):
         many = min(STRIDE, windows - start)
         grams = _gram_hashes(data[start : start + many + length - 1], length - width + 1)
-        low = _sliding(grams, width, least=True)
         # A run is picked if it is the least of some window over it: of those, the greatest least.
         around = np.zeros(many + 2 * (width - 1), np.uint64)
-        around[width - 1 : width - 1 + many] = low
+        low = around[width - 1 : width - 1 + many]
+        low[:] = _sliding(grams, width, least=True)
+        for end in ends[np.searchsorted(ends, start, "right") : np.searchsorted(ends, start + many + length)].tolist():
+            low[max(0, end - length + 1 - start) : max(0, end - start)] = 0
         picked = np.flatnonzero(_sliding(around, width, least=False) == grams)
         places.append(picked + start)
         hashes.append(grams[picked])
@@ -223,19 +231,23 @@ def _checksum(text: bytes) -> int:
 def _occurrences(length: int, sent: Broadcast):
     """The occurrences of all anchors that come twice, and of few others."""
 
-    def occurrences(rows: Iterator[tuple]) -> Iterator[tuple]:
-        bitmap = sent.value
-        for doc_id, text in rows:
-            if len(text) < length:
-                continue
-            places, hashes = anchors(text, length)
-            several = in_bitmap(bitmap, hashes)
-            places, hashes = places[several], hashes[several]
-            high = _checksum(text) << 32
-            for place, anchor in zip(places.tolist(), hashes.view(np.int64).tolist()):
-                start, end = reach(place, len(text), length)
-                context = xxhash.xxh3_64_intdigest(text[start:end], place - start)
-                yield anchor, context - (1 << 63), doc_id, high | place, end - place
+    def occurrences(bundle: list[tuple]) -> list[np.ndarray]:
+        bundle = [row for row in bundle if len(row[1]) >= length]
+        places, hashes = anchors([text for _, text in bundle], length)
+        several = in_bitmap(sent.value, hashes)
+        places, hashes = places[several], hashes[several]
+        sizes = np.array([len(text) for _, text in bundle], np.int64)
+        ends = np.cumsum(sizes)
+        owner = np.searchsorted(ends, places, "right")
+        place, size = places - (ends - sizes)[owner], sizes[owner]
+        starts, ends = np.maximum(0, place - (length - gram_size(length))), np.minimum(size, place + length)
+        contexts = [
+            xxhash.xxh3_64_intdigest(bundle[k][1][a:b], left) for k, a, b, left in zip(owner.tolist(), starts.tolist(), ends.tolist(), (place - starts).tolist())
+        ]
+        high = np.array([_checksum(text) << 32 for _, text in bundle], np.int64)[owner]
+        doc_ids = pa.array([doc_id for doc_id, _ in bundle], pa.int64()).take(pa.array(owner))
+        context = (np.array(contexts, np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+        return [hashes.view(np.int64), context, doc_ids, high | place, ends - place]
 
     return occurrences
 
@@ -298,28 +310,35 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
 
     With ``keep_first`` the first copy of each string, by id and place, has no span.
     """
+    with Stages(docs.sparkSession) as stages:
+        return _repeated_spans(docs, length, keep_first, id_column, text_column, stages)
+
+
+def _repeated_spans(docs: DataFrame, length: int, keep_first: bool, id_column: str, text_column: str, stages: Stages) -> DataFrame:
     rows = texts(docs, id_column, text_column)
     long, name = pa.int64(), "anchor long, context long"
     out = pa.schema([("anchor", long), ("context", long), ("doc_id", long), ("at", long), ("right", pa.int32())])
-    twice = repeated_hashes(rows, lambda texts: np.concatenate([anchors(text, length)[1] for text in texts]))
+    twice = repeated_hashes(rows, lambda texts: anchors(texts, length)[1])
     sent = docs.sparkSession.sparkContext.broadcast(bitmap_of(twice, "hash"))
     # An anchor without company that shares its bits with another one does no harm below.
-    hits = staged(map_rows(rows, _occurrences(length, sent), f"{name}, doc_id long, at long, right int", out), "anchors")
+    hits = stages.put(map_bundles(rows, _occurrences(length, sent), 1, f"{name}, doc_id long, at long, right int", out), "anchors", readers=2)
     sent.destroy()
 
     place = F.col("at").bitwiseAND(_LOW)
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", place.alias("place"), "at")
-    contexts = staged(hits.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(first).alias("first")), "contexts")
+    contexts = hits.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(first).alias("first"))
+    contexts = stages.put(contexts, "contexts", readers=2, after=[hits])
     several = contexts.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1")
     unlike = contexts.join(several, "anchor")
     wanted = unlike.groupBy(F.col("first.doc_id").alias("own_id"), F.shiftright("first.at", 32).alias("checksum")).agg(
         F.collect_list(F.struct("anchor", "context", "n", "contexts", "first.doc_id", "first.place")).alias("wanted")
     )
-    needed = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("own_id"))).select("text", "checksum", "wanted")
+    wanted = stages.put(wanted, "wanted", readers=1, after=[contexts])
+    needed = likely(rows, F.col("doc_id"), wanted, "own_id").join(wanted, F.col("doc_id").eqNullSafe(F.col("own_id"))).select("text", "checksum", "wanted")
     columns = ("anchor", "context", "n", "left")
     out = pa.schema([*((c, long) for c in columns), ("data", pa.binary()), ("doc_id", long), ("place", long), ("contexts", long)])
     schema = f"{name}, n long, left long, data binary, doc_id long, place long, contexts long"
-    bodies = staged(map_rows(needed, _contexts(length), schema, out, 2000), "bodies")
+    bodies = stages.put(map_rows(needed, _contexts(length), schema, out, 2000), "bodies", readers=1, after=[wanted])
 
     # Earlier contexts come first, so that the copy that stays is the first of all.
     some = bodies.where(F.col("contexts") <= CROWDED).repartition("anchor")
@@ -339,6 +358,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
 
     kind = F.col("kind") == int(keep_first)
     own = spans.where(kind).groupBy("anchor", "context").agg(F.collect_list(F.struct("start", "end")).alias("own"))
+    own = stages.put(own, "context-spans", readers=1, after=[bodies])
     known = contexts.join(own, ["anchor", "context"], "left").select("anchor", "context", "n", "first", "own")
     each = hits.join(known, ["anchor", "context"])
     left = F.least(place, F.lit(length - gram_size(length)).cast("long"))
@@ -346,7 +366,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
     copied = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("at") != F.col("first.at")) if keep_first else F.col("n") > 1
     each = each.select("doc_id", "at", F.explode(F.when(copied, whole).otherwise(F.col("own"))).alias("span"))
     packed = F.shiftleft(place + F.col("span.start"), 32) + place + F.col("span.end")
-    return each.groupBy("doc_id", F.shiftright("at", 32).alias("checksum")).agg(F.collect_list(packed).alias("spans"))
+    each = each.groupBy("doc_id", F.shiftright("at", 32).alias("checksum")).agg(F.collect_list(packed).alias("spans"))
+    return stages.keep(each, "spans", after=[hits, contexts, own])
 
 
 def _cut(rows: Iterator[tuple]) -> Iterator[tuple]:

@@ -14,7 +14,7 @@ from skilltrend.llm.exact_dedup import exact_duplicates, grace, without_exact_du
 from skilltrend.llm.minhash import near_duplicates, similar, without_near_duplicates
 from skilltrend.llm.paragraph_dedup import document_digest, paragraph_duplicates, tuned_bands, without_paragraphs
 from skilltrend.llm.suffix_dedup import SuffixOrder, longest_factors, without_repeats
-from skilltrend.plans.checkpoints import staged
+from skilltrend.plans.checkpoints import shared_folder, staged
 
 # Names that the operators use inside, too.
 CLASHING = "body string, node int, kept string, label string, key int, spans string, _kept int"
@@ -198,6 +198,30 @@ def test_repeats_equal_brute_force(spark, monkeypatch, keep_first, crowded):
         assert (row["n_bytes"], row["n_removed"], row["n_spans"]) == (len(text), int(covered.sum()), runs)
 
 
+def test_anchors_of_many_texts_are_those_of_each(monkeypatch):
+    rng = random.Random(8)
+    data = ["".join(rng.choices("ab", k=rng.choice([0, 3, 59, 60, 61, 700]))).encode() for _ in range(40)] + [b"q" * 300]
+    want, begin = [], 0
+    for text in data:
+        places, hashes = suffix_dedup.anchors([text], 60)
+        want += zip((places + begin).tolist(), hashes.tolist())
+        begin += len(text)
+    for stride in (100, 1 << 16):
+        monkeypatch.setattr(suffix_dedup, "STRIDE", stride)
+        suffix_dedup._powers.cache_clear()
+        places, hashes = suffix_dedup.anchors(data, 60)
+        assert list(zip(places.tolist(), hashes.tolist())) == want
+    suffix_dedup._powers.cache_clear()
+
+
+def test_repeats_leave_only_their_spans(spark):
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    rows = [(k, f"{'abcdefghij' * 30} {k} {'x' * k}") for k in range(20)]
+    assert all(r["n_removed"] >= 300 for r in without_repeats(table(spark, rows)).collect())
+    assert {name.split("-")[0] for name in set(os.listdir(folder)) - before} == {"spans"}
+
+
 def test_repeats_on_edge_rows(spark):
     found = without_repeats(table(spark, edge_rows()))
     assert found.count() == len(edge_rows())
