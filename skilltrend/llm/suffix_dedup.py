@@ -325,8 +325,14 @@ def _repeated_spans(docs: DataFrame, length: int, keep_first: bool, id_column: s
     sent.destroy()
 
     place = F.col("at").bitwiseAND(_LOW)
-    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", place.alias("place"), "at")
-    contexts = hits.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(first).alias("first"))
+    # By id, place and checksum; place and checksum as one number.
+    turned = F.shiftleft(place, 32) + F.shiftright("at", 32)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", turned.alias("turned")))
+    contexts = hits.groupBy("anchor", "context").agg(F.count("*").alias("n"), least.alias("least"))
+    turned = F.col("least.turned")
+    first_place, checksum = F.shiftright(turned, 32), turned.bitwiseAND(_LOW)
+    first = F.struct("least.doc_id", first_place.alias("place"), (F.shiftleft(checksum, 32) + first_place).alias("at"))
+    contexts = contexts.select("anchor", "context", "n", first.alias("first"))
     contexts = stages.put(contexts, "contexts", readers=2, after=[hits])
     several = contexts.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1")
     unlike = contexts.join(several, "anchor")
@@ -359,15 +365,18 @@ def _repeated_spans(docs: DataFrame, length: int, keep_first: bool, id_column: s
     kind = F.col("kind") == int(keep_first)
     own = spans.where(kind).groupBy("anchor", "context").agg(F.collect_list(F.struct("start", "end")).alias("own"))
     own = stages.put(own, "context-spans", readers=1, after=[bodies])
-    known = contexts.join(own, ["anchor", "context"], "left").select("anchor", "context", "n", "first", "own")
+    known = contexts.join(own, ["anchor", "context"], "left").where("n > 1 or own is not null")
+    # Only with ``keep_first`` does it matter which copy is the first.
+    known = known.select("anchor", "context", *(["first"] if keep_first else []), (F.col("n") > 1).alias("several"), "own")
+    known = stages.put(known, "known", readers=1, after=[contexts, own])
     each = hits.join(known, ["anchor", "context"])
     left = F.least(place, F.lit(length - gram_size(length)).cast("long"))
     whole = F.when(left + F.col("right") >= length, F.array(F.struct((-left).alias("start"), F.col("right").cast("long").alias("end"))))
-    copied = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("at") != F.col("first.at")) if keep_first else F.col("n") > 1
+    copied = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("at") != F.col("first.at")) if keep_first else F.col("several")
     each = each.select("doc_id", "at", F.explode(F.when(copied, whole).otherwise(F.col("own"))).alias("span"))
     packed = F.shiftleft(place + F.col("span.start"), 32) + place + F.col("span.end")
     each = each.groupBy("doc_id", F.shiftright("at", 32).alias("checksum")).agg(F.collect_list(packed).alias("spans"))
-    return stages.keep(each, "spans", after=[hits, contexts, own])
+    return stages.keep(each, "spans", after=[hits, known])
 
 
 def _cut(rows: Iterator[tuple]) -> Iterator[tuple]:
