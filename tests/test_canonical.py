@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from skilltrend.functions.similarity import common_subsequence, common_subsequences, comparison_key, similarity
 from skilltrend.operators import canonical
+from skilltrend.operators import components as component_rounds
 from skilltrend.operators.canonical import merge_spellings, similar_keys, spelling_map
-from skilltrend.plans.checkpoints import shared_folder
+from skilltrend.plans import stages
+from skilltrend.plans.checkpoints import BROADCAST_CONF, MEASURED_BROADCAST_CONF, shared_folder
 
 
 def plain_lcs(a, b):
@@ -246,6 +248,33 @@ def test_nothing_is_left_but_the_map(spark):
     assert [name.split("-")[0] for name in set(folder.list()) - before] == ["spelling"]
 
 
+def planned(monkeypatch):
+    """The plans, before they run, of whatever is staged from now on."""
+    plans = []
+    for module in (stages, component_rounds):
+        write = module.staged_at
+        monkeypatch.setattr(module, "staged_at", lambda df, name, write=write: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(df, name))
+    return plans
+
+
+def broadcast_settings(spark):
+    return spark.conf.get(BROADCAST_CONF), spark.conf.get(MEASURED_BROADCAST_CONF, None)
+
+
+def test_pairs_are_not_broadcast_by_bytes_of_files(spark, monkeypatch):
+    # Some rows of a key on disk are hundreds once it is taken apart; the planner does not count them.
+    before = broadcast_settings(spark)
+    assert before[0] == "10485760b", "small files are broadcast if the planner may"
+    plans = planned(monkeypatch)
+    assert similar_keys(as_column(spark, near_words(11, 60, (14, 22)), "key")).count()
+    pairs = next(plan for name, plan in plans if name == "pairs")
+    assert pairs.count("SortMergeJoin") >= 4 and "Broadcast" not in pairs
+    assert broadcast_settings(spark) == before
+    with pytest.raises(Exception):
+        similar_keys(as_column(spark, ["a"], "other"))
+    assert broadcast_settings(spark) == before
+
+
 def test_stated_cases(spark):
     words = [
         "reactjs", "react js", "abcdefghijkl", "abcdefghijkx", "mnopqrstuvw", "mnopqrstuvx",
