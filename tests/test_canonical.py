@@ -275,6 +275,16 @@ def test_pairs_are_not_broadcast_by_bytes_of_files(spark, monkeypatch):
     assert broadcast_settings(spark) == before
 
 
+def test_merging_is_not_broadcast_by_bytes_of_files(spark, monkeypatch):
+    before = broadcast_settings(spark)
+    plans = planned(monkeypatch)
+    words = near_words(5, 60, (4, 14))
+    assert computed_map(spark, words, task_rows=0) == plain_map(words, "alnum")
+    assert {"links", "components", "settled", "spelling-map"} <= {name for name, _ in plans}
+    assert not [name for name, plan in plans if "Broadcast" in plan]
+    assert broadcast_settings(spark) == before
+
+
 def test_stated_cases(spark):
     words = [
         "reactjs", "react js", "abcdefghijkl", "abcdefghijkx", "mnopqrstuvw", "mnopqrstuvx",
