@@ -7,11 +7,12 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from skilltrend.columns import DEFAULT_COLUMNS as C
 from skilltrend.functions.similarity import common_subsequence, common_subsequences, comparison_key, similarity
 from skilltrend.operators import canonical
 from skilltrend.operators import components as component_rounds
-from skilltrend.operators.canonical import merge_spellings, similar_keys, spelling_map
-from skilltrend.plans import stages
+from skilltrend.operators.canonical import apply_spelling_map, merge_spellings, similar_keys, spelling_map
+from skilltrend.plans import checkpoints, stages
 from skilltrend.plans.checkpoints import BROADCAST_CONF, MEASURED_BROADCAST_CONF, shared_folder
 
 
@@ -285,6 +286,20 @@ def test_merging_is_not_broadcast_by_bytes_of_files(spark, monkeypatch):
     assert broadcast_settings(spark) == before
 
 
+def test_large_maps_are_not_broadcast(spark, monkeypatch):
+    names = as_column(spark, ["a", "b", "c", None], C.raw_skills)
+    mapping = spark.createDataFrame([("b", "a"), (None, "x")], "skill string, canonical string")
+    # As read from a small file.
+    mapping = checkpoints.staged(mapping, "map")
+    for limit, kind in ((canonical.MAP_BYTES, "Broadcast"), (40, "SortMergeJoin")):
+        monkeypatch.setattr(canonical, "MAP_BYTES", limit)
+        named = apply_spelling_map(names, mapping)
+        assert kind in named._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, named.collect())) == [("a", "a"), ("b", "a"), ("c", "c")]
+    nothing = apply_spelling_map(names, mapping.limit(0))
+    assert sorted(r[1] for r in nothing.collect()) == ["a", "b", "c"]
+
+
 def test_stated_cases(spark):
     words = [
         "reactjs", "react js", "abcdefghijkl", "abcdefghijkx", "mnopqrstuvw", "mnopqrstuvx",
