@@ -12,7 +12,7 @@ from skilltrend.columns import DEFAULT_COLUMNS, LEVELS, PostingColumns
 from skilltrend.functions.values import percent_label
 from skilltrend.operators.matrix import DIFF, JUNIOR, MID, RANK, SENIOR, rank_within
 from skilltrend.operators.postings import one_row_per_key
-from skilltrend.plans.checkpoints import staged
+from skilltrend.plans.checkpoints import discard, staged_at
 
 ALL = "All"
 #: Postings whose keys go into the scan of the texts as a list, and those whose rows are broadcast.
@@ -102,7 +102,8 @@ def evidence_rows(
     before, and the hits are staged and counted: the keys of a few are pushed into
     the scan of the texts, where sorted files skip all other row groups; more are
     broadcast, so that no text is moved; beyond that both sides are shuffled.
-    Staged hits make the tagged rows once, however dear these are.
+    Staged hits make the tagged rows once, however dear these are; a few are then
+    held by the result itself and leave no folder.
     Of copies of a key the first by title and level is shown.
     """
     wanted = tagged.where(
@@ -114,13 +115,17 @@ def evidence_rows(
         return search_text(filter_level(evidence, level, cols), query, literal, cols)
     if postings is None:
         raise ValueError("tagged rows carry no text: pass the postings that do")
-    hits = staged(filter_level(one_row_per_key(wanted.select(*names), [cols.serial], []), level, cols), "hits")
+    spark = tagged.sparkSession
+    hits, path = staged_at(filter_level(one_row_per_key(wanted.select(*names), [cols.serial], []), level, cols), "hits")
     texts = postings.select(F.col(cols.serial).alias("_serial"), cols.text)
-    found = [row[0] for row in hits.select(cols.serial).limit(LISTED + 1).collect()]
-    if len(found) <= LISTED:
+    rows = hits.limit(LISTED + 1).collect()
+    if len(rows) <= LISTED:
+        found = [row[0] for row in rows]
         listed = F.col("_serial").isin([key for key in found if key is not None])
         texts = texts.where(listed | F.col("_serial").isNull() if None in found else listed)
-    if len(found) <= LISTED or hits.limit(BROADCAST + 1).count() <= BROADCAST:
+        hits = F.broadcast(spark.createDataFrame(rows, hits.schema))
+        discard(spark, path)
+    elif hits.limit(BROADCAST + 1).count() <= BROADCAST:
         hits = F.broadcast(hits)
     same = F.col(cols.serial).eqNullSafe(F.col("_serial"))
     return search_text(texts.join(hits, same).select(*names, cols.text), query, literal, cols)
