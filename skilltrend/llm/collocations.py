@@ -5,17 +5,16 @@ run only where all runs inside it may still be frequent; what remains, in a
 bitmap of fixed size, is a superset of the frequent phrases and never lacks one.
 Each of them is named after one class of texts that has it, and the third pass
 writes it out from texts of this class alone. The last counts
-them exactly: they lie in double-array tries of bounded size, one broadcast at a
-time, and each task lets the states of all its word positions step through the
-trie together, byte by byte. Accepting states are counted by ``bincount`` and
-the tasks' counts are added up.
+them exactly, whatever their number: they lie in double-array tries of bounded
+size, dealt by their first two words. A task takes the longest run at each of its
+word positions that may be frequent, folds equal ones, and sends each to the trie
+of its first two words. There all runs step through the trie together, byte by
+byte, and the accepting states they pass are counted by ``bincount``.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +34,8 @@ BITS = 27
 PLACE_BITS, CLASSES = 24, 64
 #: Parts among which hashes are dealt, at least.
 SLOTS = 256
-#: Bytes of candidates in one trie, and bytes of its array that the driver sends on at once, before compression.
-TRIE, SENT = 4 << 20, 4 << 20
+#: Bytes of candidates in one trie, more or less, and bytes of runs that a task holds before it folds equal ones.
+TRIE, FOLDED = 4 << 20, 8 << 20
 
 _SPACE, _BREAK = 0x20, 0x0A
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -273,14 +272,21 @@ def _claim(classes: np.ndarray, places: np.ndarray, named: np.ndarray) -> None:
 
 
 def _candidates(docs: DataFrame, longest: int, open_: Broadcast) -> DataFrame:
-    """``lang`` and ``phrase`` of every run of up to ``longest`` words that passes, once each."""
-    out = pa.schema([("lang", pa.string()), ("phrase", pa.string())])
+    """``lang``, ``phrase`` and ``head`` of every run of up to ``longest`` words that passes, once each.
+
+    The head is the hash of the first two words, or of the only one.
+    """
+    out = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("head", pa.int64())])
     lengths = list(range(1, longest + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.empty(0, np.uint64)
         for words in _texts(batches):
+            heads = np.empty(0, np.uint64)
             for length, at, hashes in _open_runs(words, lengths, open_.value):
+                if length <= 2:
+                    heads = np.zeros(len(words.size), np.uint64)
+                    heads[at] = hashes
                 passing = open_.value.passes(hashes) & open_.value.written_by(hashes, words.kind[at])
                 hashes, first = np.unique(hashes[passing], return_index=True)
                 place = np.searchsorted(seen, hashes)
@@ -291,9 +297,10 @@ def _candidates(docs: DataFrame, longest: int, open_: Broadcast) -> DataFrame:
                 ends = words.end[at + length - 1]
                 phrases = [data[a:b] for a, b in zip(words.begin[at].tolist(), ends.tolist())]
                 langs = words.langs[words.lang[at]]
-                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string(), safe=False)], schema=out)
+                columns = [pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string(), safe=False), pa.array(heads[at].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-    return docs.mapInArrow(run, "lang string, phrase string").distinct()
+    return docs.mapInArrow(run, "lang string, phrase string, head long").distinct()
 
 
 class Trie:
@@ -361,89 +368,184 @@ class Trie:
             at = after
         return at
 
-    def ended(self, data: np.ndarray, at: np.ndarray, state: np.ndarray) -> Iterator[np.ndarray]:
-        """The accepting states passed from places ``at`` in ``state``, at each end of a word, all places a byte further each time."""
+    def ended(self, data: np.ndarray, at: np.ndarray, state: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The accepting states passed from places ``at`` in ``state``, and which places pass them, at each end of a word, all places a byte further each time."""
+        of = np.arange(len(at))
         while len(at):
             symbol = data[at]
             word_ends = (symbol == _SPACE) | (symbol == _BREAK)
             found = self.accept[state[word_ends]]
-            yield found[found >= 0]
+            yield found[found >= 0], of[word_ends][found >= 0]
             after = self.base[state] + symbol
             goes_on = (self.check[after] == state) & (symbol != _BREAK)
-            at, state = at[goes_on] + 1, after[goes_on]
-
-
-def _key(lang: str, phrase: str) -> bytes:
-    return lang.encode() + b"\n" + phrase.encode()
-
-
-_STORED = "block int, idx long, lang string, phrase string, part int, states binary"
-_STORED_ARROW = pa.schema(
-    [("block", pa.int32()), ("idx", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("part", pa.int32()), ("states", pa.binary())]
-)
+            at, state, of = at[goes_on] + 1, after[goes_on], of[goes_on]
 
 
-def _tries(candidates: DataFrame, blocks: int) -> DataFrame:
-    """Candidates dealt into ``blocks``: rows with the parts of each block's trie, and one per candidate with its place in it."""
+#: What a row of a block holds: a candidate, single words, runs of more words, or the number of a language's words.
+_CANDIDATE, _SINGLE, _RUN, _TOTAL = range(4)
+_DEALT = "block int, kind int, lang string, key binary, counts binary"
+_DEALT_ARROW = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("lang", pa.string()), ("key", pa.binary()), ("counts", pa.binary())])
 
-    def stored(block: int, pairs: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
-        states = Trie.of([_key(*pair) for pair in pairs]).states
-        nothing = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string())]
-        for part, start in enumerate(range(0, len(states), SENT // 12)):
-            piece = pa.array([zlib.compress(states[start : start + SENT // 12].tobytes(), 1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *nothing, pa.array([part], pa.int32()), piece], schema=_STORED_ARROW)
-        langs, phrases = zip(*pairs)
-        number = len(pairs)
-        columns = [pa.array(np.full(number, block, np.int32)), pa.array(np.arange(number)), pa.array(langs, pa.string()), pa.array(phrases, pa.string())]
-        yield pa.RecordBatch.from_arrays([*columns, pa.nulls(number, pa.int32()), pa.nulls(number, pa.binary())], schema=_STORED_ARROW)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, pairs = None, []
-        for batch in batches:
-            for block, lang, phrase in zip(*(column.to_pylist() for column in batch.columns)):
-                if block != current and pairs:
-                    yield from stored(current, pairs)
-                    pairs = []
-                current = block
-                pairs.append((lang, phrase))
-        if pairs:
-            yield from stored(current, pairs)
-
-    block = F.pmod(F.xxhash64("lang", "phrase"), F.lit(blocks)).cast("int")
-    key = F.concat(F.col("lang").cast("binary"), F.lit(b"\n"), F.col("phrase").cast("binary"))
-    dealt = candidates.select(block.alias("block"), "lang", "phrase").repartition(blocks, "block")
-    return dealt.sortWithinPartitions("block", key).mapInArrow(run, _STORED)
-
-
-def _counts(docs: DataFrame, parts: list[Broadcast]) -> DataFrame:
-    """``idx`` and ``count`` of the candidates in one trie, and ``lang`` and ``count`` of all words."""
-    out = pa.schema([("idx", pa.int64()), ("lang", pa.string()), ("count", pa.int64())])
+def _longest_runs(words: Words, longest: int, open_: Open) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many words the longest run at each word has that passes with all it begins with, and the hashes of words and of pairs."""
+    hashes = words.hashes()
+    pairs = np.empty(0, np.uint64)
+    length = np.zeros(len(hashes), np.int64)
+    going = open_.passes(hashes)
+    length[going] = 1
+    for k in range(2, longest + 1):
+        real, total = words.runs(hashes, k)
+        going = going[: len(total)] & real & open_.passes(total)
+        length[: len(total)][going] = k
+        if k == 2:
+            pairs = total
+    return length, hashes, pairs
+
+
+def _cut_out(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, slice]]:
+    """The stretches of ``data`` one after the other, each with a line break for its last byte, some megabytes at a time."""
+    ends = np.cumsum(sizes)
+    cuts = np.flatnonzero(np.diff((ends - 1) // (4 * BUFFER), prepend=-1, append=-1))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        own, width = ends[a:b] - (ends[a] - sizes[a]), sizes[a:b]
+        flat = data[np.arange(int(own[-1])) + np.repeat(starts[a:b] - own + width, width)]
+        flat[own - 1] = _BREAK
+        yield flat, slice(a, b)
+
+
+def _runs_dealt(docs: DataFrame, longest: int, blocks: int, open_: Broadcast) -> DataFrame:
+    """Rows of all single words and longest runs that pass, with their counts, for the block of their first words; and of the number of words."""
+
+    def fold(lang: str, kind: int, parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        """Equal runs once, one row per block."""
+        flat, sizes, heads = (np.concatenate(column) for column in zip(*parts))
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        found = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).dictionary_encode()
+        of = found.indices.to_numpy()
+        head = np.empty(len(found.dictionary), np.uint64)
+        head[of] = heads
+        block = (head.view(np.int64) % blocks).astype(np.int32)  # as ``pmod``
+        order = np.argsort(block, kind="stable")
+        counts = np.bincount(of, minlength=len(block)).astype(np.uint32)[order]
+        runs = found.dictionary.take(pa.array(order))
+        ends = np.frombuffer(runs.buffers()[1], np.int64)[runs.offset : runs.offset + len(runs) + 1]
+        data = memoryview(runs.buffers()[2])
+        names, starts = np.unique(block[order], return_index=True)
+        spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(order)]))
+        keys = pa.array([bytes(data[ends[a] : ends[b]]) for a, b in spans], pa.binary())
+        uses = pa.array([counts[a:b].tobytes() for a, b in spans], pa.binary())
+        columns = [pa.array(names, pa.int32()), pa.array(np.full(len(names), kind, np.int32)), pa.array([lang] * len(names), pa.string()), keys, uses]
+        yield pa.RecordBatch.from_arrays(columns, schema=_DEALT_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Trie(np.frombuffer(b"".join(zlib.decompress(part.value) for part in parts), np.int32).reshape(-1, 3))
-        counts = np.zeros(int(own.accept.max()) + 1, np.int64)
+        held: dict[tuple[str, int], list[tuple[np.ndarray, ...]]] = {}
         totals: dict[str, int] = {}
-        roots: dict[str, int] = {}
+        number = 0
         for words in _texts(batches):
-            per_lang = np.bincount(words.lang, minlength=len(words.langs))
-            for lang, number in zip(words.langs.tolist(), per_lang.tolist()):
-                totals[lang] = totals.get(lang, 0) + number
-                if lang not in roots:
-                    roots[lang] = own.state(_key(lang, ""))
-            root = np.array([roots[lang] for lang in words.langs], np.int32)
-            state = root[words.lang] if len(words.lang) else np.empty(0, np.int32)
-            known = state >= 0
-            found = list(own.ended(words.bytes, words.begin[known], state[known]))
-            if found:
-                counts += np.bincount(np.concatenate(found), minlength=len(counts))
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.nulls(len(at), pa.string()), pa.array(counts[at])], schema=out)
+            for lang, size in zip(words.langs.tolist(), np.bincount(words.lang, minlength=len(words.langs)).tolist()):
+                totals[lang] = totals.get(lang, 0) + size
+            length, hashes, pairs = _longest_runs(words, longest, open_.value)
+            for kind, heads, at in ((_SINGLE, hashes, np.flatnonzero(length > 0)), (_RUN, pairs, np.flatnonzero(length > 1))):
+                if kind == _SINGLE:
+                    sizes = words.size[at] + 1
+                else:
+                    sizes = words.end[at + length[at] - 1] + 1 - words.begin[at]
+                order = np.argsort(words.lang[at], kind="stable")
+                at, sizes = at[order], sizes[order]
+                names, starts = np.unique(words.lang[at], return_index=True)
+                for name, a, b in zip(names.tolist(), starts.tolist(), [*starts[1:].tolist(), len(at)]):
+                    own = at[a:b]
+                    for flat, part in _cut_out(words.bytes, words.begin[own], sizes[a:b]):
+                        held.setdefault((words.langs[name], kind), []).append((flat, sizes[a:b][part], heads[own[part]]))
+                        number += len(flat)
+                        if number >= FOLDED:
+                            for (lang, kind_), parts in held.items():
+                                yield from fold(lang, kind_, parts)
+                            held, number = {}, 0
+        for (lang, kind), parts in held.items():
+            yield from fold(lang, kind, parts)
         langs = [lang for lang, number in totals.items() if number]
-        numbers = pa.array([totals[lang] for lang in langs], pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(langs), pa.int64()), pa.array(langs, pa.string()), numbers], schema=out)
+        columns = [pa.array(np.zeros(len(langs), np.int32)), pa.array(np.full(len(langs), _TOTAL, np.int32)), pa.array(langs, pa.string()), pa.nulls(len(langs), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([np.int64(totals[lang]).tobytes() for lang in langs], pa.binary())], schema=_DEALT_ARROW)
+
+    return docs.mapInArrow(run, _DEALT)
+
+
+def _counts(candidates: DataFrame, runs: DataFrame, blocks: int, least: int) -> DataFrame:
+    """``lang``, ``phrase``, ``f`` of the candidates that the runs have ``least`` times or more, and, without a phrase, of the number of words."""
+    out = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("f", pa.int64())])
+
+    class Block:
+        """One trie, its candidates and their counts so far."""
+
+        def __init__(self, number: int) -> None:
+            self.number, self.langs, self.keys = number, [], []
+            self.trie, self.roots, self.totals = None, {}, {}
+            self.held, self.size = [], 0
+
+        def add(self, kind: int, lang: str, runs: bytes, counts: bytes) -> None:
+            if not self.keys:
+                return
+            if self.trie is None:
+                self.trie, self.counts = Trie.of(self.keys), np.zeros(len(self.keys), np.int64)
+                begin = [len(lang.encode()) + 1 for lang in self.langs]
+                self.single = np.fromiter((b" " not in key[at:] for key, at in zip(self.keys, begin)), bool, len(self.keys))
+            if lang not in self.roots:
+                self.roots[lang] = self.trie.state(lang.encode() + b"\n")
+            if self.roots[lang] < 0:
+                return
+            uses = np.frombuffer(counts, np.uint32)
+            self.held.append((np.frombuffer(runs, np.uint8), uses, np.full(len(uses), self.roots[lang], np.int32), np.full(len(uses), kind == _SINGLE)))
+            self.size += len(runs)
+            if self.size >= BUFFER:
+                self.count()
+
+        def count(self) -> None:
+            """What is held steps through the trie, all at once: a step takes its time however few take it."""
+            if not self.held:
+                return
+            data, uses, root, single = (np.concatenate(column) for column in zip(*self.held))
+            self.held, self.size = [], 0
+            starts = np.concatenate([[0], np.flatnonzero(data == _BREAK)[:-1] + 1])
+            passed = list(self.trie.ended(data, starts, root))
+            found, of = (np.concatenate(column) for column in zip(*passed))
+            # A run's first word is among the single words as well.
+            chosen = self.single[found] == single[of]
+            self.counts += np.bincount(found[chosen], uses[of[chosen]], len(self.counts)).astype(np.int64)
+
+        def rows(self) -> Iterator[pa.RecordBatch]:
+            self.count()
+            at = np.flatnonzero(self.counts >= least).tolist() if self.trie is not None else []
+            langs, phrases = [self.langs[k] for k in at], [self.keys[k][len(self.langs[k].encode()) + 1 :] for k in at]
+            f = [int(self.counts[k]) for k in at]
+            columns = [[*langs, *self.totals], [*phrases, *[None] * len(self.totals)], [*f, *self.totals.values()]]
+            yield pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(columns, out)], schema=out)
 
-    found = docs.mapInArrow(run, "idx long, lang string, count long")
-    return found.groupBy("idx", "lang").agg(F.sum("count").alias("count"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current = None
+        for batch in batches:
+            for number, kind, lang, key, counts in zip(*(column.to_pylist() for column in batch.columns)):
+                if current is None or current.number != number:
+                    if current is not None:
+                        yield from current.rows()
+                    current = Block(number)
+                if kind == _CANDIDATE:
+                    current.langs.append(lang)
+                    current.keys.append(key)
+                elif kind == _TOTAL:
+                    current.totals[lang] = current.totals.get(lang, 0) + int(np.frombuffer(counts, np.int64)[0])
+                else:
+                    current.add(kind, lang, key, counts)
+        if current is not None:
+            yield from current.rows()
+
+    block = F.pmod("head", F.lit(blocks)).cast("int").alias("block")
+    key = F.concat(F.col("lang").cast("binary"), F.lit(b"\n"), F.col("phrase").cast("binary"))
+    named = candidates.select(block, F.lit(_CANDIDATE).alias("kind"), "lang", key.alias("key"), F.lit(None).cast("binary").alias("counts"))
+    dealt = named.unionAll(runs).repartition(blocks, "block").sortWithinPartitions("block", "kind", "key")
+    found = dealt.mapInArrow(run, "lang string, phrase binary, f long")
+    return found.select("lang", F.col("phrase").cast("string").alias("phrase"), "f")
 
 
 def frequent_phrases(
@@ -453,8 +555,8 @@ def frequent_phrases(
 
     Exact. A null language is ``und``, a null or empty text has no word, repeated
     rows count each, further columns are ignored, an empty table gives no rows.
-    Each trie takes a pass over the texts; their number grows with the bytes of
-    the candidates, ``trie_bytes`` of which go into one.
+    Four passes over the texts, however many tries there are; their number grows
+    with the bytes of the candidates, ``trie_bytes`` of which go into one.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -468,26 +570,18 @@ def frequent_phrases(
         open_ = context.broadcast(_with_frequent(rows, list(range(3, longest + 1)), least, short))
         short.destroy()
     candidates, candidates_path = staged_at(_candidates(rows, longest, open_), "candidates")
-    open_.destroy()
     key_bytes = candidates.agg(F.sum(F.octet_length("lang") + F.octet_length("phrase") + 1)).first()[0] or 0
-    stored, _ = staged_at(_tries(candidates, max(1, -(-key_bytes // trie_bytes))), "tries")
-    discard(spark, candidates_path)
-    parts = []
-    blocks = [row["block"] for row in stored.where("part = 0").select("block").collect()]  # one row per pass
-    for block in blocks:
-        pieces = stored.where((F.col("block") == block) & F.col("part").isNotNull()).select("part", "states").orderBy("part")
-        trie = [context.broadcast(bytes(row["states"])) for row in pieces.toLocalIterator()]
-        parts.append(staged_at(_counts(rows, trie).withColumn("block", F.lit(block)), "phrase-counts")[0])
-        for piece in trie:
-            piece.destroy()
-    if not parts:
+    if not key_bytes:
+        open_.destroy()
+        discard(spark, candidates_path)
         nothing = spark.createDataFrame([], "lang string, phrase string, f long")
         return nothing, nothing.select("lang", F.col("f").alias("n"))
-    counts = reduce(DataFrame.unionAll, parts)
-    named = stored.where("idx is not null").select("block", "idx", "lang", "phrase")
-    frequent = counts.where(F.col("idx").isNotNull() & (F.col("count") >= least)).drop("lang")
-    phrases = named.join(frequent, ["block", "idx"]).select("lang", "phrase", F.col("count").alias("f"))
-    return phrases, parts[0].where("idx is null").select("lang", F.col("count").alias("n"))
+    blocks = max(SLOTS, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-key_bytes // trie_bytes))
+    counts, _ = staged_at(_counts(candidates, _runs_dealt(rows, longest, blocks, open_), blocks, least), "phrase-counts")
+    open_.destroy()
+    discard(spark, candidates_path)
+    words = counts.where("phrase is null").groupBy("lang").agg(F.sum("f").alias("n"))
+    return counts.where("phrase is not null"), words
 
 
 def collocations(

@@ -81,6 +81,41 @@ def test_counts_above_a_byte(spark):
     assert sorted(tuple(r) for r in got.collect()) == brute(rows, 300, 3, 2000, 80)
 
 
+def test_one_pass_whatever_the_number_of_tries(spark, monkeypatch):
+    rows = corpus(2, 200)
+    written = []
+    write = module.staged_at
+    monkeypatch.setattr(module, "staged_at", lambda df, name: written.append(name) or write(df, name))
+    found, words = module.frequent_phrases(table(spark, rows), least=8, trie_bytes=50)
+    assert written == ["candidates", "phrase-counts"]
+    want, totals = {}, Counter()
+    for text, lang in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lowered(text)):
+            own = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang or ("und" if lang is None else "")] += len(own)
+            for size in range(1, 5):
+                for k in range(len(own) - size + 1):
+                    key = ("und" if lang is None else lang, " ".join(own[k : k + size]))
+                    want[key] = want.get(key, 0) + 1
+    got = found.collect()
+    assert {(r["lang"], r["phrase"]): r["f"] for r in got} == {key: f for key, f in want.items() if f >= 8} and len(got) > 50
+    assert {r["lang"]: r["n"] for r in words.collect()} == {lang: n for lang, n in totals.items() if n}
+
+
+def test_folds_of_any_size(spark, monkeypatch):
+    # Runs are folded, cut out and counted a few at a time; tasks have several languages.
+    rows = corpus(3, 120)
+    for name, value in (("BUFFER", 60), ("FOLDED", 500), ("SLOTS", 2)):
+        monkeypatch.setattr(module, name, value)
+    data = np.frombuffer(b"a bc d\nxyz " * 40, np.uint8)
+    starts, sizes = np.arange(0, 400, 11), np.full(37, 7)
+    parts = list(module._cut_out(data, starts, sizes))
+    assert len(parts) > 1 and [part.start for _, part in parts][1:] == [part.stop for _, part in parts][:-1]
+    assert b"".join(flat.tobytes() for flat, _ in parts) == b"a bc d\n" * 37
+    got = collocations(table(spark, rows).repartition(2), least=6, longest=5, top=40)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, 6, 5, 40, 80)
+
+
 def test_empty_table(spark):
     assert collocations(table(spark, [])).count() == 0
     assert collocations(table(spark, [("a b", "en")])).count() == 0
